@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastbreak.llm import decontam, mixing
+from fastbreak.llm import decontam, mixing, warc
 from fastbreak.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op1_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2_warc_bundles(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_source_mixing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_source_mixing)}
-ORACLE_SQL = {"op1_decontamination": decontam.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing)}
+ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL}
