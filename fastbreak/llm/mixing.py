@@ -132,7 +132,7 @@ def stream(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     before = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select("sk", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("sk", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.join(base, ["sk", "bucket"]).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = sized.join(base.hint("merge"), ["sk", "bucket"]).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return materialize(placed.select("doc_id", "source", "sk", "size", "first"), "stream")
 
 
@@ -214,7 +214,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, max
         chosen = slots(spark, plan, shard_slots, seed)
     else:
         chosen = spark.createDataFrame([], "shard bigint, slot bigint, src bigint, block bigint, trim bigint")
-    got = cut.join(chosen, ["src", "block"], "left")
+    # both sides grow with the corpus; the planner would take the exploded draws for small
+    got = cut.join(chosen.hint("merge"), ["src", "block"], "left")
     end = F.least("hi", F.col("block") * block + F.least("trim", F.lit(block)))
     took = F.when(F.col("slot").isNotNull() & (end > F.col("lo")), end - F.col("lo"))
     pieces = got.select(
