@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastbreak.llm import decontam, mixing, rules, warc
+from fastbreak.llm import chat, decontam, mixing, rules, warc
 from fastbreak.llm.common import table
 
 
@@ -20,9 +20,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_source_mixing(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op6_chat_windows(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op7_quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op7_quality_rules)}
-ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL, "op7_quality_rules": rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op6_chat_windows, op7_quality_rules)}
+ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL, "op6_chat_windows": chat.SQL, "op7_quality_rules": rules.SQL}
