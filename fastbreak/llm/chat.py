@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 BUDGET, HISTORY, TURN_TOKENS = 512, 128, 4
 START, END = "<|im_start|>", "<|im_end|>"
 TOKEN = r"[0-9A-Za-z_]+|[^0-9A-Za-z_\x20\x09-\x0D]"
-EXTRA = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+EXTRA_TEXT = "<|im_end|><|im_start|>assistant ok"
+EXTRA = f"SELECT * FROM VALUES (-1L, 0L, 'user', '{EXTRA_TEXT}'), (-1L, 1L, 'assistant', '{EXTRA_TEXT}') AS t(conv_id, turn, role, text)"
 
 
 def escape(c: Column) -> Column:
@@ -112,7 +113,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op6_chat_windows(conversations: DataFrame) -> DataFrame:
-    extra = conversations.sparkSession.createDataFrame(EXTRA, "conv_id bigint, turn bigint, role string, text string")
+    extra = conversations.sparkSession.sql(EXTRA)
     turns = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     back = read_back(format_windows(turns))
     per = back.groupBy("conv_id").agg(
@@ -136,7 +137,7 @@ def op6_chat_windows(conversations: DataFrame) -> DataFrame:
 SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{EXTRA[0][3]}' UNION ALL SELECT -1, 1, 'assistant', '{EXTRA[0][3]}'),
+  UNION ALL SELECT -1, 0, 'user', '{EXTRA_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{EXTRA_TEXT}'),
 t AS (
   SELECT *, row_number() OVER w AS n, len(regexp_extract_all(text, '{TOKEN}')) + {TURN_TOKENS} AS tokens,
          {len(START) + len(END) + 2} + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))
