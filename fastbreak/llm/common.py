@@ -59,7 +59,7 @@ def ascii_lower(c: Column | str) -> Column:
 
 def words(c: Column) -> Column:
     """Array of the maximal runs of non-white-space; null and blank texts give an empty array."""
-    trimmed = F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
+    trimmed = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 

@@ -4,7 +4,7 @@ Base rules fail a document with fewer than `MIN_WORDS` words or with more than h
 repeated three-word windows. The others are compared with references of their language by the
 Jensen-Shannon distance (base 2, so 0 to 1):
 
-* character classes: upper case, other letters, digits, white space, sentence marks, the rest;
+* character classes: upper case, digits, white space, sentence marks, the rest, other letters;
 * common words: the `COMMON` words found in most documents of the language, and all other words.
 
 A reference is the mean histogram of the language's documents that pass the base rules, over all
@@ -34,8 +34,9 @@ MIN_CHARS, GUARD_WORDS = 200, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.235, 0.295
 BROADCAST_LANGS = 10_000
 
-#: Classes counted by pattern; the last class is every other character.
-CLASSES = (r"\p{Lu}", r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?!'\"()\-]")
+#: Classes counted by pattern: upper case, digits, white space, sentence marks, the rest. Other letters are what is left.
+CLASSES = (r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?!'\"()\-]", r"[^\p{L}0-9\x20\x09-\x0D.,;:?!'\"()\-]")
+POS_BITS = 20
 
 
 def lang_key(c: Column) -> Column:
@@ -56,15 +57,25 @@ def n_repeat_words(w: Column) -> Column:
     """Words inside three-word windows that occur at least twice."""
     last = F.size(w) - 3
     at = F.sequence(F.lit(0), last)
+    gram = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    # different hashes are different windows; only where some agree the windows themselves are sorted
-    grams = F.sort_array(F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p"))))
-
-    def covered(s: Column) -> Column:
-        again = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["g"] == x["g"], F.lit(False)))
-        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))))
-
-    exact = F.get(F.transform(F.array(grams), covered), F.lit(0))
+    # different hashes are different windows; where some agree, windows are sorted by hash and place in
+    # one number and neighbours compared as text (texts too long for that are sorted as text)
+    packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, POS_BITS).bitwiseOR(i.cast("bigint"))))
+    sorted_grams = F.sort_array(F.transform(at, lambda i: F.struct(gram(i).alias("g"), i.alias("p"))))
+    place = lambda x: x.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int")
+    alike = lambda x, y: F.coalesce((F.shiftright(x, POS_BITS) == F.shiftright(y, POS_BITS)) & (gram(place(x)) == gram(place(y))), F.lit(False))
+    covered = lambda p: F.size(F.array_distinct(F.flatten(F.transform(p, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def by_hash(s: Column) -> Column:
+        return covered(F.transform(F.filter(s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1))), place))
+
+    def by_text(s: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
+        return covered(F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["p"]))
+
+    bind = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))
+    exact = F.when(last < 1 << POS_BITS, bind(packed, by_hash)).otherwise(bind(sorted_grams, by_text))
     return F.when(last < 0, 0).when(F.size(F.array_distinct(hashes)) == last + 1, 0).otherwise(exact).cast("bigint")
 
 
@@ -83,7 +94,7 @@ def features(docs: DataFrame, common: DataFrame, small: bool) -> DataFrame:
     df = df.withColumns(
         {
             "_q_n_words": F.size("_q_w").cast("bigint"),
-            "_q_word_chars": F.col("_q_len") - F.get("_q_counted", F.lit(3)),
+            "_q_word_chars": F.col("_q_len") - F.get("_q_counted", F.lit(2)),
             "_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"),
             "_q_n_repeat_words": n_repeat_words(F.col("_q_w")),
             "_q_chars": F.concat("_q_counted", F.array(F.col("_q_len") - total(F.col("_q_counted")))),
@@ -171,7 +182,7 @@ base AS (
          coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
          [{", ".join("len(regexp_extract_all(t, '" + c.replace("'", "''") + "'))" for c in CLASSES)}] AS c
   FROM d LEFT JOIN ln USING (rid) LEFT JOIN rep USING (rid)),
-b AS (SELECT *, list_concat(c, [len - list_sum(c)]) AS chars, len - c[4] AS word_chars,
+b AS (SELECT *, list_concat(c, [len - list_sum(c)]) AS chars, len - c[3] AS word_chars,
              n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
 tok AS (SELECT rid, r, count(*) AS n FROM (SELECT rid, lang, unnest(w) AS w FROM d) JOIN common USING (lang, w) GROUP BY ALL),
 cell AS (
