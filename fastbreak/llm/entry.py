@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastbreak.llm import chat, decontam, mixing, ngram_join, rules, suffix_dedup, warc
+from fastbreak.llm import chat, decontam, mixing, ngram_join, quality, rules, suffix_dedup, token_edit, warc
 from fastbreak.llm.common import table
 
 
@@ -20,6 +20,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_source_mixing(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op4_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_edit.op5_edit_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op6_chat_windows(table(spark, sf_dir, "conversations"))
 
@@ -36,5 +44,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op10_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op6_chat_windows, op7_quality_rules, op9_ngram_join, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op4_quality_classifier, op5_edit_token_counts, op6_chat_windows, op7_quality_rules, op9_ngram_join, op10_suffix_dedup)}
 ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL, "op6_chat_windows": chat.SQL, "op7_quality_rules": rules.SQL, "op9_ngram_join": ngram_join.SQL}

@@ -348,7 +348,10 @@ def verify_hot(segs: DataFrame, length: int) -> DataFrame:
     each = materialize(own.mapInArrow(prints, "seg binary, start int, print binary, n bigint"), "prints")
     often = each.groupBy("print").agg(F.sum("n").alias("n")).where("n > 1")
     hit = lookup(each.drop("n"), often, "print", "repeated-prints").where("n is not null")
-    return hit.groupBy("seg").agg(F.transform(F.array_sort(F.collect_set("start")), lambda x: F.struct(x.alias("lo"), x.alias("hi"))).alias("spans"))
+    starts = hit.groupBy("seg").agg(F.array_sort(F.collect_set("start")).alias("s"))
+    begins = F.filter("s", lambda x, i: F.coalesce(F.get("s", i - 1) != x - 1, F.lit(True)))
+    ends = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1) != x + 1, F.lit(True)))
+    return starts.select("seg", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))).alias("spans"))
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, hot_segments: int = HOT_SEGMENTS) -> tuple[DataFrame, DataFrame]:
