@@ -116,7 +116,7 @@ LOWERED = {c: c + 32 for c in range(0x41, 0x5B)}
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` (with a column text) plus n_words and hits: item, word range and character range.
 
-    Word ranges are inclusive; start and end are code-point offsets into the original text.
+    Columns of these two names are replaced. Word ranges are inclusive; start and end are code-point offsets into the original text.
     """
     out = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "hits": F.array().cast(HITS)})
     held = list(blocks(patterns(benchmark, window), block_bytes)) or [{}]
@@ -143,6 +143,11 @@ def n_hit(hits: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["word_from"], h["word_to"]))))).cast("bigint")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, with their own columns."""
+    return find_contamination(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+
+
 def op1_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string")))
     found = find_contamination(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", n_hit(F.col("hits")).alias("n_hit"), F.array_sort(items).alias("items"))

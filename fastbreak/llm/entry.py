@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastbreak.llm import chat, decontam, mixing, ngram_join, quality, rules, suffix_dedup, token_edit, warc
+from fastbreak.llm import chat, decontam, gru_lm, mixing, ngram_join, quality, rules, suffix_dedup, token_edit, warc
 from fastbreak.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op7_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.op8_gru_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.op9_ngram_join(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op10_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op4_quality_classifier, op5_edit_token_counts, op6_chat_windows, op7_quality_rules, op9_ngram_join, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op4_quality_classifier, op5_edit_token_counts, op6_chat_windows, op7_quality_rules, op8_gru_scores, op9_ngram_join, op10_suffix_dedup)}
 ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL, "op6_chat_windows": chat.SQL, "op7_quality_rules": rules.SQL, "op9_ngram_join": ngram_join.SQL}
