@@ -145,7 +145,9 @@ def n_hit(hits: Column) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    return find_contamination(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
+    aside = {c: f"_c_{c}" for c in docs.columns if c in ("n_words", "hits")}
+    found = find_contamination(docs.withColumnsRenamed(aside), benchmark).where(F.size("hits") == 0)
+    return found.drop("n_words", "hits").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def op1_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
