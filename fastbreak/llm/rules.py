@@ -142,12 +142,12 @@ def judge(featured: DataFrame, refs: DataFrame, small: bool) -> DataFrame:
     return df.withColumn("_q_kept", ~F.col("_q_base_failed") & near("_q_char_distance", MAX_CHAR_DISTANCE) & near("_q_word_distance", MAX_WORD_DISTANCE))
 
 
-def learn(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
-    """(common words, counts of every document with `keep`, references, whether languages are few)."""
+def learn(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, bool]:
+    """(counts of every document with the columns `keep`, references, whether languages are few)."""
     common = materialize(common_words(docs), "common")
     small = common.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
     featured = materialize(features(docs, common, small).select(*keep, *(c for c in COLUMNS)), "counts")
-    return common, featured, materialize(references(featured), "references"), small
+    return featured, materialize(references(featured), "references"), small
 
 
 COLUMNS = ("_q_lang", "_q_len", "_q_n_words", "_q_word_chars", "_q_n_symbols", "_q_n_dup_lines", "_q_n_repeat_words", "_q_chars", "_q_hist", "_q_base_failed")
@@ -155,12 +155,13 @@ COLUMNS = ("_q_lang", "_q_len", "_q_n_words", "_q_word_chars", "_q_n_symbols", "
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    common, _, refs, small = learn(docs.select("doc_id", "text", "lang"), ["doc_id"])
-    return judge(features(docs, common, small), refs, small).where("_q_kept").select(*docs.columns)
+    # counts are written beside the documents: a filter over them would be pushed below the counting and repeat it
+    featured, refs, small = learn(docs, docs.columns)
+    return judge(featured, refs, small).where("_q_kept").select(*docs.columns)
 
 
 def op7_quality_rules(docs: DataFrame) -> DataFrame:
-    _, featured, refs, small = learn(docs.select("doc_id", "text", "lang"), ["doc_id"])
+    featured, refs, small = learn(docs.select("doc_id", "text", "lang"), ["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judge(featured, refs, small).select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 
