@@ -1,6 +1,8 @@
 import glob
 import os
 
+import pandas as pd
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -14,7 +16,7 @@ def oracle():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
         return "NULL"
     if isinstance(v, bool):
         return str(v)
