@@ -87,10 +87,10 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def shrunk_mean(df: DataFrame, by: list[str], x: str, k: float) -> DataFrame:
     """n / (n + k) of the group mean and the rest of the global mean."""
-    total = df.agg(F.avg(x).alias("_g"))
+    total = df.agg(F.avg(x)).scalar()
     groups = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"))
     w = F.col("n") / (F.col("n") + k)
-    return groups.crossJoin(F.broadcast(total)).withColumn("shrunk", w * F.coalesce("mean", F.lit(0.0)) + (1 - w) * F.col("_g")).drop("_g")
+    return groups.withColumn("shrunk", w * F.coalesce("mean", F.lit(0.0)) + (1 - w) * total)
 
 
 def linear_fit(y: str, x: str) -> list[Column]:

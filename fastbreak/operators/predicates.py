@@ -73,8 +73,8 @@ def percent_rows(c: Column) -> Column:
 
 def percent_column(df: DataFrame, c: str) -> DataFrame:
     """Divide the whole column by 100 if its largest value is over 1."""
-    top = df.agg(F.max(c).alias("_top"))
-    return df.crossJoin(F.broadcast(top)).withColumn(c, F.when(F.col("_top") > 1, F.col(c) / 100).otherwise(F.col(c))).drop("_top")
+    top = df.agg(F.max(c)).scalar()
+    return df.withColumn(c, F.when(top > 1, F.col(c) / 100).otherwise(F.col(c)))
 
 
 def qualified(games: Column, poss: Column, minutes: Column, min_games: int = 14, min_poss: float = 200, min_minutes: float = 400) -> Column:

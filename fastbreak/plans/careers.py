@@ -112,9 +112,10 @@ def development(seasons: DataFrame, y: str, weight: str, t: str = "t") -> DataFr
 def development_shrunk(seasons: DataFrame, y: str, weight: str, t: str = "t", prior_var: float | None = None) -> DataFrame:
     """Empirical-Bayes slopes: own slopes shrunk to the weighted mean by their variance; the between variance is estimated by moments."""
     own = development(seasons, y, weight, t).where(F.col("slope").isNotNull()).withColumn("_v", F.coalesce(F.pow("slope_se", 2), F.lit(1.0)) + 1e-9)
-    pop = own.agg((F.sum(F.col("slope") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("mu"), (F.lit(prior_var) if prior_var is not None else F.greatest(F.var_samp("slope") - F.avg("_v"), F.lit(1e-6))).alias("tau2"))
-    both = own.crossJoin(F.broadcast(pop)).withColumn("_k", F.col("tau2") / (F.col("tau2") + F.col("_v")))
-    return both.select("athlete_id", "n", "slope", (F.col("_k") * F.col("slope") + (1 - F.col("_k")) * F.col("mu")).alias("slope_shrunk"), F.sqrt(F.col("_k") * F.col("_v")).alias("sd_shrunk"))
+    mu = own.agg(F.sum(F.col("slope") / F.col("_v")) / F.sum(1 / F.col("_v"))).scalar()
+    tau2 = F.lit(prior_var) if prior_var is not None else own.agg(F.greatest(F.var_samp("slope") - F.avg("_v"), F.lit(1e-6))).scalar()
+    both = own.withColumn("_k", tau2 / (tau2 + F.col("_v")))
+    return both.select("athlete_id", "n", "slope", (F.col("_k") * F.col("slope") + (1 - F.col("_k")) * mu).alias("slope_shrunk"), F.sqrt(F.col("_k") * F.col("_v")).alias("sd_shrunk"))
 
 
 def exposure(df: DataFrame) -> DataFrame:

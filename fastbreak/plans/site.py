@@ -39,9 +39,9 @@ def insert_sorted(shown: DataFrame, added: DataFrame, c: str, ties: list) -> Dat
     """Shown and added rows in the direction of the shown order (column pos): that of its first unequal neighbours."""
     w = W.orderBy("pos")
     step = shown.select("pos", (F.col(c) - F.lag(c).over(w)).alias("d")).where("d <> 0").orderBy("pos").limit(1)
-    sign = step.agg(F.coalesce(F.first(F.signum("d")), F.lit(-1.0)).alias("_sign"))
-    both = shown.unionByName(added, allowMissingColumns=True).crossJoin(F.broadcast(sign))
-    return both.orderBy((F.col(c) * F.col("_sign")).asc_nulls_last(), *ties).drop("_sign")
+    sign = step.agg(F.coalesce(F.first(F.signum("d")), F.lit(-1.0))).scalar()
+    both = shown.unionByName(added, allowMissingColumns=True).withColumn("_key", F.col(c) * sign)
+    return both.orderBy(F.col("_key").asc_nulls_last(), *ties).drop("_key")
 
 
 def compare(seasons: DataFrame, a: str, b: str, stats: list[str], inverted: frozenset[str] = frozenset()) -> DataFrame:

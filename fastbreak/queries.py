@@ -178,7 +178,7 @@ def agg_calibration(spark, d):
 SELECT o_orderpriority, count(e) AS n, round(avg(e), 3) AS mean, round(stddev_samp(e), 3) AS sd, round(avg(abs(e)), 3) AS mean_abs, CASE WHEN avg(e) > 0 THEN 'over' WHEN avg(e) < 0 THEN 'under' ELSE 'even' END AS direction FROM x GROUP BY 1""")
 def agg_residual_slices(spark, d):
     o = t(spark, d, "orders")
-    e = o.crossJoin(F.broadcast(o.agg(F.avg("o_totalprice").alias("m")))).withColumn("e", F.col("o_totalprice") - F.col("m"))
+    e = o.withColumn("e", F.col("o_totalprice") - o.agg(F.avg("o_totalprice")).scalar())
     return agg.residual_slices(e, "o_orderpriority", "e").withColumns({c: r(c, 3) for c in ("mean", "sd", "mean_abs")})
 
 
