@@ -136,7 +136,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
 def sample(rows: DataFrame, most: int) -> np.ndarray:
     """Statistics of the `most` rows with the smallest hashes."""
-    picked = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x").orderBy("h").limit(most).toArrow()
+    hashed = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x")
+    n = rows.count()
+    if n > 2 * most:  # so that tasks send about what is kept, not `most` rows each
+        hashed = hashed.where(F.col("h") < int(-(2**63) + 2**64 * (1.5 * most / n)))
+    picked = hashed.orderBy("h").limit(most).toArrow()
     return np.array(picked.column("x").to_pylist(), dtype=np.float64)
 
 
