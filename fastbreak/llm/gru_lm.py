@@ -6,9 +6,9 @@ frequent words, cut in classes of equal size by frequency; P(token) = P(class |
 class, state). An unknown word costs P(unknown | state) times its add-one share among all words
 outside the vocabulary, so probabilities sum to one over known words and one place for new ones.
 
-Training is truncated backpropagation in numpy: a training text gives one span of at most `SPAN`
-tokens, at a place its hash names, cut in windows of `WINDOW` tokens with the state carried over;
-what is trained on grows with the corpus. Trainers work on their own partitions for a round, then
+Training is truncated backpropagation in numpy over every token of every training text: `BATCH` lanes
+read texts to their ends, one after another, in windows of `WINDOW` tokens; the state is carried over
+inside a text and starts anew with the next. Trainers work on their own partitions for a round, then
 their weights are averaged; the biases start at the unigram, so the model starts as good as the base.
 Scoring runs over whole texts in windows, many texts side by side, with the state carried to the end.
 
@@ -23,8 +23,8 @@ half a megabyte, and at most `MAX_TRAINERS` copies reach the driver in a round.
 
 from __future__ import annotations
 
+import itertools
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +38,7 @@ from fastbreak.llm.common import LOWER, UPPER, crc_mod, lookup, materialize
 FOLDS, HELD_OUT = 7, 2
 HEAD_WORDS, MODEL_WORDS = 1 << 16, 2000
 HIDDEN, WINDOW, SPAN, BATCH, RATE = 16, 32, 64, 128, 0.005
-ROUNDS, MAX_TRAINERS, SPANS_A_TRAINER, LEAST_STEPS = 3, 32, 2000, 28
-CHUNK_SPANS = 16_384
+ROUNDS, MAX_TRAINERS, SPANS_A_TRAINER = 3, 32, 2000
 COMBINE_WORDS = 300_000
 SIDE_BY_SIDE = 512
 SEED = 11
@@ -141,136 +140,155 @@ class Gru:
         """Log probability of each target; with grads also the gradient of -sum by the states."""
         p, cls, place = self.p, targets // self.k, targets % self.k
         rows = np.arange(len(targets))
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[rows, cls] - np.log(total)
+        # classes and places lie along the first axis: reductions over it are fast
+        logits = p["wc"].T @ states.T + p["bc"][:, None]
+        logits -= logits.max(0)
+        out = logits[cls, rows]
+        e = np.exp(logits, out=logits)
+        total = e.sum(0)
+        out -= np.log(total)
         back = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["wc"] += states.T @ d
-            grads["bc"] += d.sum(0)
-            back = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
+            e /= total
+            e[cls, rows] -= 1
+            grads["wc"] += (e @ states).T
+            grads["bc"] += e.sum(1)
+            back = e.T @ p["wc"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.c + 1))
         for c in range(self.c):
             own = order[edges[c] : edges[c + 1]]
             if not len(own):
                 continue
-            s = states[own]
-            logits = s @ p["ww"][c] + p["bw"][c]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            i = np.arange(len(own))
-            out[own] += logits[i, place[own]] - np.log(total)
+            s, at = states[own], place[own]
+            logits = p["ww"][c].T @ s.T + p["bw"][c][:, None]
+            logits -= logits.max(0)
+            i = rows[: len(own)]
+            target = logits[at, i]
+            e = np.exp(logits, out=logits)
+            total = e.sum(0)
+            out[own] += target - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[i, place[own]] -= 1
-                grads["ww"][c] += s.T @ d
-                grads["bw"][c] += d.sum(0)
-                back[own] += d @ p["ww"][c].T
+                e /= total
+                e[at, i] -= 1
+                grads["ww"][c] += (e @ s).T
+                grads["bw"][c] += e.sum(1)
+                back[own] += e.T @ p["ww"][c].T
         return out, back
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
-        """Gradients over one window (time by text), its loss, and the state after it."""
+    def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray, restart: bool = False) -> tuple[dict, float, np.ndarray]:
+        """Gradients over one window (time by text), its loss, and the state after it.
+
+        With restart the state is empty wherever the token read is END, the start of another text.
+        """
         t, b, n = *inputs.shape, HIDDEN
-        saved, states = [], np.empty((t, b, n), dtype=np.float32)
+        before, r, z, new, hn, states = np.empty((6, t, b, n), dtype=self.p["u"].dtype)
+        goes_on = (inputs != END)[:, :, None].astype(h.dtype) if restart else None
         for i in range(t):
-            before = h
-            h, *rest = self.step(inputs[i], h)
-            saved.append((before, *rest))
+            before[i] = h * goes_on[i] if restart else h
+            h, r[i], z[i], new[i], hn[i] = self.step(inputs[i], before[i])
             states[i] = h
         grads = {k: np.zeros_like(x) for k, x in self.p.items()}
         live = mask.ravel()
         scores, back = self.log_probs(states.reshape(-1, n)[live], targets.ravel()[live], grads)
-        dh_out = np.zeros((t * b, n), dtype=np.float32)
+        dh_out = np.zeros((t * b, n), dtype=back.dtype)
         dh_out[live] = back
-        dh_out, dh = dh_out.reshape(t, b, n), np.zeros((b, n), dtype=np.float32)
+        dh_out, dh = dh_out.reshape(t, b, n), np.zeros((b, n), dtype=back.dtype)
+        to_new = (1 - z) * (1 - new * new)
+        to_z, to_r = (before - new) * z * (1 - z), hn * r * (1 - r)
+        d, du = np.empty((2, t, b, 3 * n), dtype=back.dtype)
         for i in range(t - 1, -1, -1):
-            before, r, z, new, hn = saved[i]
             dh = dh + dh_out[i]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * hn * r * (1 - r)
-            d = np.concatenate([dr, dz, dnew], axis=1)
-            np.add.at(grads["x"], inputs[i], d)
-            d[:, 2 * n :] *= r
-            grads["u"] += before.T @ d
-            dh = dh * z + d @ self.p["u"].T
+            dnew = dh * to_new[i]
+            np.multiply(dnew, to_r[i], out=du[i, :, :n])
+            np.multiply(dh, to_z[i], out=du[i, :, n : 2 * n])
+            np.multiply(dnew, r[i], out=du[i, :, 2 * n :])
+            d[i, :, 2 * n :] = dnew
+            dh = dh * z[i] + du[i] @ self.p["u"].T
+            if restart:
+                dh *= goes_on[i]
+        d[:, :, : 2 * n] = du[:, :, : 2 * n]
+        grads["u"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+        order = np.argsort(inputs.ravel().astype(np.int32), kind="stable")
+        read = inputs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+        grads["x"][read[first]] = np.add.reduceat(d.reshape(-1, 3 * n)[order], first)
         scale = max(int(live.sum()), 1)
         return {k: g / scale for k, g in grads.items()}, -float(scores.sum()) / scale, h
 
 
-def train_spans(net: Gru, spans: list[np.ndarray], seed: int) -> None:
-    """Adam over windows of the spans; small shares are passed over more often."""
-    rng = np.random.default_rng(seed)
+def lanes(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, mask, lanes kept from the window before) of windows, time by lane, that hold every token once.
+
+    Row 0 of ids is what a lane read last. A lane takes the next text where its own ends; without
+    another text it is given up after the window.
+    """
+    texts = iter(texts)
+    open_ = [[x, 0] for x in itertools.islice(texts, BATCH)]
+    last, kept = np.full(len(open_), END, dtype=np.int64), np.arange(len(open_))
+    while open_:
+        ids, mask = np.full((len(open_), WINDOW + 1), END, dtype=np.int64), np.zeros((len(open_), WINDOW), dtype=bool)
+        ids[:, 0] = last
+        for j, lane in enumerate(open_):
+            at = 0
+            while at < WINDOW and lane[0] is not None:
+                part = lane[0][lane[1] : lane[1] + WINDOW - at]
+                ids[j, at + 1 : at + 1 + len(part)] = part
+                at, lane[1] = at + len(part), lane[1] + len(part)
+                if lane[1] == len(lane[0]):
+                    lane[:] = next(texts, None), 0
+            mask[j, :at] = True
+        long = int(mask.sum(1).max())
+        yield np.ascontiguousarray(ids.T[: long + 1]), np.ascontiguousarray(mask.T[:long]), kept
+        kept = np.array([j for j, lane in enumerate(open_) if lane[0] is not None], dtype=np.int64)
+        open_, last = [open_[j] for j in kept], ids[kept, WINDOW]
+
+
+def train_texts(net: Gru, texts: Iterator[np.ndarray]) -> int:
+    """One pass of Adam over whole texts; how many tokens they hold. Every token weighs the same."""
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
-    t = 0
-    batches = -(-len(spans) // BATCH)
-    for _ in range(max(1, min(20, LEAST_STEPS // max(1, batches)))):
-        order = rng.permutation(len(spans))
-        for k in range(0, len(order), BATCH):
-            own = [spans[i] for i in order[k : k + BATCH]]
-            long = max(map(len, own))
-            ids = np.full((long + 1, len(own)), END, dtype=np.int64)
-            mask = np.zeros((long, len(own)), dtype=bool)
-            for j, s in enumerate(own):
-                ids[1 : len(s) + 1, j] = s
-                mask[: len(s), j] = True
-            h = np.zeros((len(own), HIDDEN), dtype=np.float32)
-            for w in range(0, long, WINDOW):
-                grads, _, h = net.window(ids[w : min(w + WINDOW, long)], ids[w + 1 : w + WINDOW + 1], mask[w : w + WINDOW], h)
-                t += 1
-                for name, g in grads.items():
-                    m[name] = 0.9 * m[name] + 0.1 * g
-                    v[name] = 0.999 * v[name] + 0.001 * g * g
-                    net.p[name] -= (RATE * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
-
-
-def train(texts: DataFrame, lex: Lexicon, seed: int = SEED) -> Gru:
-    """Rounds of training in parallel with averaged weights."""
+    t, n, most, h = 0, 0, 1, None
+    for ids, mask, kept in lanes(texts):
+        h = np.zeros((len(kept), HIDDEN), dtype=np.float32) if h is None else h[kept]
+        grads, _, h = net.window(ids[:-1], ids[1:], mask, h, restart=True)
+        live = int(mask.sum())
+        t, n, most = t + 1, n + live, max(most, live)
+        for name, g in grads.items():
+            g *= live / most  # the few lanes of a tail count for the tokens they hold
+            m[name] += 0.1 * (g - m[name])
+            v[name] += 0.001 * (g * g - v[name])
+            net.p[name] -= (RATE * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+    return n
+
+
+def train(texts: DataFrame, lex: Lexicon) -> Gru:
+    """Rounds of training in parallel with averaged weights; every text is read whole in one of them."""
     spark, net = texts.sparkSession, Gru(lex.unigram)
     ids = spark.sparkContext.broadcast(lex.ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = ids.value.get
         for batch in batches:
-            rows, marks = [], []
-            for text in batch.column(0):
-                w = split(text.as_py())
-                mark = zlib.crc32(b" ".join(w[:64]) + b"%d" % len(w))
-                at = mark % max(1, len(w) + 2 - SPAN)
-                get = ids.value.get
-                rows.append([get(x, UNKNOWN) for x in w[at : at + SPAN]] + [END] * (at + SPAN > len(w)))
-                marks.append(mark % 1_000_003)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(rows, pa.list_(pa.int32()))], names=["mark", "ids"])
-
-    spans = materialize(texts.select("text").mapInArrow(cut, "mark int, ids array<int>"), "spans")
-    n = spans.count()
-    trainers = max(1, min(MAX_TRAINERS, spark.sparkContext.defaultParallelism, -(-n // (SPANS_A_TRAINER * ROUNDS))))
-    small = n < ROUNDS * BATCH * 8  # too few spans to share out among rounds
+            rows = [[*(get(x, UNKNOWN) for x in split(text.as_py())), END] for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["key", "ids"])
+
+    # dealt by id and text: the same rows meet on any cluster, copies of one text go to different trainers
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    whole = materialize(keyed.mapInArrow(cut, "key bigint, ids array<int>"), "training-ids")
+    n = whole.agg(F.coalesce(F.sum(F.ceil(F.size("ids") / SPAN)), F.lit(0))).first()[0]
+    trainers = max(1, min(MAX_TRAINERS, -(-n // (SPANS_A_TRAINER * ROUNDS))))
+    shape = spark.sparkContext.broadcast(lex.unigram)
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net.pack())
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            mine, own, n = Gru(lex_shape.value).unpack(shared.value), [], 0
-            for batch in batches:
-                for x in batch.column(0):
-                    own.append(np.array(x.as_py(), dtype=np.int64))
-                    if len(own) == CHUNK_SPANS:
-                        train_spans(mine, own, seed + k)
-                        n, own = n + len(own), []
-            if own:
-                train_spans(mine, own, seed + k)
-            if n + len(own):
-                yield pa.RecordBatch.from_arrays([pa.array([n + len(own)], pa.int64()), pa.array([mine.pack()], pa.binary())], names=["n", "weights"])
-
-        lex_shape = spark.sparkContext.broadcast(lex.unigram)
-        mine = spans if small else spans.where(F.pmod("mark", F.lit(ROUNDS)) == k)
-        # dealt in turn, not by content: copies of one text must not meet in one trainer
-        got = mine.select("ids").repartition(trainers).mapInArrow(work, "n bigint, weights binary").collect()
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            mine = Gru(shape.value).unpack(shared.value)
+            n = train_texts(mine, (x.values.to_numpy() for batch in batches for x in batch.column(0)))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mine.pack()], pa.binary())], names=["n", "weights"])
+
+        mine = whole.where(F.pmod("key", F.lit(ROUNDS)) == k).repartition(trainers, "key").sortWithinPartitions("key")
+        got = mine.select("ids").mapInArrow(work, "n bigint, weights binary").collect()
         if got:
             total = sum(r["n"] for r in got)
             mean = sum(np.frombuffer(r["weights"], dtype=np.float32).astype(np.float64) * (r["n"] / total) for r in got)

@@ -240,6 +240,38 @@ def test_gru_gradient_and_total_probability():
     assert gru_lm.score_ids(net, [long[:3], long])[1] == pytest.approx(want, rel=1e-5)
 
 
+def test_gru_trains_on_every_token(spark):
+    rng = np.random.default_rng(1)
+    texts = [np.append(rng.integers(1, 30, n), gru_lm.END) for n in (0, 5, 31, 32, 33, 700, *rng.integers(0, 90, 200))]
+    read, states = [], {}
+    for ids, mask, kept in gru_lm.lanes(texts):
+        states = [states[j] if states else [] for j in kept] if states else [[] for _ in kept]
+        for j, lane in enumerate(states):
+            own = mask[:, j]
+            assert (ids[:-1, j][own][1:] == ids[1:, j][own][:-1]).all()
+            for x in ids[1:, j][own].tolist():
+                lane.append(x)
+                if x == gru_lm.END:
+                    read.append(tuple(lane))
+                    lane.clear()
+    assert sorted(read) == sorted(tuple(x.tolist()) for x in texts)
+    net = gru_lm.Gru(rng.random(30) + 0.1)
+    ids = np.array([[0], [5], [0], [7], [0]])
+    both, _, _ = net.window(ids[:-1], ids[1:], np.ones((4, 1), bool), np.ones((1, gru_lm.HIDDEN), np.float32), restart=True)
+    one = [net.window(ids[k : k + 2], ids[k + 1 : k + 3], np.ones((2, 1), bool), np.zeros((1, gru_lm.HIDDEN), np.float32))[0] for k in (0, 2)]
+    for name, g in both.items():
+        assert g == pytest.approx((one[0][name] + one[1][name]) / 2, abs=1e-6)
+    words = [f"w{i}" for i in rng.permutation(400) % 50]
+
+    def weights(w):
+        d = docs(spark, [" ".join(w)])
+        return gru_lm.train(d, gru_lm.lexicon(d, gru_lm.count_words(d))).pack()
+
+    base = weights(words)
+    for at in (70, 200, 390):  # the counts stay, the words around one place change
+        assert weights(words[:at] + words[at : at + 8][::-1] + words[at + 8 :]) != base
+
+
 def brute_join(texts, size, percent):
     sets = []
     for t in texts:
