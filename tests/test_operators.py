@@ -1,4 +1,6 @@
+import difflib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,17 @@ def test_suffix_and_unique(spark):
     assert [x["b"] for x in joins.suffix_match(l, r, ["k"], "a", "b").collect()] == ["johnsmith"]
 
 
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_close_matches_against_difflib(spark, least):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 8)))
+    names = {"cold anvil", "old anvil", "", "a", "aa", "aaa", *(f"{word()} {word()}" for _ in range(60))}
+    names |= {x[1:] for x in list(names)[:20]} | {word()[0] + x for x in list(names)[:20]}
+    df = spark.createDataFrame([(x,) for x in [*names, None]], "a string")
+    got = {(r["a"], r["place"], r["b"]) for r in joins.close_matches(df, df.withColumnRenamed("a", "b"), "a", "b", least=least).collect()}
+    assert got == {(x, k + 1, y) for x in names for k, y in enumerate(difflib.get_close_matches(x, names, n=3, cutoff=least))}
+
+
 def test_quantile_bins_match_cut_of_ranks(spark):
     df = spark.range(6)
     got = [r["b"] for r in predicates.quantile_bins(df, [F.col("id")], 4, "b").orderBy("id").collect()]
