@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 from fastbreak.functions.rates import custom_stat
 from fastbreak.operators.predicates import has_tokens, stat_rule
 
+QUERY_BLOCK, ROW_BLOCK = 256, 4096
+
 
 def mixed_sort(df: DataFrame, c: str, descending: bool, ties: list[Column]) -> DataFrame:
     """Empties last in both directions, numbers before texts."""
@@ -63,9 +69,41 @@ def rank_metrics(df: DataFrame, by: list[str], predicted: str, actual: str, k: i
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_: str, features: list[str], k: int) -> DataFrame:
-    """k nearest rows of each query by Euclidean distance. A stated, small query set is broadcast against all rows."""
-    q = queries.select(F.col(id_).alias("q_id"), *[F.col(c).alias(f"_q_{c}") for c in features])
-    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_q_{c}"), 2) for c in features), F.lit(0.0)))
-    both = rows.select(id_, *features).join(F.broadcast(q), F.col(id_) != F.col("q_id")).withColumn("distance", d)
+    """k nearest rows of each query by Euclidean distance, of equal distances the smaller id first.
+
+    Both sides may grow: they are packed in blocks of at most `QUERY_BLOCK` and `ROW_BLOCK` rows, every pair of blocks
+    is compared by itself and gives its k nearest, and only those are shuffled. Rows or queries with a missing
+    feature have no distance and are left out. An id must name one query.
+    """
+    kind = rows.schema[id_].dataType.simpleString()
+
+    def packed(df: DataFrame, side: str, size: int) -> DataFrame:
+        values = [F.col(c).cast("double") for c in features]
+        whole = df.select(id_, *[v.alias(f"_f{i}") for i, v in enumerate(values)]).na.drop(subset=[f"_f{i}" for i in range(len(features))])
+        # ids of rows rise from a multiple of 2^33 in each partition, so no block is larger
+        return whole.groupBy(F.floor(F.monotonically_increasing_id() / size).alias("_b")).agg(F.array_sort(F.collect_list(F.struct(id_, *[f"_f{i}" for i in range(len(features))]))).alias(side)).drop("_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, r in zip(batch.column(0), batch.column(1), strict=True):
+                (q_ids, *q_f), (r_ids, *r_f) = q.values.flatten(), r.values.flatten()
+                square = np.zeros((len(q_ids), len(r_ids)))
+                for x, y in zip(q_f, r_f, strict=True):
+                    square += (x.to_numpy()[:, None] - y.to_numpy()[None, :]) ** 2
+                d = np.sqrt(square)
+                # a row with the query's own id is no neighbour; nor is one without an id
+                at = {x: i for i, x in enumerate(q_ids.to_pylist())}
+                for j, x in enumerate(r_ids.to_pylist()):
+                    if x is None:
+                        d[:, j] = np.nan
+                    elif x in at:
+                        d[at[x], j] = np.nan
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows lie in the order of their ids; nan goes last
+                near = np.take_along_axis(d, best, 1)
+                i, j = np.nonzero(~np.isnan(near))
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), r_ids.take(pa.array(best[i, j])), pa.array(near[i, j])], names=["q_id", id_, "distance"])
+
+    sides = packed(queries.where(F.col(id_).isNotNull()), "_q", QUERY_BLOCK).hint("shuffle_replicate_nl").crossJoin(packed(rows, "_r", ROW_BLOCK))
+    both = sides.mapInArrow(compare, f"q_id {kind}, `{id_}` {kind}, distance double")
     near = W.partitionBy("q_id").orderBy("distance", id_)
     return both.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k).select("q_id", id_, "distance", (1 / (1 + F.col("distance"))).alias("similarity"), "place")

@@ -86,6 +86,22 @@ def test_mixed_sort_puts_empties_last(spark):
     assert [r["v"] for r in ordering.mixed_sort(df, "v", True, tie).collect()][:4] == ["10", "9%", "b", "a"]
 
 
+def test_nearest_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ordering, "ROW_BLOCK", 16)
+    rng = random.Random(4)
+    data = [(i, float(rng.randrange(12)), float(rng.randrange(12))) for i in range(300)]
+    df = spark.createDataFrame([*data, (300, None, 1.0)], "id long, x double, y double")
+    near = ordering.nearest(df.where("id % 3 = 0"), df, "id", ["x", "y"], 4)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {(r["q_id"], r["place"], r["id"]): r["distance"] for r in near.collect()}
+    want = {}
+    for q, x, y in data[::3]:
+        for k, (d, i) in enumerate(sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), i) for i, a, b in data if i != q)[:4]):
+            want[q, k + 1, i] = d
+    assert got == pytest.approx(want)
+
+
 def test_most_complete_and_sources(spark):
     df = spark.createDataFrame([(1, None, 1), (1, 5, 2)], "k int, a int, b int")
     assert sets.most_complete(df, ["k"], [F.col("b")]).first()["b"] == 2
