@@ -18,7 +18,9 @@ scored; an empty table gives an empty result; extra columns are not read.
 
 Scale: counts are combined inside tasks before they are shuffled. The `HEAD_WORDS` most frequent words
 are held by every task; for all others (document, word) pairs join the count table. Weights are about
-half a megabyte, and at most `MAX_TRAINERS` copies reach the driver in a round.
+half a megabyte; one task averages the copies of at most `MAX_TRAINERS` trainers, and one copy reaches
+the driver in a round. Rounds, passes and trainers follow from the training texts alone, not from the
+cluster: a text is read once, in the round its key names.
 """
 
 from __future__ import annotations
@@ -287,12 +289,20 @@ def train(texts: DataFrame, lex: Lexicon) -> Gru:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mine.pack()], pa.binary())], names=["n", "weights"])
 
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, mean = 0, 0.0
+            for batch in batches:
+                for n, weights in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    total, mean = total + n, mean + n * np.frombuffer(weights.as_buffer(), dtype=np.float32).astype(np.float64)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([(mean / total).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
+
         mine = whole.where(F.pmod("key", F.lit(ROUNDS)) == k).repartition(trainers, "key").sortWithinPartitions("key")
-        got = mine.select("ids").mapInArrow(work, "n bigint, weights binary").collect()
+        # one task averages, in a fixed order, so that the driver gets one copy of the weights
+        trained = mine.select("ids").mapInArrow(work, "n bigint, weights binary").repartition(1).sortWithinPartitions("n", "weights")
+        got = trained.mapInArrow(average, "weights binary").collect()
         if got:
-            total = sum(r["n"] for r in got)
-            mean = sum(np.frombuffer(r["weights"], dtype=np.float32).astype(np.float64) * (r["n"] / total) for r in got)
-            net.unpack(mean.astype(np.float32).tobytes())
+            net.unpack(bytes(got[0]["weights"]))
     return net
 
 

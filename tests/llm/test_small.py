@@ -272,6 +272,14 @@ def test_gru_trains_on_every_token(spark):
         assert weights(words[:at] + words[at : at + 8][::-1] + words[at + 8 :]) != base
 
 
+def test_gru_weights_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SPANS_A_TRAINER", 20)  # several trainers
+    d = docs(spark, mess())
+    lex = gru_lm.lexicon(d, gru_lm.count_words(d))
+    one, many = (gru_lm.train(x, lex).pack() for x in (d.coalesce(1), d.orderBy(F.desc("doc_id")).repartition(7)))
+    assert one == many != gru_lm.Gru(lex.unigram).pack()
+
+
 def brute_join(texts, size, percent):
     sets = []
     for t in texts:
