@@ -379,7 +379,7 @@ def order_nearest(spark, d):
 @query("""WITH q AS (SELECT * FROM customer WHERE c_custkey % 20 = 0), x AS (SELECT q.c_custkey AS q_id, c.c_custkey, sqrt(power(c.c_acctbal - q.c_acctbal, 2) + power(c.c_nationkey - q.c_nationkey, 2)) AS distance FROM q JOIN customer c ON c.c_custkey <> q.c_custkey),
 k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, c_custkey) AS place FROM x) SELECT q_id, c_custkey, round(distance, 6) AS distance, place::INTEGER AS place FROM k WHERE place <= 5""")
 def order_nearest_all(spark, d):
-    """Every customer whose key is divisible by 20 against all; order_nearest asks for nine of them."""
+    """Every customer whose key is divisible by 20 against all; order_nearest asks for the keys below 10."""
     c = t(spark, d, "customer")
     return ordering.nearest(c.where("c_custkey % 20 = 0"), c, "c_custkey", ["c_acctbal", "c_nationkey"], 5).select("q_id", "c_custkey", r("distance", 6).alias("distance"), "place")
 
