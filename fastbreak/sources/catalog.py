@@ -1,4 +1,11 @@
-"""Tables as parquet folders under a root, with versions: a write makes a new version and then names it current."""
+"""Tables as parquet folders under a root.
+
+A table is a folder of versions. A version holds a folder of rows for each write; `write` and `upsert`
+make a new version, appends add a folder of their own rows to the current one and touch no other. A
+folder counts once its `_SUCCESS` mark is there, so readers never see half a write. The schema of a
+version is the row-less folder it begins with; a column added later is a newer row-less folder, and
+older rows read as null there. Old versions stay until `vacuum`.
+"""
 
 from __future__ import annotations
 
@@ -20,29 +27,67 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[str]:
-        p, fs = self._fs(f"{self.root}/{name}")
+    def _done(self, path: str) -> list[str]:
+        """Names of the finished folders in a folder, in order."""
+        p, fs = self._fs(path)
         if not fs.exists(p):
             return []
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(v for v in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{v}/_SUCCESS")))
+        found = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+        return sorted(n for n in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+    def _versions(self, name: str) -> list[str]:
+        p, fs = self._fs(f"{self.root}/{name}")
+        found = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(v for v in found if self._done(f"{self.root}/{name}/{v}"))
 
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
 
-    def table(self, name: str) -> DataFrame:
+    def _current(self, name: str) -> tuple[str, list[str]]:
         versions = self._versions(name)
         if not versions:
             raise ValueError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{versions[-1]}")
+        path = f"{self.root}/{name}/{versions[-1]}"
+        return path, self._done(path)
+
+    def schema(self, name: str) -> T.StructType:
+        path, parts = self._current(name)
+        return self.spark.read.parquet(f"{path}/{[p for p in parts if p.endswith('-schema')][-1]}").schema
+
+    def table(self, name: str) -> DataFrame:
+        path, parts = self._current(name)
+        rows = [f"{path}/{p}" for p in parts if not p.endswith("-schema")]
+        schema = self.schema(name)
+        if not rows:
+            return self.spark.createDataFrame([], schema)
+        # partition columns live in the folders' names, so each write is read below its own base
+        out = None
+        for p in rows:
+            df = self.spark.read.schema(schema).option("basePath", p).parquet(p)
+            out = df if out is None else out.unionByName(df)
+        return out.select(*schema.names)
 
     def columns(self, name: str) -> dict[str, str]:
         return dict(self.table(name).dtypes) if self.exists(name) else {}
 
+    def _add(self, version: str, n: int, df: DataFrame, kind: str, partition_by: Iterable[str] = ()) -> None:
+        df.write.partitionBy(*partition_by).parquet(f"{version}/{n:08d}-{uuid.uuid4().hex[:8]}-{kind}")
+
     def write(self, name: str, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
-        """A complete new version; readers see the old one until it is whole."""
+        """A complete new version; readers see the old one until its rows, which come before its schema, are whole."""
         n = int(self._versions(name)[-1].split("-")[0]) + 1 if self.exists(name) else 0
-        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{n:08d}-{uuid.uuid4().hex[:8]}")
+        made = f"{self.root}/{name}/.{n:08d}-{uuid.uuid4().hex[:8]}"
+        self._add(made, 0, self.spark.createDataFrame([], df.schema), "schema")
+        self._add(made, 1, df, "rows", partition_by)
+        p, fs = self._fs(made)
+        if not fs.rename(p, self._fs(made.replace("/.", "/"))[0]):
+            raise OSError(f"cannot finish {made}")
+
+    def vacuum(self, name: str) -> None:
+        """Delete all versions but the current one."""
+        for v in self._versions(name)[:-1]:
+            p, fs = self._fs(f"{self.root}/{name}/{v}")
+            fs.delete(p, True)
 
     def create(self, name: str, schema: T.StructType | str) -> None:
         if not self.exists(name):
@@ -58,8 +103,11 @@ class Catalog:
             return
         if not self.exists(name):
             return self.write(name, df)
-        old = self.table(name)
-        self.write(name, old.unionByName(self._shaped(df, old, tolerant=False)))
+        self._append(name, self._shaped(df, self.table(name), tolerant=False))
+
+    def _append(self, name: str, df: DataFrame) -> None:
+        path, parts = self._current(name)
+        self._add(path, int(parts[-1].split("-")[0]) + 1, df, "rows")
 
     def append_tolerant(self, name: str, df: DataFrame) -> None:
         """As append, but values that do not convert are null, and columns that cannot be cast are dropped."""
@@ -67,8 +115,7 @@ class Catalog:
             return
         if not self.exists(name):
             return self.write(name, df)
-        old = self.table(name)
-        self.write(name, old.unionByName(self._shaped(df, old, tolerant=True)))
+        self._append(name, self._shaped(df, self.table(name), tolerant=True))
 
     def _shaped(self, df: DataFrame, like: DataFrame, tolerant: bool) -> DataFrame:
         cols = []
@@ -89,7 +136,7 @@ class Catalog:
         return df.select(*cols)
 
     def upsert(self, name: str, df: DataFrame, key: list[str]) -> None:
-        """New rows replace old rows of the same key; null keys never match."""
+        """New rows replace old rows of the same key; null keys never match. A new version: the old rows are read once."""
         if not df.columns or df.isEmpty():
             return
         if not self.exists(name):
@@ -99,9 +146,20 @@ class Catalog:
         self.write(name, old.join(new.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new))
 
     def add_column(self, name: str, column: str, kind: str) -> None:
-        old = self.table(name)
-        if column not in old.columns:
-            self.write(name, old.withColumn(column, F.lit(None).cast(kind)))
+        """Rows stay as they are; the column reads as null in those written before."""
+        schema = self.schema(name)
+        if column not in schema.names:
+            added = self.spark.createDataFrame([], f"`{column}` {kind}").schema.fields
+            path, parts = self._current(name)
+            self._add(path, int(parts[-1].split("-")[0]) + 1, self.spark.createDataFrame([], T.StructType([*schema.fields, *added])), "schema")
+
+    def execute(self, name: str, sql: str, args: dict | list | None = None) -> None:
+        """CREATE TABLE AS: the rows of a query over the catalog's tables as a new version of `name`."""
+        self.write(name, self.query(sql, args))
+
+    def values(self, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+        """A literal table."""
+        return self.spark.createDataFrame(rows, schema)
 
     def query(self, sql: str, args: dict | list | None = None) -> DataFrame:
         """SQL over the catalog's tables, with named or positional parameters."""

@@ -23,6 +23,19 @@ def test_catalog(spark, tmp_path):
     assert c.table("empty").count() == 0
     assert c.query("SELECT count(*) AS n FROM people WHERE id = :k", {"k": 1}).first()["n"] == 1
     assert c.missing(spark.createDataFrame([(1,), (9,)], "id long"), "people", "id").first()["id"] == 9
+    before = sorted(x.name for x in (tmp_path / "people").iterdir())
+    files_before = {x for x in (tmp_path / "people").rglob("*.parquet")}
+    c.append("people", spark.createDataFrame([(50, "Eve")], "id long, name string"))
+    assert sorted(x.name for x in (tmp_path / "people").iterdir()) == before  # no new version
+    assert files_before < {x for x in (tmp_path / "people").rglob("*.parquet")} and c.table("people").where("id = 50 AND age IS NULL").count() == 1
+    c.execute("old", "SELECT id FROM people WHERE id > :k", {"k": 40})
+    c.write("parted", spark.createDataFrame([(1, "a"), (2, "b")], "id int, p string"), ["p"])
+    c.append("parted", spark.createDataFrame([("a", 3)], "p string, id int"))
+    assert {tuple(r) for r in c.table("parted").collect()} == {(1, "a"), (2, "b"), (3, "a")} and c.table("old").first()["id"] == 50
+    n = c.table("people").count()
+    c.vacuum("people")
+    assert c.table("people").count() == n and len([x for x in (tmp_path / "people").iterdir()]) == 1
+    assert c.values([(1, "x")], "a int, b string").count() == 1
     c.log_failures("failures", spark.createDataFrame([("g1", "boom")], "game string, why string"))
     assert c.table("failures").count() == 1
 
