@@ -32,8 +32,25 @@ def one(spark, c, **cols):
         (clock.height_inches, "6-5", 77.0),
         (clock.height_inches, "198", 77.95275590551181),
         (clock.height_inches, "3", None),
-        (clock.weight_pounds, "100kg", 220.462),
+        (clock.weight_pounds, "100kg", 220.46226218),
         (clock.weight_pounds, "210 lb", 210.0),
+        (clock.weight_pounds, "94", 207.2345264492),
+        (clock.weight_pounds, "95", None),
+        (clock.weight_pounds, "135", 135.0),
+        (clock.mixed_weight_pounds, "129.9", 286.38047857),
+        (clock.mixed_weight_pounds, "130", 130.0),
+        (clock.mixed_weight_pounds, "49", None),
+        (clock.height_inches, "119", None),
+        (clock.height_inches, "194 cm", 76.37795275590551),
+        (clock.height_inches, "6.5", 78.0),
+        (clock.height_inches, '79"', 79.0),
+        (clock.clock_seconds, "PT3M", 180.0),
+        (clock.clock_seconds, "PT0.5S", 0.5),
+        (clock.clock_seconds, "PT", 0.0),
+        (clock.clock_seconds, "PT5X", 0.0),
+        (clock.clock_seconds, "1:2:3", 0.0),
+        (text.header_team, "Time | HOME U | Score | AWAY", "HOME U"),
+        (text.header_team, "Time | Score", ""),
         (clock.year_in_name, "torvik_2019.csv", 2019),
     ],
 )
@@ -49,6 +66,17 @@ def test_substitution_and_score(spark):
     assert tuple(one(spark, text.score(F.col("v")), v="none")) == (None, None)
 
 
+def test_lineup_text(spark):
+    assert one(spark, text.explicit_lineup(F.col("v")), v="TEAM For Duke: #01 SMITH,JOHN #22 O'NEAL,A. #01 SMITH,JOHN") == ["SMITH,JOHN", "O'NEAL,A."]
+    assert one(spark, text.explicit_lineup(F.col("v")), v="SMITH,JOHN Enters Game") == []
+    assert tuple(one(spark, text.score(F.col("v")), v="12 - 34")) == (12, 34)
+
+
+def test_token_set(spark):
+    like = lambda a, b: one(spark, text.token_set(F.col("a"), F.col("b")), a=a, b=b)
+    assert like("north carolina", "Carolina, North Tar") == 1.0 and like("abc", "xyz") == 0.0 and 0 < like("abc d", "abd e") < 1
+
+
 def test_similarity(spark):
     assert one(spark, text.similarity(F.col("a"), F.col("b")), a="abcd", b="abcd") == 1.0
     assert one(spark, text.token_jaccard(F.col("a"), F.col("b")), a="a b", b="b c") == pytest.approx(1 / 3)
@@ -58,7 +86,8 @@ def test_similarity(spark):
 def test_clock(spark):
     assert one(spark, clock.game_seconds(F.col("p"), F.col("s")), p=2, s=1200) == 1200
     assert one(spark, clock.game_seconds(F.col("p"), F.col("s")), p=3, s=300) == 2400
-    assert one(spark, clock.interval_seconds(F.col("a"), F.col("b")), a=30, b=1200) == 30
+    gap = lambda a, b: one(spark, clock.interval_seconds(F.lit(a).cast("int"), F.lit(b).cast("int")), v=1)
+    assert [gap(30, 1200), gap(900, 880), gap(900, None), gap(None, 5), gap(1500, 100)] == [30, 20, 0, 0, 0]
     ts = datetime.datetime(2024, 1, 15, 12, 30)
     assert one(spark, clock.unix_seconds(F.lit(ts)), v=1) == 1705321800
 
