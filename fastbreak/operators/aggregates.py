@@ -93,6 +93,66 @@ def shrunk_mean(df: DataFrame, by: list[str], x: str, k: float) -> DataFrame:
     return groups.withColumn("shrunk", w * F.coalesce("mean", F.lit(0.0)) + (1 - w) * total)
 
 
+def any_value(c: str | Column) -> Column:
+    """Some non-null value of a group; the smallest, so that reruns agree."""
+    return F.min(c)
+
+
+def first_present(c: str, order: str) -> Column:
+    """First non-null value in order."""
+    return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
+
+
+def last_present(c: str, order: str) -> Column:
+    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
+
+
+def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
+    """z_<c> by the table's mean and population sd (null is 0, as is a flat column) and <c>_missing 0/1."""
+    for c in cols:
+        mean, sd = df.agg(F.avg(c)).scalar(), df.agg(F.stddev_pop(c)).scalar()
+        z = F.when(F.col(c).isNull() | ~(sd > 1e-8), F.lit(0.0)).otherwise((F.col(c) - mean) / sd)
+        df = df.withColumns({f"z_{c}": z, f"{c}_missing": F.col(c).isNull().cast("int")})
+    return df
+
+
+def evidence_fit(y: str, x: str, floor: float = 0.25) -> list[Column]:
+    """a + b x with the population sd of what is left, at least `floor`; a flat x has slope 0."""
+    flat = F.coalesce(F.var_pop(x) < 1e-8, F.lit(True))
+    b = F.when(flat, 0.0).otherwise(F.covar_pop(x, y) / F.var_pop(x))
+    left = F.when(flat, F.var_pop(y)).otherwise(F.var_pop(y) - F.pow(F.covar_pop(x, y), 2) / F.var_pop(x))
+    return [(F.avg(y) - b * F.avg(x)).alias("a"), b.alias("b"), F.greatest(F.sqrt(F.greatest(left, F.lit(0.0))), F.lit(floor)).alias("sd")]
+
+
+def ridge(df: DataFrame, features: list[str], y: str, l2: float = 1.0) -> DataFrame:
+    """(term, coef, mean, sd) of a ridge fit on standardised features, the intercept free of the penalty.
+
+    One aggregation of moments whose number depends on the features; rows with a null are left out.
+    """
+    import numpy as np
+
+    cols = [F.col(c).cast("double") for c in [*features, y]]
+    rows = df.select(*[c.alias(f"v{i}") for i, c in enumerate(cols)]).na.drop()
+    k = len(features)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    got = rows.agg(F.count("*").alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(k + 1)], *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    if not got["n"]:
+        raise ValueError("no complete rows")
+    cov = np.zeros((k + 1, k + 1))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"]
+    sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
+    sd = np.where(sd > 1e-8, sd, 1.0)
+    coef = np.linalg.solve(got["n"] * cov[:k, :k] / np.outer(sd, sd) + l2 * np.eye(k), got["n"] * cov[:k, k] / sd)
+    out = [("intercept", float(got[f"m{k}"]), 0.0, 1.0), *((c, float(b), float(got[f"m{i}"]), float(s)) for i, (c, b, s) in enumerate(zip(features, coef, sd, strict=True)))]
+    return df.sparkSession.createDataFrame(out, "term string, coef double, mean double, sd double")
+
+
+def ridge_prediction(fit: list, terms: dict[str, Column]) -> Column:
+    """The fitted value from collected rows of `ridge`."""
+    return sum((r["coef"] * ((terms[r["term"]] - r["mean"]) / r["sd"] if r["term"] != "intercept" else F.lit(1.0)) for r in fit), F.lit(0.0))
+
+
 def linear_fit(y: str, x: str) -> list[Column]:
     """Intercept, slope and residual sd (floored) of y on x."""
     n, both = F.regr_count(y, x), (F.regr_syy(y, x) - F.pow(F.regr_sxy(y, x), 2) / F.nullif(F.regr_sxx(y, x), F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fastbreak.functions.text import similarity
+from fastbreak.functions.text import similarity, token_sort
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -24,13 +24,12 @@ def any_wildcard(df: DataFrame, cols: list[str], all_value: str = "ALL") -> Data
 def latest_prior(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, most: float, ties: list[Column] = ()) -> DataFrame:
     """For each left row the right row with the same keys that is nearest before it, at most `most` back.
 
-    Left rows without one stay, with nulls. Rows of the left are kept apart by a row id.
+    Left rows without one stay, with nulls. Each key and time of the left is looked up once.
     """
-    l = left.withColumn("_row", F.monotonically_increasing_id())  # noqa: E741
-    gap = F.col(left_at) - F.col(right_at)
-    near = l.select("_row", *on, left_at).join(right, on).where(gap.between(0, most)).drop(*on, left_at)
-    first = W.partitionBy("_row").orderBy(F.desc(right_at), *ties)
-    return l.join(near.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "_row", "left").drop("_row")
+    at = [*on, left_at]
+    near = left.select(*at).distinct().join(right, on).where((F.col(left_at) - F.col(right_at)).between(0, most))
+    first = W.partitionBy(*at).orderBy(F.desc(right_at), *ties)
+    return left.join(near.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), at, "left")
 
 
 def shifted(left: DataFrame, right: DataFrame, on: list[str], season: str, shifts: list[int], keep: list[Column] = ()) -> DataFrame:
@@ -59,6 +58,101 @@ def not_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
+def not_in_sql(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """As SQL's NOT IN: a null on the right rejects every row, a null key is rejected unless the right is empty."""
+    n, nulls = right.agg(F.count("*")).scalar(), right.agg(F.count_if(F.col(key).isNull())).scalar()
+    rest = left.join(right.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    return rest.where((n == 0) | ((nulls == 0) & F.col(key).isNotNull())).select(*left.columns)
+
+
+def by_either_id(dim: DataFrame, ids: list[str], name: str) -> DataFrame:
+    """The dimension once under each of its ids, as text in `name`; an id that repeats an earlier one of its row adds nothing."""
+    each = F.array_distinct(F.array_compact(F.array(*[F.col(i).cast("string") for i in ids])))
+    return dim.withColumn(name, F.explode(each))
+
+
+def id_then_name(left: DataFrame, right: DataFrame, key: str, id_: str, name: str, left_year: str, right_year: str, value: str, most: int = 2) -> DataFrame:
+    """(key, value, method): the right row with the same id, else of those with the same name the nearest in years, at most `most` away.
+
+    Ids match as numbers. Ties go to the smaller value; rows that nothing matches are left out.
+    """
+    number = lambda c: F.col(c).try_cast("double")
+    r = right.select(number(id_).alias("_id"), F.col(name).alias("_name"), number(right_year).alias("_year"), F.col(value).alias("_v"))
+    l = left.select(key, number(id_).alias("_id"), F.col(name).alias("_name"), number(left_year).alias("_at"))  # noqa: E741
+    exact = l.join(r.select("_id", "_v"), "_id").groupBy(key).agg(F.min("_v").alias(value)).withColumn("method", F.lit("id"))
+    rest = l.join(exact.select(key), key, "left_anti").join(r.drop("_id"), "_name").withColumn("_gap", F.abs(F.col("_at") - F.col("_year"))).where(F.col("_gap") <= most)
+    named = rest.groupBy(key).agg(F.min(F.struct("_gap", "_v"))["_v"].alias(value)).withColumn("method", F.lit("name_year"))
+    return exact.unionByName(named)
+
+
+def by_id_or_name(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str) -> DataFrame:
+    """Pairs with equal ids where both sides have one, else with equal lower-case names."""
+    lower = lambda c: F.lower(F.trim(F.col(c)))
+    ids = left.join(right, F.col(left_id).cast("string") == F.col(right_id).cast("string"))
+    names = left.join(right, (lower(left_name) == lower(right_name)) & (F.col(left_id).isNull() | F.col(right_id).isNull()))
+    return ids.unionByName(names)
+
+
+def merge_tiers(target: DataFrame, incoming: DataFrame, key: str, seq: str, tiers: list[list[str]]) -> DataFrame:
+    """Upsert by the first tier of columns under which an incoming row meets a target row (the one with the smallest key).
+
+    Values of incoming rows replace the target's where they are not null, later ones (by seq) over
+    earlier ones; rows that meet nothing are appended with a null key. All tiers look at the target as it was.
+    """
+    rest, hits = incoming, []
+    for on in tiers:
+        found = rest.select(seq, *on).join(target.select(key, *on), on).groupBy(seq).agg(F.min(key).alias(key))
+        hits.append(found)
+        rest = rest.join(found.select(seq), seq, "left_anti")
+    met = hits[0]
+    for h in hits[1:]:
+        met = met.unionByName(h)
+    shared = [c for c in target.columns if c in incoming.columns and c not in (key, seq)]
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_n_{c}") for c in shared]
+    new = met.join(incoming, seq).groupBy(key).agg(*last)
+    kept = target.join(new, key, "left").withColumns({c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) for c in shared}).select(*target.columns)
+    return kept.unionByName(rest.select(*shared), allowMissingColumns=True)
+
+
+def games_by_score(left: DataFrame, right: DataFrame, least_tied: float = 0.80, least: float = 0.85) -> DataFrame:
+    """Games of a date by their score: the only one, or of several the likest teams; without one the likest teams of the date.
+
+    left: l_id, date, l_home, l_away, l_hp, l_ap; right: r_id, date, r_home, r_away, r_hp, r_ap. Likeness is
+    of sorted tokens, sides direct or swapped, ties to the smaller r_id.
+    """
+    like = lambda a, b: similarity(token_sort(F.col(a)), token_sort(F.col(b)))
+    both = left.join(right, "date").withColumn("_same", F.coalesce((F.col("l_hp") == F.col("r_hp")) & (F.col("l_ap") == F.col("r_ap")), F.lit(False)))
+    both = both.withColumn("_n", F.sum(F.col("_same").cast("int")).over(W.partitionBy("l_id")))
+    alone = both.where((F.col("_n") == 1) & F.col("_same")).select("l_id", "r_id", F.lit(1.0).alias("confidence"), F.lit("score_exact").alias("method"))
+    rest = both.where((F.col("_n") == 0) | ((F.col("_n") > 1) & F.col("_same")))
+    score = F.greatest(like("l_home", "r_home") + like("l_away", "r_away"), like("l_home", "r_away") + like("l_away", "r_home")) / 2
+    best = W.partitionBy("l_id").orderBy(F.desc("score"), "r_id")
+    top = rest.withColumn("score", score).withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    top = top.where(F.when(F.col("_n") > 1, F.col("score") > least_tied).otherwise(F.col("score") > least))
+    return alone.unionByName(top.select("l_id", "r_id", F.when(F.col("_n") > 1, 0.95).otherwise(F.col("score")).alias("confidence"), F.when(F.col("_n") > 1, "score_teams").otherwise("teams").alias("method")))
+
+
+def missing_flags(a: DataFrame, b: DataFrame, on: list[str], names: tuple[str, str]) -> DataFrame:
+    """Keys of either list with a flag for each."""
+    one, two = (d.select(*on).distinct().withColumn(n, F.lit(True)) for d, n in zip((a, b), names, strict=True))
+    return one.join(two, on, "full").fillna({n: False for n in names})
+
+
+def covered_by(expected: DataFrame, sources: dict[str, DataFrame], on: list[str], void: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, covered) and a row `any`: expected keys each source holds, without the keys it is void for."""
+    want, rows = expected.select(*on).distinct(), []
+    for name, df in sources.items():
+        own = df.select(*on)
+        if void and name in void:
+            own = own.join(void[name].select(*on).distinct(), on, "left_anti")
+        rows.append(want.join(own.distinct(), on, "left_semi").withColumn("source", F.lit(name)))
+    held = rows[0]
+    for r in rows[1:]:
+        held = held.unionByName(r)
+    each = held.groupBy("source").agg(F.count("*").alias("covered"))
+    return each.unionByName(held.select(*on).distinct().agg(F.count("*").alias("covered")).select(F.lit("any").alias("source"), "covered"))
+
+
 def unique_keys(df: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key occurs once."""
     return df.withColumn("_n", F.count("*").over(W.partitionBy(*on))).where("_n = 1").drop("_n")
@@ -92,14 +186,15 @@ def tiered(left: DataFrame, key: str, tiers: list[tuple[str, DataFrame, list[str
 
 
 def fuzzy(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, least: float, left_key: str, right_key: str, penalty: Column | None = None) -> DataFrame:
-    """Best right row for each left row inside the same block by similarity, at least `least`."""
-    both = left.join(right, block).withColumn("score", similarity(F.col(left_text), F.col(right_text)) - (penalty if penalty is not None else F.lit(0.0)))
+    """Best right row for each left row inside the same block by similarity, at least `least`; equal texts are 1 without a comparison."""
+    like = F.when(F.col(left_text) == F.col(right_text), F.lit(1.0)).otherwise(similarity(F.col(left_text), F.col(right_text)))
+    both = left.join(right, block).withColumn("score", like - (penalty if penalty is not None else F.lit(0.0)))
     best = W.partitionBy(left_key).orderBy(F.desc("score"), right_key)
     return both.where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def fuzzy_by_date(left: DataFrame, right: DataFrame, least: float = 0.70, day_penalty: float = 0.03) -> DataFrame:
-    """Games matched by date and team names, sides direct or swapped; a day off only where the same day has no candidate.
+    """Games matched by date and team names, sides direct or swapped; a day off only where the date has no game at all, however unlike.
 
     left: l_id, date, l_home, l_away; right: r_id, date, r_home, r_away.
     """
@@ -110,7 +205,7 @@ def fuzzy_by_date(left: DataFrame, right: DataFrame, least: float = 0.70, day_pe
     scored = both.withColumn("_direct", direct).withColumn("_swapped", swapped)
     scored = scored.withColumn("score", F.greatest("_direct", "_swapped") - F.abs("_off") * day_penalty).withColumn("swapped", F.col("_swapped") > F.col("_direct"))
     same_day = F.max((F.col("_off") == 0).cast("int")).over(W.partitionBy("l_id"))
-    allowed = scored.where(F.col("score") >= least).withColumn("_same", same_day).where((F.col("_off") == 0) | (F.col("_same") == 0))
+    allowed = scored.withColumn("_same", same_day).where(((F.col("_off") == 0) | (F.col("_same") == 0)) & (F.col("score") >= least))
     best = one_to_one(allowed, "l_id", "r_id", [F.desc("score"), F.col("l_id"), F.col("r_id")])
     return best.select("l_id", "r_id", "score", "swapped", F.col("_off").alias("day_offset"))
 
@@ -163,9 +258,15 @@ def suffix_match(left: DataFrame, right: DataFrame, on: list[str], left_name: st
     return unique_keys(hit, [*on, left_name])
 
 
-def latest_value(df: DataFrame, name: str, at: str, value: str) -> DataFrame:
-    """Every row gets the value of its name's latest record."""
-    return df.drop(value).join(df.groupBy(name).agg(F.max_by(value, at).alias(value)), name, "left")
+def latest_value(df: DataFrame, name: str, at: str, value: str, known: DataFrame | None = None, year: str | None = None, last_year: int | None = None) -> DataFrame:
+    """Every row gets the value of its name's latest record.
+
+    With `known`, names that are not in it lose the value; with `year`, rows after `last_year` do.
+    """
+    out = df.drop(value).join(df.groupBy(name).agg(F.max_by(value, at).alias(value)), name, "left")
+    if known is not None:
+        out = out.join(known.select(name).distinct().withColumn("_known", F.lit(True)), name, "left").withColumn(value, F.when(F.col("_known"), F.col(value))).drop("_known")
+    return out.withColumn(value, F.when(F.col(year) <= last_year, F.col(value))) if year else out
 
 
 def lost_share(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:

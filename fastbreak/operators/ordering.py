@@ -57,7 +57,7 @@ def leaderboard(df: DataFrame, filters: list[Column] = (), rules: list[tuple[str
 
 
 def rank_metrics(df: DataFrame, by: list[str], predicted: str, actual: str, k: int, ties: list[Column]) -> DataFrame:
-    """Top-k hit rate and NDCG@k of each group."""
+    """Top-k hit rate and NDCG@k of each group, and precision and recall at k where a gain above 0 is relevant."""
     rp = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(predicted), *ties))
     ra = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(actual), *ties))
     r = df.withColumns({"_p": rp, "_a": ra})
@@ -65,6 +65,8 @@ def rank_metrics(df: DataFrame, by: list[str], predicted: str, actual: str, k: i
     return r.groupBy(*by).agg(
         (F.count_if((F.col("_p") <= k) & (F.col("_a") <= k)) / F.least(F.count("*"), F.lit(k))).alias("hit_rate"),
         (gain("_p") / F.nullif(gain("_a"), F.lit(0.0))).alias("ndcg"),
+        (F.count_if((F.col("_p") <= k) & (F.col(actual) > 0)) / F.least(F.count("*"), F.lit(k))).alias("precision"),
+        (F.count_if((F.col("_p") <= k) & (F.col(actual) > 0)) / F.nullif(F.count_if(F.col(actual) > 0), F.lit(0))).alias("recall"),
     )
 
 

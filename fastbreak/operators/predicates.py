@@ -128,5 +128,28 @@ def experience_in(c: Column, wanted: str) -> Column:
     return c.isin(groups.get(wanted, [wanted]))
 
 
+def membership(pick: Column, listed: Column, wanted: str) -> Column:
+    """`nba`: a pick or in the list; `drafted`: a pick; `undrafted`: in the list without one; `none`: neither; anything else passes."""
+    has = pick.isNotNull() & ~F.trim(pick.cast("string")).isin("", "NA")
+    known = F.coalesce(listed, F.lit(False))
+    return {"nba": has | known, "none": ~(has | known), "drafted": has, "undrafted": known & ~has}.get(wanted, F.lit(True))
+
+
+def within(ranges: dict[str, tuple[float | None, float | None]]) -> Column:
+    """Every column inside its inclusive range; an open end is None, a null value fails a range that has an end."""
+    conditions = [F.coalesce(op(F.col(c).cast("double"), v), F.lit(False)) for c, ends in ranges.items() for op, v in zip((lambda a, b: a >= b, lambda a, b: a <= b), ends, strict=True) if v is not None]
+    return reduce(and_, conditions, F.lit(True))
+
+
+def seasons_in(c: Column, include: list[int] | None = None, exclude: list[int] = ()) -> Column:
+    kept = c.isin(list(include)) if include is not None else F.lit(True)
+    return kept & ~c.isin(list(exclude)) if exclude else kept
+
+
+def cohort(draft_year: Column, first: int, keep_unknown: bool = False) -> Column:
+    """Drafted in `first` or later."""
+    return F.coalesce(draft_year >= first, F.lit(keep_unknown))
+
+
 def in_split(c: Column, wanted: str) -> Column:
     return F.coalesce(c, F.lit("ALL")) == wanted

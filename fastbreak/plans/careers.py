@@ -157,6 +157,16 @@ def gaps(nba: DataFrame, college: DataFrame, crosswalk: DataFrame, stats: list[s
     return both.select("nba_id", "athlete_id", *[(F.col(c) - F.col(f"c_{c}")).alias(f"{c}_gap") for c in stats])
 
 
+def growth(seasons: DataFrame, who: str, season: str, cols: list[str]) -> DataFrame:
+    """First and largest value of each measure, the gain between, and whether two seasons or more have one; players without any are left out."""
+    aggs = []
+    for c in cols:
+        x = F.col(c).try_cast("double")
+        first, top = F.min_by(x, F.when(x.isNotNull(), F.col(season))), F.max(x)
+        aggs += [first.alias(f"{c}_first"), top.alias(f"{c}_max"), (top - first).alias(f"{c}_gain"), (F.count_distinct(F.when(x.isNotNull(), F.col(season))) >= 2).alias(f"{c}_seasons")]
+    return seasons.groupBy(who).agg(*aggs).where(F.coalesce(*[F.col(f"{c}_max") for c in cols]).isNotNull())
+
+
 def impact_stack(sources: dict[str, DataFrame]) -> DataFrame:
     """Union with provenance; one row per player and season, the one with most possessions, ties by source."""
     parts = [d.withColumn("source", F.lit(k)) for k, d in sources.items()]

@@ -56,14 +56,20 @@ def unified(base: DataFrame, features: dict[str, DataFrame], on: list[str], targ
     """A star of left joins on `on`, each source flagged has_<name>.
 
     supervised keeps rows with a target, foundation drops the targets, joint keeps all rows with a mask.
-    Every feature table must be unique on the keys; the result has one row per base key.
+    Base and feature tables must be unique on the keys, and a table that is not raises an error when it
+    is read; the result has one row per base key.
     """
-    out = base.dropDuplicates(on)
+
+    def unique(df: DataFrame, name: str) -> DataFrame:
+        n = F.count("*").over(W.partitionBy(*on))
+        return df.withColumn("_n", n).where((F.col("_n") == 1) | F.assert_true(F.col("_n") == 1, F.lit(f"{name} repeats a key")).isNull()).drop("_n")
+
+    out = unique(base, "base")
     for name, df in features.items():
         bad = forbidden & set(df.columns)
         if bad:
             raise ValueError(f"{name} holds target columns {sorted(bad)}")
-        out = out.join(df.dropDuplicates(on).withColumn(f"has_{name}", F.lit(1)), on, "left").fillna({f"has_{name}": 0})
+        out = out.join(unique(df, name).withColumn(f"has_{name}", F.lit(1)), on, "left").fillna({f"has_{name}": 0})
     if target is None or mode == "foundation":
         return out
     keys = [c for c in on if c in target.columns]

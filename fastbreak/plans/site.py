@@ -36,7 +36,10 @@ def overlay_rows(dataset: DataFrame, shown: DataFrame) -> DataFrame:
 
 
 def insert_sorted(shown: DataFrame, added: DataFrame, c: str, ties: list) -> DataFrame:
-    """Shown and added rows in the direction of the shown order (column pos): that of its first unequal neighbours."""
+    """Shown and added rows in the direction of the shown order (column pos): that of its first unequal neighbours.
+
+    For one shown page: its rows are compared in one task.
+    """
     w = W.orderBy("pos")
     step = shown.select("pos", (F.col(c) - F.lag(c).over(w)).alias("d")).where("d <> 0").orderBy("pos").limit(1)
     sign = step.agg(F.coalesce(F.first(F.signum("d")), F.lit(-1.0))).scalar()

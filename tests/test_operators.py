@@ -1,7 +1,9 @@
+import datetime
 import difflib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,41 @@ def test_most_complete_and_sources(spark):
 def test_periods(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([1200, 600, 10, 1190, 5, 300])], "g int, i int, s int")
     assert [r["period"] for r in windows.periods(df, ["g"], [F.col("i")], "s").orderBy("i").collect()] == [1, 1, 1, 2, 2, 3]
+
+
+def test_latest_prior_with_repeated_rows(spark):
+    left = spark.createDataFrame([(1, 10), (1, 10), (1, 3), (None, 10)], "k int, at int")
+    right = spark.createDataFrame([(1, 4, "a"), (1, 9, "b"), (1, 9, "c"), (None, 9, "d")], "k int, seen int, v string")
+    got = joins.latest_prior(left, right, ["k"], "at", "seen", 5, [F.col("v")]).select("k", "at", "v").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 10, "b"), (1, 10, "b"), (1, 3, None), (None, 10, None)]))
+
+
+def test_a_day_off_only_without_a_game_that_day(spark):
+    day = "l_id int, date date, l_home string, l_away string", "r_id int, date date, r_home string, r_away string"
+    d = lambda n: datetime.date(2024, 1, n)
+    left = spark.createDataFrame([(1, d(5), "Duke", "Kansas"), (2, d(20), "Duke", "Kansas")], day[0])
+    right = spark.createDataFrame([(7, d(5), "Xxxx", "Qqqq"), (8, d(6), "Duke", "Kansas"), (9, d(21), "Kansas", "Duke")], day[1])
+    got = joins.fuzzy_by_date(left, right).collect()
+    assert [(r["l_id"], r["r_id"], r["swapped"], round(r["score"], 2)) for r in got] == [(2, 9, True, 0.97)]
+
+
+def test_games_by_score_tiers(spark):
+    d = datetime.date(2024, 1, 5)
+    left = spark.createDataFrame([(1, d, "North Carolina", "Duke", 70, 60), (2, d, "Kansas", "Iowa", 50, 40), (3, d, "Texas Tech", "Baylor", 1, 2), (4, d, "Aaa", "Bbb", 3, 4)], "l_id int, date date, l_home string, l_away string, l_hp int, l_ap int")
+    right = spark.createDataFrame([(10, d, "x", "y", 70, 60), (11, d, "Iowa", "Kansas", 50, 40), (12, d, "Utah", "Yale", 50, 40), (13, d, "Tech Texas", "Baylor", 9, 9)], "r_id int, date date, r_home string, r_away string, r_hp int, r_ap int")
+    got = {r["l_id"]: (r["r_id"], r["method"], round(r["confidence"], 2)) for r in joins.games_by_score(left, right).collect()}
+    assert got == {1: (10, "score_exact", 1.0), 2: (11, "score_teams", 0.95), 3: (13, "teams", 1.0)}
+
+
+def test_ridge_against_normal_equations(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 3)) * [1, 5, 0.1] + [0, 9, 2]
+    y = x @ [1.0, -2.0, 30.0] + rng.normal(size=200)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    fit = aggregates.ridge(df.unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1.0)], df.schema)), ["a", "b", "c"], "y", 7.0)
+    z = np.column_stack([np.ones(200), (x - x.mean(0)) / x.std(0)])
+    want = np.linalg.solve(z.T @ z + 7.0 * np.diag([0, 1, 1, 1]), z.T @ y)
+    rows_ = fit.collect()
+    assert [r["coef"] for r in rows_] == pytest.approx(want.tolist())
+    got = df.select(aggregates.ridge_prediction(rows_, {c: F.col(c) for c in "abc"}).alias("p")).toPandas()["p"]
+    assert got.to_numpy() == pytest.approx(z @ want)

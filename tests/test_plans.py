@@ -27,6 +27,13 @@ def test_rapm_matches_dense_solution(spark):
     beta = np.linalg.solve(x.T @ (w[:, None] * x) + 10 * np.eye(24), x.T @ (w * y))
     assert [got[p] for p in players] == pytest.approx(list(beta), abs=1e-5)
     assert np.corrcoef(beta, true)[0, 1] > 0.95
+    scored = df.withColumn("a1", F.lit(0.4) * F.col("poss") / 10)
+    split = {r["player"]: r for r in impact.rapm_split(scored, 10.0, 1e-9).collect()}
+    for name, made in (("o_rapm", [r[6] for r in rows]), ("d_rapm", [-0.4 * r[9] / 10 for r in rows])):
+        y2 = 100 * np.array(made) / w
+        y2 = y2 - (w @ y2) / w.sum()
+        want = np.linalg.solve(x.T @ (w[:, None] * x) + 10 * np.eye(24), x.T @ (w * y2))
+        assert [split[p][name] for p in players] == pytest.approx(list(want), abs=1e-5)
     on = impact.on_off(df)
     assert on.count() == 24
     assert impact.season_gate(df, 10, 10).first()["passes"]
@@ -147,3 +154,20 @@ def test_running_lineups(spark, tmp_path):
     assert {r["seq"]: r["floor"] for r in spark.table("lineups_test").collect()} == {1: ["a"], 2: ["a", "b"], 3: ["b"]}
     ev = spark.sql("SELECT 1 AS user_id, timestamp'2024-01-01 00:00:00' AS ts UNION ALL SELECT 1, timestamp'2024-01-01 00:05:00' UNION ALL SELECT 1, timestamp'2024-01-01 02:00:00'")
     assert sorted(r["n"] for r in sessions(ev, "30 minutes", "user_id").collect()) == [1, 2]
+
+
+def test_token_rescue_order_and_uniqueness(spark):
+    missing = spark.createDataFrame([(2020, "A", "Juan Carlos Lopez"), (2020, "A", "Bob Stone"), (2020, "B", "Al Li")], "season int, team string, name string")
+    known = spark.createDataFrame([(2020, "A", "Carlos Diaz"), (2020, "A", "Pedro Lopez"), (2020, "A", "Rob Stone"), (2020, "A", "Sam Stone"), (2020, "A", "Bob Gray"), (2020, "B", "Al Li")], "season int, team string, name string")
+    got = {r["name"]: r["match"] for r in matching.token_rescue(missing, known).collect()}
+    assert got == {"Juan Carlos Lopez": "Pedro Lopez", "Bob Stone": "Bob Gray"}
+
+
+def test_unified_refuses_repeated_keys(spark):
+    from fastbreak.plans import context
+
+    base = spark.createDataFrame([(1, 2020), (2, 2020)], "athlete_id int, season int")
+    twice = spark.createDataFrame([(1, 2020, 5), (1, 2020, 6)], "athlete_id int, season int, x int")
+    assert context.unified(base, {"f": twice.limit(1)}, ["athlete_id", "season"]).count() == 2
+    with pytest.raises(Exception, match="repeats a key"):
+        context.unified(base, {"f": twice}, ["athlete_id", "season"]).collect()
