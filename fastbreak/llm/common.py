@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="fastbreak-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -34,22 +39,53 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/fastbreak/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables made in the innermost `scratch` block.
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of `materialize` that nothing reads any more."""
-    path = getattr(df, "scratch", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, left: list[str] | None = None) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables materialized inside at the end, but for those passed to what it yields.
+
+    Whatever leaves the block must be read from a table that was kept. With `left` nothing is deleted
+    and the paths are appended to it, for a caller that deletes them once their readers are written.
+    """
+    outer, made, kept = _MADE.get(), [], set()
+    token = _MADE.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        if left is not None:
+            left += made
+        else:
+            for path in made:
+                if path not in kept:
+                    remove(spark, path)
+            if outer is not None:
+                outer += kept
 
 
 def ascii_lower(c: Column | str) -> Column:
@@ -75,3 +111,19 @@ def lookup(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     split a partition of the left side that a hot key fills.
     """
     return left.join(materialize(right, name), key, "left")
+
+
+#: Up to so many keys (of a digest's size each) a side may be broadcast; beyond that both sides are shuffled.
+FEW_KEYS = 1_000_000
+
+
+def few(keys: DataFrame) -> bool:
+    return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
+
+def with_keys(left: DataFrame, keys: DataFrame, on: list[str], anti: bool = False) -> DataFrame:
+    """The rows of `left` whose key is (with `anti`: is not) in `keys`, a written table.
+
+    Texts on the left stay where they are while the keys are few.
+    """
+    return left.join(F.broadcast(keys) if few(keys) else keys, on, "left_anti" if anti else "left_semi")
