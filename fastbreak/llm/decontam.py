@@ -7,14 +7,14 @@ normalised the same way, scanned once, and matches are mapped back to word numbe
 the original text.
 
 Defined cases: a null or word-less text has no words and no hits; a null or word-less item has no
-window; items that share a window are all reported; rows with a null item_id are matched but have no
-id to report and are left out; repeated document rows are each reported; an empty benchmark hits
+window; items that share a window are all reported; rows with a null item_id are matched like others
+(their hits carry a null id), but there is no id to list; repeated document rows are each reported; an empty benchmark hits
 nothing; other columns of either table are not read.
 
 Scale: the scan is a map over the documents without a shuffle. The patterns do not grow with the
-documents. They are cut in blocks of at most `block_bytes`, one automaton each, and the documents
-pass through the blocks one after the other, so an executor holds one bounded automaton per block
-step however large the benchmark is.
+documents. They are written as a table and dealt by hash in blocks of about `block_bytes`; the driver
+and each task hold one block and its automaton at a time, however large the benchmark is. One block is
+the rule; with more, the hits so far are written between the passes.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fastbreak.llm.common import materialize, scratch
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 HITS = "array<struct<item_id:bigint,word_from:int,word_to:int,start:int,end:int>>"
@@ -53,22 +55,21 @@ def patterns(benchmark: DataFrame, window: int) -> DataFrame:
                     rows.add((b" " + b" ".join(w[i : i + window]) + b" ", item))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.int64())], names=["pattern", "item_id"])
 
-    picked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null")
-    return picked.mapInArrow(cut, "pattern binary, item_id bigint").distinct()
+    picked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    return picked.mapInArrow(cut, "pattern binary, item_id bigint")
 
 
-def blocks(pats: DataFrame, block_bytes: int) -> Iterator[dict[bytes, list[int]]]:
-    """The patterns in blocks, streamed one partition at a time; a pattern is in one block."""
-    block: dict[bytes, list[int]] = {}
-    used = 0
-    for row in pats.groupBy("pattern").agg(F.sort_array(F.collect_set("item_id")).alias("items")).toLocalIterator():
-        block[bytes(row["pattern"])] = list(row["items"])
-        used += len(row["pattern"]) + 8 * len(row["items"])
-        if used >= block_bytes:
+def blocks(pats: DataFrame, block_bytes: int) -> Iterator[dict[bytes, list[int | None]]]:
+    """The patterns in blocks, one at a time; a pattern is in one block, None stands for items without an id."""
+    items = F.array_sort(F.collect_set("item_id"))
+    all_ = F.when(F.max(F.col("item_id").isNull()), F.concat(items, F.array(F.lit(None).cast("bigint")))).otherwise(items)
+    grouped = materialize(pats.groupBy("pattern").agg(all_.alias("items")), "patterns")
+    used = grouped.agg(F.sum(F.length("pattern") + 8 * F.size("items"))).first()[0] or 0
+    n = -(-used // block_bytes)
+    for k in range(n):
+        own = grouped if n == 1 else grouped.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k)
+        if block := {bytes(r["pattern"]): list(r["items"]) for r in own.collect()}:
             yield block
-            block, used = {}, 0
-    if block:
-        yield block
 
 
 def automaton(block: dict[bytes, list[int]]):
@@ -119,25 +120,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     Columns of these two names are replaced. Word ranges are inclusive; start and end are code-point offsets into the original text.
     """
     out = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "hits": F.array().cast(HITS)})
-    held = list(blocks(patterns(benchmark, window), block_bytes)) or [{}]
-    for block in held:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def scan_batches(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = automaton(shared.value) if shared.value else None
-            for batch in batches:
-                got = [scan(t, auto) if auto is not None else (len(split_words(t)), []) for t in batch.column("text").to_pylist()]
-                n, hits = (batch.schema.get_field_index(c) for c in ("n_words", "hits"))
-                both = [[*old, *new] for old, (_, new) in zip(batch.column(hits).to_pylist(), got, strict=True)]
-                cols = list(batch.columns)
-                cols[n] = pa.array([x for x, _ in got], pa.int64())
-                cols[hits] = pa.array(both, HITS_ARROW)
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-
-        out = out.mapInArrow(scan_batches, out.schema)
+    schema, spark = out.schema, docs.sparkSession
+    with scratch(spark) as keep:
+        todo = blocks(patterns(benchmark, window), block_bytes)
+        block = next(todo, {})
+        while block is not None:
+            later = next(todo, None)
+            out = scanned(out, spark.sparkContext.broadcast(block), schema)
+            if later is not None:
+                out = keep(materialize(out, "hits"))
+            block = later
     return out
 
 
+def scanned(docs: DataFrame, shared, schema) -> DataFrame:
+    """n_words set, and the hits of one block added."""
+
+    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton(shared.value) if shared.value else None
+        for batch in batches:
+            got = [scan(t, auto) if auto is not None else (len(split_words(t)), []) for t in batch.column("text").to_pylist()]
+            n, hits = (batch.schema.get_field_index(c) for c in ("n_words", "hits"))
+            both = [[*old, *new] for old, (_, new) in zip(batch.column(hits).to_pylist(), got, strict=True)]
+            cols = list(batch.columns)
+            cols[n] = pa.array([x for x, _ in got], pa.int64())
+            cols[hits] = pa.array(both, HITS_ARROW)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(scan_batches, schema)
+
+
 def n_hit(hits: Column) -> Column:
     """Distinct words that lie in any hit."""
     return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["word_from"], h["word_to"]))))).cast("bigint")
@@ -151,7 +163,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op1_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    items = F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string")))
+    items = F.array_compact(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
     found = find_contamination(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", n_hit(F.col("hits")).alias("n_hit"), F.array_sort(items).alias("items"))
     return found.select(
         "doc_id",
@@ -167,7 +179,7 @@ def op1_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 SQL = r"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
@@ -180,7 +192,7 @@ hit AS (
         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win))) d
   JOIN win ON win.n = d.n AND win.g = d.g),
 covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+found AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
           FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT doc.doc_id, len(doc.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
