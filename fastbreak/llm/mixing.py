@@ -18,7 +18,9 @@ extra columns are not read. A rerun gives the same mix.
 
 Scale: texts are read once for their word counts and never shuffled. Stream offsets come from two
 levels (a fixed number of hash buckets per source, then a window inside a bucket), so a source with
-a third of all rows is spread out. The source list is collected, up to `MAX_SOURCES` rows; more
+a third of all rows is spread out. A source's slots are numbered in two levels as well (ranges of
+`SHARD_RANGE` shards, then inside a range) and made shard by shard, so no task makes all slots of a
+source. The source list is collected, up to `MAX_SOURCES` rows; more
 raise an error rather than outgrow the driver.
 """
 
@@ -34,10 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import materialize
+from fastbreak.llm.common import materialize, scratch
 
 BLOCK = 256
 SHARD_SLOTS = 4096
+SHARD_RANGE = 1024
 BUCKETS = 4096
 MAX_REPEAT = 3
 MAX_SOURCES = 200_000
@@ -127,13 +130,14 @@ def stream(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"),
     )
-    sized = materialize(sized, "sizes")
-    totals = sized.groupBy("sk", "bucket").agg(F.sum("size").alias("n"))
-    before = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select("sk", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("sk", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.join(base.hint("merge"), ["sk", "bucket"]).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return materialize(placed.select("doc_id", "source", "sk", "size", "first"), "stream")
+    with scratch(docs.sparkSession) as keep:
+        sized = materialize(sized, "sizes")
+        totals = sized.groupBy("sk", "bucket").agg(F.sum("size").alias("n"))
+        before = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        base = totals.select("sk", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        inside = W.partitionBy("sk", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        placed = sized.join(base.hint("merge"), ["sk", "bucket"]).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        return keep(materialize(placed.select("doc_id", "source", "sk", "size", "first"), "stream"))
 
 
 def targets(spark: SparkSession, placed: DataFrame, block: int, max_repeat: int, seed: int) -> list[dict]:
@@ -171,9 +175,12 @@ def slots(spark: SparkSession, plan: list[dict], shard_slots: int, seed: int) ->
     surplus, lack = np.maximum(made - owed, 0), np.maximum(owed - made, 0)
     surplus_at, lack_ends = np.cumsum(surplus) - surplus, np.cumsum(lack)
     blocks, trims = np.array([p["blocks"] for p in plan], dtype=np.int64), np.array([p["trim"] for p in plan], dtype=np.int64)
-    before = W.partitionBy("src").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    runs = drawn.withColumn("j", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    each = runs.select("shard", "src", "slot", "j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    ranged = drawn.withColumn("range", F.floor(F.col("shard") / SHARD_RANGE))
+    before = W.partitionBy("src").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    base = ranged.groupBy("src", "range").agg(F.sum("n").alias("m")).select("src", "range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inside = W.partitionBy("src", "range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    runs = ranged.join(base.hint("merge"), ["src", "range"]).withColumn("j", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    each = runs.select("shard", "src", "slot", "j", "n").repartition("shard").select("shard", "src", "slot", "j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     each = each.select("shard", "src", (F.col("slot") + F.col("i")).alias("slot"), (F.col("j") + F.col("i")).alias("j"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
