@@ -8,15 +8,19 @@ prior is estimated as the share of 1 among the labelled training rows; labels 0
 
 A text is described by statistics of its whole text: sizes, character classes, repetition of words,
 windows and lines, entropy. Labels, language, source and ids are no inputs. A network with one hidden
-layer is fitted in numpy on a bounded sample: at most `MAX_POSITIVE` positives and `MAX_UNLABELLED`
-unlabelled training rows, those with the smallest hashes. Every row is scored.
+layer is fitted in numpy. Its unlabelled set is every training row: mean and scale are taken over all
+of them, and in each of `ROUNDS` rounds every row is read `PASSES` times by one of the trainers, whose
+weights are averaged by the rows they read. Only the labelled positives are bounded: at most
+`MAX_POSITIVE`, those with the smallest hashes, are held by every trainer. Every row is scored.
 
 Defined cases: null and empty texts have all statistics 0 and get that point's score; without any
 positive training row all scores are 0.5; a null doc_id counts as the empty text in the split;
 repeated rows are each scored; labels of unknown documents are ignored, of repeated labels the
 largest counts; an empty table gives an empty result; extra columns are not read.
 
-Scale: one pass over the texts writes 20 numbers per row; nothing else reads texts.
+Scale: one pass over the texts writes 20 numbers per row; nothing else reads texts. A trainer reads
+about `TRAINER_ROWS` rows, so trainers grow with the corpus and not with the cluster; one copy of the
+weights (a few hundred numbers) reaches the driver in a round.
 """
 
 from __future__ import annotations
@@ -29,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import crc_mod, lookup, materialize
+from fastbreak.llm.common import crc_mod, materialize, scratch
 
-MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
+MAX_POSITIVE, TRAINER_ROWS = 20_000, 50_000
 FOLDS, THRESHOLD = 5, 0.3
-HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 30, 512, 0.005, 1e-4, 7
+HIDDEN, ROUNDS, PASSES, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 16, 3, 10, 20, 512, 0.005, 1e-4, 7
 BETA = 0.0
 
 UPPER = np.zeros(256, bool)
@@ -88,11 +92,19 @@ def describe(docs: DataFrame) -> DataFrame:
 class Net:
     """Standardised inputs, one tanh layer, one logit."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, rng: np.random.Generator):
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = SEED):
         self.mean, self.scale = mean, scale
-        k = len(mean)
+        rng, k = np.random.default_rng(seed), len(mean)
         self.p = [rng.normal(0, 1 / math.sqrt(k), (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / math.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
 
+    def pack(self) -> list[float]:
+        return np.concatenate([p.ravel() for p in self.p]).tolist()
+
+    def unpack(self, values: list[float]) -> Net:
+        ends = np.cumsum([p.size for p in self.p])
+        self.p = [x.reshape(p.shape) for x, p in zip(np.split(np.array(values), ends[:-1]), self.p, strict=True)]
+        return self
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         h = np.tanh(z @ self.p[0] + self.p[1])
@@ -106,25 +118,26 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.forward(x)[2], -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED) -> Net:
-    """Minimise the non-negative PU risk."""
+def fit(net: Net, positive: np.ndarray, unlabelled: np.ndarray, prior: float, passes: int, seed: int) -> Net:
+    """Minimises the non-negative PU risk; a pass reads every unlabelled row once, few rows several times."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    net = Net(both.mean(0), both.std(0) + 1e-9, rng)
     m, v, t = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p], 0
-    steps = max(20, -(-len(unlabelled) // BATCH))
-    for _ in range(EPOCHS):
-        for _ in range(steps):
-            xp, xu = positive[rng.integers(len(positive), size=BATCH)], unlabelled[rng.integers(len(unlabelled), size=BATCH)]
+    size = min(BATCH, len(unlabelled))
+    for _ in range(passes):
+        order = rng.permutation(len(unlabelled))
+        while len(order) < LEAST_STEPS * size:
+            order = np.concatenate([order, rng.permutation(len(unlabelled))])
+        for k in range(0, len(order), size):
+            xp, xu = positive[rng.integers(len(positive), size=size)], unlabelled[order[k : k + size]]
             zp, hp, gp = net.forward(xp)
             zu, hu, gu = net.forward(xu)
-            sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+            sp, su = 1 / (1 + np.exp(-np.clip(gp, -500, 500))), 1 / (1 + np.exp(-np.clip(gu, -500, 500)))
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
             if negative >= -BETA:
                 dp, du = prior * (sp - 1) - prior * sp, su
             else:
                 dp, du = prior * sp, -su  # climb out of the negative part alone
-            grads = [a + b for a, b in zip(net.gradient(zp, hp, dp / BATCH), net.gradient(zu, hu, du / BATCH), strict=True)]
+            grads = [a + b for a, b in zip(net.gradient(zp, hp, dp / len(xp)), net.gradient(zu, hu, du / len(xu)), strict=True)]
             t += 1
             for i, g in enumerate(grads):
                 g = g + DECAY * net.p[i]
@@ -134,6 +147,48 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+
+
+def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and scale of every statistic, combined inside tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+        for batch in batches:
+            x = matrix(batch.column(0))
+            n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), pa.array([n] * N_FEATURES, pa.int64()), pa.array(s), pa.array(q)], names=["k", "n", "s", "q"])
+
+    got = rows.select("x").mapInArrow(work, "k int, n bigint, s double, q double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("k").collect()
+    n = got[0]["n"]
+    mean = np.array([r["s"] for r in got]) / max(n, 1)
+    return n, mean, np.sqrt(np.maximum(np.array([r["q"] for r in got]) / max(n, 1) - mean**2, 0)) + 1e-9
+
+
+def fit_rounds(rows: DataFrame, positive: np.ndarray, prior: float) -> Net:
+    """Rounds of `fit` in parallel over all rows with averaged weights."""
+    n, mean, scale = moments(rows)
+    net, trainers = Net(mean, scale), -(-n // TRAINER_ROWS)
+    held = rows.sparkSession.sparkContext.broadcast(positive)
+    dealt = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x").repartition(trainers, "h").sortWithinPartitions("h").select("x")
+    for k in range(ROUNDS):
+        now = net.pack()
+
+        def work(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
+            own = [matrix(b.column(0)) for b in batches]
+            if sum(map(len, own)):
+                x = np.concatenate(own)
+                got = fit(Net(mean, scale).unpack(now), held.value, x, prior, PASSES, SEED + k).pack()
+                yield pa.RecordBatch.from_arrays([pa.array([len(x)] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got)], names=["n", "i", "w"])
+
+        mine = dealt.mapInArrow(work, "n bigint, i int, w double")
+        mean_w = mine.groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).orderBy("i").collect()
+        net.unpack([r["w"] for r in mean_w])
+    return net
+
+
 def sample(rows: DataFrame, most: int) -> np.ndarray:
     """Statistics of the `most` rows with the smallest hashes."""
     hashed = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x")
@@ -148,18 +203,19 @@ def train(described: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Net |
     """Learns from rows outside fold 0 only."""
     rows = described.where(crc_mod(F.col("doc_id"), folds) != 0)
     known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
-    marked = lookup(rows, known, "doc_id", "labels")
-    positive = sample(marked.where("quality = 1"), MAX_POSITIVE)
-    if not len(positive):
-        return None
-    prior = marked.where("quality is not null").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    return fit(positive, sample(rows, MAX_UNLABELLED), min(max(prior, 0.01), 0.99))
+    with scratch(described.sparkSession):
+        marked = materialize(rows.join(materialize(known, "labels").hint("merge"), "doc_id").select("doc_id", "x", "quality"), "marked")
+        positive = sample(marked.where("quality = 1"), MAX_POSITIVE)
+        if not len(positive):
+            return None
+        prior = marked.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return fit_rounds(rows, positive, min(max(prior, 0.01), 0.99))
 
 
 def score(described: DataFrame, net: Net | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), dtype=np.float64).reshape(-1, N_FEATURES)
+            x = matrix(batch.column("x"))
             s = net.score(x) if net else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
