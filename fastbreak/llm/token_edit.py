@@ -1,37 +1,43 @@
 """Edit-aware token counts.
 
 A document keeps its pre-tokens (the pieces a byte-pair tokenizer never merges across) in segments of
-about `SEGMENT` pre-tokens, and a tree of sums over the segments' token counts. An edit replaces a
-range of characters. Only the segments it touches, with one on either side as context, are cut again
-and their changed pieces encoded; then the sums above them are updated. Cutting goes on segment by
-segment until a border of the old text is met, so the result always equals a fresh count.
+about `SEGMENT` pre-tokens, and trees of sums over the segments' token and character counts. An edit
+replaces a range of characters. Only the segments it touches, with one on either side as context, are
+cut again and encoded; the pieces are dealt over the same segments and the sums above them updated.
+Cutting goes on segment by segment until a border of the old text is met, so the result always equals
+a fresh count. Trees are rebuilt only when a region outgrows its segments `OVERFULL` times.
+
+`index_documents` writes the state as a table: text, lengths of pre-tokens, pre-tokens of each segment
+and both trees. `apply_edits` takes that table and a later batch of edits to the next state; rows
+without edits are passed on as they are, without Python.
 
 The encoder is a public byte-pair vocabulary in tiktoken form; its path is a parameter. A task keeps
 the counts of pre-tokens it has met, up to `CACHE` of them.
 
-Defined cases: a null text is empty; edits outside the text are clipped to it; a null insert inserts
-nothing; edits apply in order of seq, ties by start, end and insert; edits of unknown documents are
-ignored; a document without edits is counted once; repeated rows are each counted; an empty table
-gives an empty result; extra columns are not read.
+Defined cases: a null text is empty; edits outside the text are clipped to it; a null place is 0, a
+null insert inserts nothing; edits apply in order of seq, ties by start, end and insert; edits of
+unknown or null documents are ignored; a document without edits keeps its counts; rows that repeat a
+doc_id each get its edits; an empty table gives an empty result; extra columns are not read.
 
-Scale: a map over documents with a column of edits; `attach_edits` joins them by document id, grouped
-first, so a hot document holds its edits and nothing else.
+Scale: maps over documents. `attach_edits` joins edits by document id, grouped first, so a hot document
+holds its edits and nothing else; the state is exchanged only for that join.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import lookup
+from fastbreak.llm.common import materialize, scratch
 
-SEGMENT = 64
+SEGMENT, OVERFULL = 64, 4
 CACHE = 1 << 19
+ROWS = 256
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,14 +78,16 @@ class Counter:
 class Tree:
     """Sums over a list of numbers: binary tree in an array; a changed run updates the nodes above it."""
 
-    def __init__(self, leaves: list[int]):
-        self.build(leaves)
+    def __init__(self, node: list[int]):
+        self.node, self.n = node, len(node) // 2
 
-    def build(self, leaves: list[int]) -> None:
-        self.n = len(leaves)
-        self.node = [0] * self.n + leaves
-        for i in range(self.n - 1, 0, -1):
-            self.node[i] = self.node[2 * i] + self.node[2 * i + 1]
+    @classmethod
+    def over(cls, leaves: list[int]) -> Tree:
+        n = len(leaves)
+        node = [0] * n + leaves
+        for i in range(n - 1, 0, -1):
+            node[i] = node[2 * i] + node[2 * i + 1]
+        return cls(node)
 
     def set(self, i: int, value: int) -> None:
         i += self.n
@@ -106,111 +114,154 @@ class Tree:
 
 
 class Document:
-    """Segments of pre-tokens with trees of their token counts and character lengths."""
+    """Text, lengths of its pre-tokens, pre-tokens of each segment, and trees of token and character counts."""
+
+    def __init__(self, counter: Counter, text: str, pieces: np.ndarray, sizes: np.ndarray, tokens: Tree, chars: Tree):
+        self.counter, self.text, self.pieces, self.sizes, self.tokens, self.chars = counter, text, pieces, sizes, tokens, chars
 
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
+    @classmethod
+    def fresh(cls, text: str, counter: Counter) -> Document:
         pieces = counter.cut(text)
-        self.segments = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
-        self.tokens = Tree([counter.count(s) for s in self.segments])
-        self.chars = Tree([sum(map(len, s)) for s in self.segments])
+        segments = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
+        lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        tokens, chars = Tree.over([counter.count(s) for s in segments]), Tree.over([sum(map(len, s)) for s in segments])
+        return cls(counter, text, lengths, np.array([len(s) for s in segments], dtype=np.int32), tokens, chars)
 
     def total(self) -> int:
         return self.tokens.total()
 
-    def text(self) -> str:
-        return "".join(p for s in self.segments for p in s)
-
-    def find(self, at: int) -> tuple[int, int]:
-        """The segment that holds character `at`, and the characters before it."""
-        lo, hi = 0, len(self.segments) - 1
+    def find(self, at: int) -> int:
+        """The last segment that begins at or before character `at`."""
+        lo, hi = 0, self.chars.n - 1
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            if self.chars.below(mid) <= at:
-                lo = mid
-            else:
-                hi = mid - 1
-        return lo, self.chars.below(lo)
+            lo, hi = (mid, hi) if self.chars.below(mid) <= at else (lo, mid - 1)
+        return lo
 
     def edit(self, start: int, end: int, insert: str) -> None:
-        size = self.chars.total()
+        size, last_segment = len(self.text), self.chars.n - 1
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
-        first, last = self.find(start)[0], self.find(max(start, end - 1))[0]
+        first = self.find(start)
+        stop = max(first, self.find(max(start, end - 1)))
         first = max(first - 1, 0)
+        while first and not self.sizes[first]:
+            first -= 1
         base = self.chars.below(first)
-        stop = min(last + 1, len(self.segments) - 1)
+        stop = min(stop + 1, last_segment)
+        piece = int(self.sizes[: first].sum())
         while True:  # until what is cut again ends where a segment ended before
-            old = "".join(p for s in self.segments[first : stop + 1] for p in s)
-            new = old[: start - base] + insert + old[end - base :]
-            if stop == len(self.segments) - 1:
-                pieces = self.counter.cut(new)
-                break
-            ahead = "".join(self.segments[stop + 1])
-            both = self.counter.cut(new + ahead)
-            ends, at = [], 0
-            for p in both:
-                at += len(p)
-                ends.append(at)
-            k = bisect.bisect_left(ends, len(new))
-            if k < len(ends) and ends[k] == len(new) and both[k + 1 :] == self.segments[stop + 1]:
-                pieces = both[: k + 1]
+            while stop < last_segment and not self.sizes[stop + 1]:
+                stop += 1
+            upto = self.chars.below(stop + 1)
+            new = self.text[base:start] + insert + self.text[end : max(upto, end)]
+            if stop == last_segment:
+                cut = self.counter.cut(new)
                 break
-            if not new and both == self.segments[stop + 1]:
-                pieces = []
+            behind = int(self.sizes[: stop + 1].sum())
+            following = self.pieces[behind : behind + self.sizes[stop + 1]].tolist()
+            both = self.counter.cut(new + self.text[upto : upto + sum(following)])
+            lengths = [len(p) for p in both]
+            k = len(both) - len(following)
+            if k >= 0 and lengths[k:] == following and sum(lengths[:k]) == len(new):
+                cut = both[:k]
                 break
             stop += 1
-        again = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
-        counts = [self.counter.count(s) for s in again]
-        chars = [sum(map(len, s)) for s in again]
-        if len(again) == stop + 1 - first:
-            for i, (s, t, c) in enumerate(zip(again, counts, chars, strict=True), first):
-                self.segments[i] = s
+        behind, own = int(self.sizes[: stop + 1].sum()), stop + 1 - first
+        lengths = np.fromiter(map(len, cut), np.int32, len(cut))
+        self.text = self.text[:base] + new + self.text[max(upto, end) :]
+        self.pieces = np.concatenate([self.pieces[:piece], lengths, self.pieces[behind:]])
+        if len(cut) > OVERFULL * SEGMENT * own:
+            parts = [cut[i : i + SEGMENT] for i in range(0, len(cut), SEGMENT)]
+        else:  # the same segments, dealt evenly
+            edges = [len(cut) * i // own for i in range(own + 1)]
+            parts = [cut[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        counts, chars = [self.counter.count(x) for x in parts], [sum(map(len, x)) for x in parts]
+        sizes = np.array([len(x) for x in parts], dtype=np.int32)
+        if len(parts) == own:
+            self.sizes[first : stop + 1] = sizes
+            for i, (t, c) in enumerate(zip(counts, chars, strict=True), first):
                 self.tokens.set(i, t)
                 self.chars.set(i, c)
             return
-        old_tokens, old_chars = self.tokens.node[self.tokens.n :], self.chars.node[self.chars.n :]
-        self.segments[first : stop + 1] = again
-        self.tokens.build(old_tokens[:first] + counts + old_tokens[stop + 1 :])
-        self.chars.build(old_chars[:first] + chars + old_chars[stop + 1 :])
+        self.sizes = np.concatenate([self.sizes[:first], sizes, self.sizes[stop + 1 :]])
+        for tree, values in ((self.tokens, counts), (self.chars, chars)):
+            old = tree.node[tree.n :]
+            tree.__init__(Tree.over(old[:first] + values + old[stop + 1 :]).node)
 
 
-COUNTS = "n_chars bigint, n_pretokens bigint, n_tokens bigint, n_edits bigint, n_chars_after bigint, n_tokens_after bigint, n_recounted bigint"
+STATE = "text string, pieces array<int>, sizes array<int>, token_tree array<int>, char_tree array<int>"
+EDIT = "struct<seq:int,start:int,end:int,insert:string>"
 
 
-EDIT = "struct<seq:int,start:int,end:int,insert:string>"
+def state_batch(ids: pa.Array, docs: list[Document], more: dict[str, list[int]] | None = None) -> pa.RecordBatch:
+    ints = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+    cols = {
+        "doc_id": ids, "text": pa.array([d.text for d in docs], pa.string()), "pieces": ints([d.pieces for d in docs]), "sizes": ints([d.sizes for d in docs]),
+        "token_tree": ints([d.tokens.node for d in docs]), "char_tree": ints([d.chars.node for d in docs]),
+    }
+    cols |= {k: pa.array(v, pa.int64()) for k, v in (more or {}).items()}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
 
+def index_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, STATE): the state of every document of (doc_id, text)."""
+    path, kind = vocabulary or default_vocabulary(), docs.schema["doc_id"].dataType.simpleString()
 
-def attach_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """`docs` with the edits (doc_id, seq, start, end, insert) of each document as a column."""
-    own = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end", "insert"))).cast(f"array<{EDIT}>").alias("edits"))
-    return lookup(docs, own, "doc_id", "edits")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                yield state_batch(part.column(0), [Document.fresh(t.as_py() or "", counter) for t in part.column(1)])
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {STATE}")
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Per document (doc_id, text, edits) its token count before and after its edits.
+def attach_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
+    """`state` with the edits (doc_id, seq, start, end, insert) of each document as a column."""
+    with scratch(state.sparkSession) as keep:
+        own = edits.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end", "insert"))).cast(f"array<{EDIT}>").alias("edits"))
+        own = keep(materialize(own, "edits"))
+    return state.join(own.hint("merge"), "doc_id", "left")
+
+
+def apply_edits(edited: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The next state of rows (doc_id, STATE, edits), with n_edits and n_recounted.
 
     n_recounted is the number of pre-tokens the edits had looked up again; a fresh count would look up
     all of them once per edit.
     """
-    path = vocabulary or default_vocabulary()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    path, kind = vocabulary or default_vocabulary(), edited.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in STATE.split(", ")), "edits"]
+    some = F.coalesce(F.size("edits"), F.lit(0)) > 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for batch in batches:
-            rows = []
-            for text, todo in zip(batch.column("text"), batch.column("edits"), strict=True):
-                text = text.as_py() or ""
-                doc = Document(text, counter)
-                before, pieces, done, n = doc.total(), sum(map(len, doc.segments)), counter.encoded, 0
-                for e in todo.as_py() or []:
-                    doc.edit(e["start"] or 0, e["end"] or 0, e["insert"] or "")
-                    n += 1
-                rows.append((len(text), pieces, before, n, doc.chars.total(), doc.total(), counter.encoded - done))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(7))], names=["doc_id", *(c.split()[0] for c in COUNTS.split(", "))])
-
-    return docs.select("doc_id", "text", "edits").mapInArrow(work, f"doc_id {kind}, {COUNTS}")
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                docs, done, looked = [], [], []
+                for text, pieces, sizes, tokens, chars, todo in zip(*(part.column(i) for i in range(1, 7)), strict=True):
+                    ints = lambda x: x.values.to_numpy().astype(np.int32)
+                    doc = Document(counter, text.as_py(), ints(pieces), ints(sizes), Tree(ints(tokens).tolist()), Tree(ints(chars).tolist()))
+                    before = counter.encoded
+                    for e in todo.as_py():
+                        doc.edit(e["start"] or 0, e["end"] or 0, e["insert"] or "")
+                    docs.append(doc)
+                    done.append(len(todo))
+                    looked.append(counter.encoded - before)
+                yield state_batch(part.column(0), docs, {"n_edits": done, "n_recounted": looked})
+
+    touched = edited.select(names).where(some).mapInArrow(work, f"doc_id {kind}, {STATE}, n_edits bigint, n_recounted bigint")
+    zero = F.lit(0).cast("bigint")
+    return touched.unionByName(edited.where(~some).select(*names[:-1], zero.alias("n_edits"), zero.alias("n_recounted")))
+
+
+def counts(state: DataFrame) -> dict[str, Column]:
+    """Totals of a state, read from the roots of its trees."""
+    root = lambda c: F.when(F.size(c) > 2, F.get(c, F.lit(1))).otherwise(F.element_at(c, -1)).cast("bigint")
+    return {"n_chars": root("char_tree"), "n_pretokens": F.size("pieces").cast("bigint"), "n_tokens": root("token_tree")}
 
 
 def standing_edits(docs: DataFrame) -> DataFrame:
@@ -231,4 +282,17 @@ def standing_edits(docs: DataFrame) -> DataFrame:
 
 
 def op5_edit_token_counts(docs: DataFrame) -> DataFrame:
-    return count_tokens(standing_edits(docs.select("doc_id", "text")))
+    """Counts of every text, and after three edits applied to the state that was written."""
+    with scratch(docs.sparkSession) as keep:
+        state = keep(materialize(index_documents(docs), "token-index"))
+    before = {f"before_{k}": v for k, v in counts(state).items()}
+    ids = state.schema["doc_id"].dataType.simpleString()
+    names = ", ".join(f"{k}:bigint" for k in before)
+    # the counts before travel beside the id
+    kept = standing_edits(state).withColumn("doc_id", F.struct("doc_id", *(v.alias(k) for k, v in before.items())).cast(f"struct<doc_id:{ids},{names.replace(' ', '')}>"))
+    after = apply_edits(kept)
+    now = counts(after)
+    return after.select(
+        "doc_id.doc_id", *(F.col(f"doc_id.before_{k}").alias(k) for k in now),
+        "n_edits", now["n_chars"].alias("n_chars_after"), now["n_tokens"].alias("n_tokens_after"), "n_recounted",
+    )
