@@ -59,23 +59,27 @@ def n_repeat_words(w: Column) -> Column:
     at = F.sequence(F.lit(0), last)
     gram = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     hashes = F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    # different hashes are different windows; where some agree, windows are sorted by hash and place in
-    # one number and neighbours compared as text (texts too long for that are sorted as text)
+    # different hashes are different windows; where some agree, windows are sorted by part of the hash and
+    # place in one number and neighbours compared as text; where neighbours agree in that part and differ
+    # as text, and where a text is too long for the number, windows are sorted as text
     packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, POS_BITS).bitwiseOR(i.cast("bigint"))))
     sorted_grams = F.sort_array(F.transform(at, lambda i: F.struct(gram(i).alias("g"), i.alias("p"))))
     place = lambda x: x.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int")
-    alike = lambda x, y: F.coalesce((F.shiftright(x, POS_BITS) == F.shiftright(y, POS_BITS)) & (gram(place(x)) == gram(place(y))), F.lit(False))
+    near = lambda x, y: F.coalesce(F.shiftright(x, POS_BITS) == F.shiftright(y, POS_BITS), F.lit(False))
     covered = lambda p: F.size(F.array_distinct(F.flatten(F.transform(p, lambda i: F.array(i, i + 1, i + 2)))))
 
+    bind = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))
+
     def by_hash(s: Column) -> Column:
-        return covered(F.transform(F.filter(s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1))), place))
+        """Null if different windows share the part of the hash."""
+        again = F.filter(s, lambda x, k: near(x, F.get(s, k - 1)) | near(x, F.get(s, k + 1)))
+        return bind(again, lambda a: F.when(~F.exists(F.transform(a, lambda x, k: near(x, F.get(a, k - 1)) & (gram(place(x)) != gram(place(F.get(a, k - 1))))), lambda x: x), covered(F.transform(a, place))))
 
     def by_text(s: Column) -> Column:
         same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
         return covered(F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["p"]))
 
-    bind = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))
-    exact = F.when(last < 1 << POS_BITS, bind(packed, by_hash)).otherwise(bind(sorted_grams, by_text))
+    exact = F.coalesce(F.when(last < 1 << POS_BITS, bind(packed, by_hash)), bind(sorted_grams, by_text))
     return F.when(last < 0, 0).when(F.size(F.array_distinct(hashes)) == last + 1, 0).otherwise(exact).cast("bigint")
 
 
