@@ -6,10 +6,11 @@ frequent words, cut in classes of equal size by frequency; P(token) = P(class |
 class, state). An unknown word costs P(unknown | state) times its add-one share among all words
 outside the vocabulary, so probabilities sum to one over known words and one place for new ones.
 
-Training is truncated backpropagation in numpy over every token of every training text: `BATCH` lanes
-read texts to their ends, one after another, in windows of `WINDOW` tokens; the state is carried over
-inside a text and starts anew with the next. Trainers work on their own partitions for a round, then
-their weights are averaged; the biases start at the unigram, so the model starts as good as the base.
+Training is truncated backpropagation in numpy over every token of every training text, each read
+once: `BATCH` lanes read texts to their ends, one after another, in windows of `WINDOW` tokens; the
+state is carried over inside a text and starts anew with the next. Trainers work on their own
+partitions for a round, then their weights are averaged by the tokens they read; the biases start at
+the unigram, so the model starts as good as the base.
 Scoring runs over whole texts in windows, many texts side by side, with the state carried to the end.
 
 Defined cases: a null or empty text is its end alone; a null doc_id counts as the empty text in the
@@ -18,9 +19,10 @@ scored; an empty table gives an empty result; extra columns are not read.
 
 Scale: counts are combined inside tasks before they are shuffled. The `HEAD_WORDS` most frequent words
 are held by every task; for all others (document, word) pairs join the count table. Weights are about
-half a megabyte; one task averages the copies of at most `MAX_TRAINERS` trainers, and one copy reaches
-the driver in a round. Rounds, passes and trainers follow from the training texts alone, not from the
-cluster: a text is read once, in the round its key names.
+a quarter of a megabyte. A trainer reads about `TRAINER_TOKENS` tokens in a round, so trainers grow with
+the corpus and not with the cluster; their copies are averaged in two steps, groups of about the square
+root of their number first, and one copy reaches the driver in a round. A text is read in the round its
+key names.
 """
 
 from __future__ import annotations
@@ -35,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import LOWER, UPPER, crc_mod, lookup, materialize
+from fastbreak.llm.common import LOWER, UPPER, crc_mod, materialize, scratch
 
 FOLDS, HELD_OUT = 7, 2
-HEAD_WORDS, MODEL_WORDS = 1 << 16, 2000
-HIDDEN, WINDOW, SPAN, BATCH, RATE = 16, 32, 64, 128, 0.005
-ROUNDS, MAX_TRAINERS, SPANS_A_TRAINER = 3, 32, 2000
+HEAD_WORDS, MODEL_WORDS = 1 << 16, 1022
+HIDDEN, WINDOW, BATCH, RATE = 16, 32, 256, 0.005
+ROUNDS, TRAINER_TOKENS = 3, 1_500_000
 COMBINE_WORDS = 300_000
 SIDE_BY_SIDE = 512
+PIECE_CHARS = 4 << 20
 SEED = 11
 END, UNKNOWN = 0, 1
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -53,6 +56,26 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words of some texts at a time, one after another, and how many each text has."""
+    flat, sizes, held = [], [], 0
+    for text in texts:
+        w = split(text.as_py())
+        flat += w
+        sizes.append(len(w))
+        held += sum(map(len, w)) if len(w) < 64 else 6 * len(w)
+        if held > PIECE_CHARS:
+            yield flat, np.array(sizes, dtype=np.int64)
+            flat, sizes, held = [], [], 0
+    if sizes:
+        yield flat, np.array(sizes, dtype=np.int64)
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids with END after each text."""
+    return np.insert(ids, np.cumsum(sizes), END)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) of a table with a column text."""
 
@@ -265,20 +288,30 @@ def train_texts(net: Gru, texts: Iterator[np.ndarray]) -> int:
 
 def train(texts: DataFrame, lex: Lexicon) -> Gru:
     """Rounds of training in parallel with averaged weights; every text is read whole in one of them."""
+    with scratch(texts.sparkSession):
+        return train_rounds(texts, lex)
+
+
+def train_rounds(texts: DataFrame, lex: Lexicon) -> Gru:
     spark, net = texts.sparkSession, Gru(lex.unigram)
     ids = spark.sparkContext.broadcast(lex.ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = ids.value.get
         for batch in batches:
-            rows = [[*(get(x, UNKNOWN) for x in split(text.as_py())), END] for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["key", "ids"])
+            at = 0
+            for flat, sizes in pieces(batch.column(1)):
+                found = np.fromiter(map(get, flat, itertools.repeat(UNKNOWN)), np.int32, len(flat))
+                ends = np.concatenate(([0], np.cumsum(sizes + 1))).astype(np.int32)
+                rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(with_ends(found, sizes)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), rows], names=["key", "ids"])
+                at += len(sizes)
 
     # dealt by id and text: the same rows meet on any cluster, copies of one text go to different trainers
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     whole = materialize(keyed.mapInArrow(cut, "key bigint, ids array<int>"), "training-ids")
-    n = whole.agg(F.coalesce(F.sum(F.ceil(F.size("ids") / SPAN)), F.lit(0))).first()[0]
-    trainers = max(1, min(MAX_TRAINERS, -(-n // (SPANS_A_TRAINER * ROUNDS))))
+    n = whole.agg(F.coalesce(F.sum(F.size("ids").cast("bigint")), F.lit(0))).first()[0]
+    trainers = max(1, -(-n // (TRAINER_TOKENS * ROUNDS)))
     shape = spark.sparkContext.broadcast(lex.unigram)
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(net.pack())
@@ -295,12 +328,14 @@ def train(texts: DataFrame, lex: Lexicon) -> Gru:
                 for n, weights in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     total, mean = total + n, mean + n * np.frombuffer(weights.as_buffer(), dtype=np.float32).astype(np.float64)
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([(mean / total).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(mean / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
         mine = whole.where(F.pmod("key", F.lit(ROUNDS)) == k).repartition(trainers, "key").sortWithinPartitions("key")
-        # one task averages, in a fixed order, so that the driver gets one copy of the weights
-        trained = mine.select("ids").mapInArrow(work, "n bigint, weights binary").repartition(1).sortWithinPartitions("n", "weights")
-        got = trained.mapInArrow(average, "weights binary").collect()
+        # averaged in a fixed order, in groups and then by one task: the driver gets one copy of the weights
+        trained = mine.select("ids").mapInArrow(work, "n bigint, weights binary")
+        for groups in (math.isqrt(trainers - 1) + 1, 1):
+            trained = trained.repartition(groups, "weights").sortWithinPartitions("n", "weights").mapInArrow(average, "n bigint, weights binary")
+        got = trained.repartition(1).mapInArrow(average, "n bigint, weights binary").collect()
         if got:
             net.unpack(bytes(got[0]["weights"]))
     return net
@@ -337,7 +372,6 @@ def score_ids(net: Gru, texts: list[np.ndarray]) -> np.ndarray:
 
 
 
-
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, net: Gru) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every text."""
     spark = docs.sparkSession
@@ -350,57 +384,62 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, net: Gru) -> DataFra
         lex, net = shared.value
         row = TaskContext.get().partitionId() << 40
         base_total, rest = math.log(lex.base_total), math.log(lex.rest)
-        logs = {w: math.log(c + 1) for w, c in lex.counts.items()}
-        get_id, get_log = lex.ids.get, logs.get
-        end = math.log(lex.texts + 1)
+        number = {w: i for i, w in enumerate(lex.counts)}
+        logs = np.log(np.fromiter(lex.counts.values(), np.float64, len(number)) + 1)
+        end, get, known_words = math.log(lex.texts + 1), number.get, len(lex.ids)
         for whole in batches:
             for lo in range(0, whole.num_rows, 8 * SIDE_BY_SIDE):
                 batch = whole.slice(lo, 8 * SIDE_BY_SIDE)
-                seqs, rows, ends, rare_words, rare_counts = [], [], [0], [], []
-                for text in batch.column(1):
-                    w = split(text.as_py())
-                    ids = np.array([get_id(x, UNKNOWN) for x in w] + [END], dtype=np.int32)
-                    value = np.array([get_log(x, -1.0) for x in w], dtype=np.float64)
-                    head = value >= 0
-                    rare = Counter(w[i] for i in np.flatnonzero(~head).tolist())
-                    unknown = ids[:-1] == UNKNOWN
-                    base = float(value[head].sum()) + end - (len(w) + 1) * base_total
-                    extra = float(value[head & unknown].sum()) - int(unknown.sum()) * rest
-                    rows.append((row, len(w) + 1, int(head.sum()) + (lex.texts > 0), base, extra))
-                    rare_words += rare.keys()
-                    rare_counts += rare.values()
-                    ends.append(len(rare_words))
-                    seqs.append(ids)
-                    row += 1
-                lm = score_ids(net, seqs)
+                seqs, tokens, known, base, extra, ends, rare_words, rare_counts = [], [], [], [], [], [0], [], []
+                for flat, sizes in pieces(batch.column(1)):
+                    at = np.fromiter(map(get, flat, itertools.repeat(-1)), np.int64, len(flat))
+                    edges = np.cumsum(sizes)
+                    owner, head, inside = np.repeat(np.arange(len(sizes)), sizes), at >= 0, (at >= 0) & (at < known_words)
+                    value = np.where(head, logs[at] if len(logs) else 0.0, 0.0)
+                    per = lambda w: np.bincount(owner, weights=w, minlength=len(sizes))  # noqa: B023, E731
+                    tokens.append(sizes + 1)
+                    known.append(per(head).astype(np.int64) + (lex.texts > 0))
+                    base.append(per(value) + end - (sizes + 1) * base_total)
+                    extra.append(per(value * ~inside) - per(~inside) * rest)
+                    seqs += np.split(with_ends(np.where(inside, at + 2, UNKNOWN).astype(np.int32), sizes), np.cumsum(sizes + 1)[:-1])
+                    far = np.flatnonzero(~head)
+                    cuts = np.searchsorted(far, np.concatenate(([0], edges)))
+                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        rare = Counter([flat[i] for i in far[a:b].tolist()])
+                        rare_words += rare.keys()
+                        rare_counts += rare.values()
+                        ends.append(len(rare_words))
+                lm = np.concatenate(extra) + score_ids(net, seqs)
                 pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int32())], names=["word", "n"])
                 cols = [
-                    batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] + x for r, x in zip(rows, lm.tolist(), strict=True)], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                    batch.column(0), pa.array(np.arange(row, row + batch.num_rows)), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(known)),
+                    pa.array(np.concatenate(base)), pa.array(lm), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                 ]
+                row += batch.num_rows
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_tokens", "known", "base", "lm", "rare"])
 
     schema = f"doc_id {kind}, row bigint, n_tokens bigint, known bigint, base double, lm double, rare array<struct<word:string,n:int>>"
-    scored = materialize(docs.select("doc_id", "text").mapInArrow(work, schema), "scored")
     # a rare word adds ln(c + 1) to both sums and counts as known; words without a count add nothing
-    pairs = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    found = pairs.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("seen"))
-    both = scored.drop("rare").join(found.hint("merge"), "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).cast("bigint").alias("n_known"),
-        ((F.col("base") + more) / LN10).alias("base_score"),
-        ((F.col("lm") + more) / LN10).alias("score"),
-    )
+    with scratch(spark) as keep:
+        scored = materialize(docs.select("doc_id", "text").mapInArrow(work, schema), "scored")
+        pairs = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+        found = pairs.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("seen"))
+        more = F.coalesce("more", F.lit(0.0))
+        both = scored.drop("rare").join(found.hint("merge"), "row", "left").select(
+            "doc_id",
+            "n_tokens",
+            (F.col("known") + F.coalesce("seen", F.lit(0))).cast("bigint").alias("n_known"),
+            ((F.col("base") + more) / LN10).alias("base_score"),
+            ((F.col("lm") + more) / LN10).alias("score"),
+        )
+        return keep(materialize(both, "scores"))
 
 
 def op8_gru_scores(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text")
-    training = own.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = materialize(count_words(training), "word-counts")
-    lex = lexicon(training, counts)
-    net = train(training, lex)
-    scored = score(own, counts, lex, net)
+    with scratch(docs.sparkSession) as keep:
+        training = own.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
+        counts = materialize(count_words(training), "word-counts")
+        lex = lexicon(training, counts)
+        scored = keep(score(own, counts, lex, train(training, lex)))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(lex.total).cast("bigint").alias("train_tokens"), "base_score", "score")

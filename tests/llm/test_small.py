@@ -50,22 +50,37 @@ def test_words(spark):
 
 
 def test_decontamination(spark):
-    bench = spark.createDataFrame([(1, "alpha beta gamma"), (10, "A b c d e f g h i j k"), (2, None), (3, "!!"), (4, "alpha BETA gamma"), (None, "zed")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (10, "A b c d e f g h i j k"), (2, None), (3, "!!"), (4, "alpha BETA gamma"), (None, "zed"), (None, "alpha beta GAMMA")], "item_id long, text string")
     d = docs(spark, ["x Alpha, beta-gamma y", "b c d e f g h i j k", "a b c d e f g h i", "zed", None, "", "alphabeta gamma"], hits="mine", n_words=5)
     got = {r["doc_id"]: r for r in decontam.op1_decontamination(d, bench).collect()}
-    assert [got[i]["n_hit"] for i in range(7)] == [3, 10, 0, 0, 0, 0, 0]
+    assert [got[i]["n_hit"] for i in range(7)] == [3, 10, 0, 1, 0, 0, 0]
+    assert got[3]["contaminated"] and got[3]["n_items"] == 0 and got[3]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[0]["items_sha256"] == hashlib.sha256(b"1,4").hexdigest() and got[1]["n_items"] == 1 and got[4]["n_words"] == 0
     clean = decontam.keep_clean(d, bench)
-    assert clean.columns == d.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 5, 6]
+    assert clean.columns == d.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5, 6]
     assert clean.first()["hits"] == "mine"
     hit = decontam.find_contamination(docs(spark, ["x Alpha, beta-gamma y"]), bench).first()["hits"]
     assert {(h["start"], h["end"]) for h in hit} == {(2, 19)}
     cut = decontam.find_contamination(d.drop("hits", "n_words"), bench, block_bytes=1)  # one automaton per pattern
-    assert {r["doc_id"] for r in cut.where(F.size("hits") > 0).collect()} == {0, 1}
+    assert {r["doc_id"]: len(r["hits"]) for r in cut.where(F.size("hits") > 0).collect()} == {0: 3, 1: 1, 3: 1}
     assert decontam.op1_decontamination(d, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.op1_decontamination(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_sql_with_null_items(spark):
+    import duckdb
+
+    bench = [(1, "alpha beta gamma"), (None, "zed alpha"), (7, "zed alpha"), (None, None)]
+    texts = ["zed alpha here", "alpha beta gamma zed", None, "zed"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = decontam.op1_decontamination(docs(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).toPandas()
+    assert rows(got) == rows(con.execute(decontam.SQL).df())
+
+
 def test_warc_round_trip(spark):
     long = "é" * 600
     pages = spark.createDataFrame([(1, "http://a/ x\n", long), (5, None, long), (3, "u", long), (4, "u", "short"), (6, "u", "short"), (7, "u", None), (None, "u", long)], "page_id long, url string, html string").withColumn("payload", F.lit("mine"))
@@ -106,6 +121,70 @@ def test_water_fill():
     assert mixing.water_fill([]) == [] and mixing.water_fill([0, 0]) == [0, 0]
 
 
+def brute_mix(docs_, block=mixing.BLOCK, shard_slots=mixing.SHARD_SLOTS):
+    """(doc_id, size, taken) by walking the streams word by word and the slots one by one."""
+    import struct
+
+    import xxhash
+
+    def bucket(i):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+        return (h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS
+
+    by = defaultdict(list)
+    for k, (i, text, _, source, _) in enumerate(docs_):
+        by[source].append((bucket(i), i, len(re.findall("[^\x20\x09-\x0d]+", text or "")), k))
+    order = sorted(by, key=lambda x: (x is None, x or ""))
+    sizes = [sum(r[2] for r in by[x]) for x in order]
+    # targets: raise a common level until all words are shared out, no source above its own limit
+    weights, caps, lo, hi = [1 + i % 3 for i in range(len(order))], [3 * x for x in sizes], 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(level * w, c) for w, c in zip(weights, caps, strict=True)) < sum(sizes) else (lo, level)
+    targets = [min(hi * w, c) for w, c in zip(weights, caps, strict=True)]
+    assert targets == pytest.approx(mixing.water_fill(sizes), abs=1e-6)
+    words_of, owed, n_slots, blocks = [], [], [], []
+    for x, size, target in zip(order, sizes, mixing.water_fill(sizes), strict=True):
+        stream = [k for _, _, n, k in sorted(by[x]) for _ in range(n)]
+        words_of.append(stream)
+        blocks.append(-(-size // block))
+        owed.append(min(round(target), 3 * size))
+        slots, left, j = 0, owed[-1], 0
+        while left > 0:  # whole permuted passes over the blocks, and the last slot cut to what is owed
+            left -= len(block_words(stream, block, blocks[-1], len(n_slots), j))
+            slots, j = slots + 1, j + 1
+        n_slots.append(slots)
+    taken, at, spare = Counter(), [0] * len(order), []
+    total = sum(n_slots)
+    rest = list(owed)
+
+    def take(s, j):
+        words_ = block_words(words_of[s], block, blocks[s], s, j)
+        for k in words_[: rest[s]] if j == n_slots[s] - 1 else words_:
+            taken[k] += 1
+        rest[s] -= len(words_)
+
+    for shard in range(-(-total // shard_slots)):
+        n = min(shard_slots, total - shard * shard_slots)
+        for s, m in enumerate(np.random.default_rng([mixing.SEED, shard]).multinomial(n, np.array(n_slots) / total)):
+            for _ in range(m):
+                if at[s] < n_slots[s]:
+                    take(s, at[s])
+                else:
+                    spare.append(s)
+                at[s] += 1
+    lacking = [(s, j) for s in range(len(order)) for j in range(at[s], n_slots[s])]
+    assert len(lacking) == len(spare)
+    for s, j in lacking:
+        take(s, j)
+    return [(i, n, taken[k]) for rows_ in by.values() for _, i, n, k in rows_]
+
+
+def block_words(stream, block, blocks, source, j):
+    b = int(mixing.permute(np.array([j % blocks]), blocks, mixing.round_keys(mixing.SEED, source, j // blocks))[0])
+    return stream[b * block : (b + 1) * block]
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     d = spark.createDataFrame([(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 900))), "en", rng.choice([None, "a", "b", "é"]) if i % 3 else "a", 0) for i in range(120)] + [(5, None, "en", "a", 0), (5, "x y", "en", "b", 0), (5, "x y", "en", "b", 0)], DOCS)
@@ -117,6 +196,12 @@ def test_mixing(spark):
     for _, g in got.groupby("source", dropna=False):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 1 and g["size"].sum() == g["source_size"].iloc[0]
     assert mixing.op3_source_mixing(d.limit(0)).count() == 0
+    assert sorted(map(tuple, got[["doc_id", "size", "taken"]].values)) == sorted(brute_mix([tuple(r) for r in d.collect()]))
+    for block, slots in ((32, 8), (7, 3)):
+        _, pieces = mixing.mix(d, block=block, shard_slots=slots)
+        took = pieces.where("size > 0").groupBy("doc_id", "size", "source", "first").agg(F.coalesce(F.sum(F.col("word_to") - F.col("word_from")), F.lit(0)).alias("taken"))
+        want = brute_mix([tuple(r) for r in d.collect()], block, slots)
+        assert sorted((r["doc_id"], r["size"], r["taken"]) for r in took.collect()) == sorted(x for x in want if x[1])
     _, pieces = mixing.mix(d.where("doc_id <> 5"), block=32, shard_slots=8)
     texts = mixing.block_texts(d.where("doc_id <> 5"), pieces).collect()
     assert max(len(r["text"].split()) for r in texts) <= 32
@@ -136,6 +221,34 @@ def test_quality(spark):
     assert set(quality.op4_quality_classifier(docs(spark, ["a", "b"]), labels.limit(0)).toPandas()["score"]) == {0.5}
 
 
+def test_quality_fit_against_a_plain_loop(spark, monkeypatch):
+    """Two trainers, and labels for some: the same weights as a loop over collected rows."""
+    monkeypatch.setattr(quality, "TRAINER_ROWS", 40)
+    monkeypatch.setattr(quality, "ROUNDS", 2)
+    d = docs(spark, mess() + [f"word {i} " * i for i in range(20)] + [None, ""])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (9999, 1), (5, None)], "doc_id long, quality int")
+    described = quality.describe(d)
+    net = quality.train(described, labels)
+    rows_ = [(r["doc_id"], np.array(r["x"])) for r in described.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    x = np.array([v for _, v in rows_])
+    assert np.allclose(net.mean, x.mean(0)) and np.allclose(net.scale, x.std(0) + 1e-9)
+    placed = described.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select(F.xxhash64("doc_id", "x").alias("h"), "x", "doc_id")
+    parts = defaultdict(list)
+    for r in placed.repartition(-(-len(x) // 40), "h").sortWithinPartitions("h").withColumn("p", F.spark_partition_id()).collect():
+        parts[r["p"]].append(r)
+    positive = [np.array(r["x"]) for r in sorted((r for p in parts.values() for r in p), key=lambda r: r["h"]) if r["doc_id"] < 40 and r["doc_id"] % 2 == 1]
+    prior = len(positive) / sum(i < 40 for i, _ in rows_)
+    want = quality.Net(x.mean(0), x.std(0) + 1e-9)
+    for k in range(2):
+        got = [(len(p), quality.fit(quality.Net(net.mean, net.scale).unpack(want.pack()), np.array(positive), np.array([r["x"] for r in p]), prior, quality.PASSES, quality.SEED + k).pack()) for p in parts.values()]
+        want.unpack(np.average([w for _, w in got], axis=0, weights=[n for n, _ in got]).tolist())
+    assert len(parts) > 1 and np.allclose(net.pack(), want.pack(), atol=1e-6)
+    assert np.allclose(net.score(x), want.score(x), atol=1e-6)
+    twice = quality.op4_quality_classifier(d.unionByName(docs(spark, ["a"]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs(spark, ["a"])), labels).toPandas()
+    assert len(twice) == d.count() + 2 and twice["doc_id"].isna().sum() == 1 and twice["score"].between(0, 1).all()
+    assert quality.op4_quality_classifier(docs(spark, []), labels).count() == 0
+
+
 def test_edits_match_fresh_counts():
     counter = token_edit.Counter(token_edit.default_vocabulary())
     rng = random.Random(3)
@@ -143,23 +256,57 @@ def test_edits_match_fresh_counts():
     text = lambda n: "".join(rng.choice(bits) for _ in range(n))
     for _ in range(150):
         now = text(rng.randrange(0, 900))
-        doc = token_edit.Document(now, counter)
-        for _ in range(4):
+        doc = token_edit.Document.fresh(now, counter)
+        for _ in range(6):
             a = rng.randrange(0, len(now) + 2)
-            b, new = a + rng.choice([0, 1, 40, 400]), text(rng.choice([0, 1, 9, 200]))
+            b, new = a + rng.choice([0, 1, 40, 400]), text(rng.choice([0, 1, 9, 200, 2000]))
             doc.edit(a, b, new)
             now = now[: min(a, len(now))] + new + now[min(b, len(now)) :]
-            assert doc.text() == now and doc.total() == len(counter.encode(now))
+            assert doc.text == now and doc.total() == len(counter.encode(now)) and doc.chars.total() == len(now)
+            assert doc.pieces.tolist() == [len(p) for p in counter.cut(now)] and doc.sizes.sum() == len(doc.pieces)
+            for tree in (doc.tokens, doc.chars):
+                assert all(tree.node[i] == tree.node[2 * i] + tree.node[2 * i + 1] for i in range(1, tree.n))
+
+
+def apply(text, edits):
+    for start, end, new in edits:
+        start = min(max(start or 0, 0), len(text))
+        end = min(max(end or 0, start), len(text))
+        text = text[:start] + (new or "") + text[end:]
+    return text
 
 
 def test_edit_counts(spark):
-    got = token_edit.op5_edit_token_counts(docs(spark, mess(), edits="mine"))
+    texts = [*mess(), "x" * 300_000 + " end"]
+    got = token_edit.op5_edit_token_counts(docs(spark, texts, edits="mine"))
     counter = token_edit.Counter(token_edit.default_vocabulary())
-    for r, t in zip(got.orderBy("doc_id").collect(), mess(), strict=True):
-        assert r["n_tokens"] == len(counter.encode(t or "")) and r["n_edits"] == 3
-    edits = spark.createDataFrame([(3, 1, 0, 99, "new"), (99, 1, 0, 1, "x")], "doc_id long, seq int, start int, end int, insert string")
-    one = token_edit.count_tokens(token_edit.attach_edits(docs(spark, mess()), edits)).where("doc_id = 3").first()
-    assert (one["n_chars_after"], one["n_edits"]) == (3, 1)
+    for r, t in zip(got.orderBy("doc_id").collect(), texts, strict=True):
+        t = t or ""
+        one = apply(t, [(len(t) // 2, len(t) // 2 + 12, "edited words 42")])
+        after = apply(one, [(len(t) // 3, len(t) // 3, " inserted\n\n"), (max(len(t) - 9, 0), max(len(t) - 4, 0), "")])
+        assert (r["n_chars"], r["n_tokens"], r["n_edits"]) == (len(t), len(counter.encode(t)), 3)
+        assert (r["n_chars_after"], r["n_tokens_after"]) == (len(after), len(counter.encode(after)))
+    assert token_edit.op5_edit_token_counts(docs(spark, [])).count() == 0
+
+
+def test_batches_of_edits_on_a_written_state(spark):
+    """Two batches, with ties of seq, nulls, repeated rows, a null id and unknown documents."""
+    texts = mess()
+    d = docs(spark, texts).unionByName(docs(spark, texts[10:12]).withColumn("doc_id", F.col("doc_id") + 10)).unionByName(docs(spark, ["no id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    state = token_edit.materialize(token_edit.index_documents(d), "state")
+    schema = "doc_id long, seq int, start int, end int, insert string"
+    now = {i: t or "" for i, t in enumerate(texts)}
+    for batch in ([(3, 1, 0, 99, "new"), (3, 1, 0, 2, "b "), (99, 1, 0, 1, "x"), (None, 1, 0, 1, "x"), (10, 1, 5, None, None), (0, 1, 0, 0, "was null")], [(3, 2, 1, 1, " é"), (3, 1, None, 1, "z"), (10, 7, 30, 400, "mid")]):
+        state = token_edit.materialize(token_edit.apply_edits(token_edit.attach_edits(state, spark.createDataFrame(batch, schema))).drop("n_edits", "n_recounted"), "state")
+        for i in now:
+            own = sorted((e[1], e[2] if e[2] is not None else -1, e[3] if e[3] is not None else -1, e[4] or "") for e in batch if e[0] == i)
+            now[i] = apply(now[i], [(s, e, x) for _, s, e, x in own])
+        got = state.select("doc_id", "text", *(v.alias(k) for k, v in token_edit.counts(state).items())).collect()
+        counter = token_edit.Counter(token_edit.default_vocabulary())
+        assert len(got) == len(texts) + 3
+        for r in got:
+            want = "no id" if r["doc_id"] is None else now[r["doc_id"]]
+            assert (r["text"], r["n_chars"], r["n_tokens"], r["n_pretokens"]) == (want, len(want), len(counter.encode(want)), len(counter.cut(want)))
 
 
 def test_chat(spark):
@@ -209,6 +356,32 @@ def test_language_model(spark):
         w, r = tok(t), got.loc[i]
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n) and r.score < 0
+
+
+def test_language_model_step_by_step(spark, monkeypatch):
+    """The query's score against a network run token by token, with words in every part of the lexicon."""
+    monkeypatch.setattr(gru_lm, "HEAD_WORDS", 40)
+    monkeypatch.setattr(gru_lm, "MODEL_WORDS", 14)
+    monkeypatch.setattr(gru_lm, "PIECE_CHARS", 900)
+    texts = [*mess(), "never seen before here"]
+    d = docs(spark, texts, n_tokens="mine", row=1)
+    got = {r["doc_id"]: r for r in gru_lm.op8_gru_scores(d).collect()}
+    train = d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    lex = gru_lm.lexicon(train, gru_lm.count_words(train))
+    net = gru_lm.train(train, lex)
+    assert net.pack() != gru_lm.Gru(lex.unigram).pack()
+    count = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in gru_lm.split(t))
+    for i, t in enumerate(texts):
+        h, last, want = np.zeros((1, gru_lm.HIDDEN), np.float32), np.array([gru_lm.END]), 0.0
+        for w in [*gru_lm.split(t), None]:
+            now = gru_lm.END if w is None else lex.ids.get(w, gru_lm.UNKNOWN)
+            h = net.step(last, h)[0]
+            want += float(net.log_probs(h, np.array([now]))[0][0])
+            if now == gru_lm.UNKNOWN:
+                want += math.log((count[w] + 1) / lex.rest)
+            last = np.array([now])
+        assert got[i]["score"] == pytest.approx(want / math.log(10), rel=1e-4)
+    assert got[len(texts) - 1]["n_known"] == 1
     assert gru_lm.op8_gru_scores(docs(spark, [None])).count() == 1
     assert gru_lm.op8_gru_scores(docs(spark, [])).count() == 0
 
@@ -273,7 +446,7 @@ def test_gru_trains_on_every_token(spark):
 
 
 def test_gru_weights_do_not_depend_on_the_layout(spark, monkeypatch):
-    monkeypatch.setattr(gru_lm, "SPANS_A_TRAINER", 20)  # several trainers
+    monkeypatch.setattr(gru_lm, "TRAINER_TOKENS", 900)  # several trainers
     d = docs(spark, mess())
     lex = gru_lm.lexicon(d, gru_lm.count_words(d))
     one, many = (gru_lm.train(x, lex).pack() for x in (d.coalesce(1), d.orderBy(F.desc("doc_id")).repartition(7)))
@@ -317,12 +490,37 @@ def test_ngram_join(spark, part, monkeypatch):
     assert ngram_join.op9_ngram_join(docs(spark, [])).count() == 0
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Parts, pivots, members outside the largest group, and several size classes."""
+    monkeypatch.setattr(ngram_join, "PART", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(90)}" for _ in range(120)]
+    texts = []
+    for i in range(110):
+        w = list(base[: 120 - (i % 6) * 6])
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(9999)}"
+        texts.append(" ".join(w))
+    got = ngram_join.op9_ngram_join(docs(spark, texts)).orderBy("doc_id").collect()
+    want = brute_join(texts, 4, 85)
+    assert len({c for _, c in want}) > 5 and [(r["n_shingles"], r["component_id"]) for r in got] == want
+
+
 def test_keep_one(spark):
     texts = mess()
     got = ngram_join.keep_one(docs(spark, texts, node="mine"), 5, 80)
     assert got.columns[-1] == "node"
     want = {root if n else i for i, (n, root) in enumerate(brute_join(texts, 5, 80))}
     assert {r["doc_id"] for r in got.collect()} == want
+    row = lambda i, x: (i, x, "en", "s", 0)
+    rows_ = [row(1, ""), row(1, ""), row(None, None), row(None, None), row(2, "a b c d e f"), row(3, "A b c d e f"), row(None, "a b c d e f")]
+    ids = lambda r: sorted((str(x["doc_id"]), x["text"] or "") for x in ngram_join.keep_one(spark.createDataFrame(r, DOCS), 5, 80).collect())
+    blank = [("1", ""), ("1", ""), ("None", ""), ("None", "")]
+    assert ids(rows_) == sorted([*blank, ("2", "a b c d e f")])
+    assert ids([*rows_, row(2, "a b c d e f"), row(2, "a b c D e f")])[:-3] == blank[:2]  # repeated rows with words
+    assert len(ids([*rows_, row(2, "a b c d e f"), row(2, "a b c D e f")])) == 5
+    assert ids([]) == []
 
 
 def test_components(spark):
@@ -350,9 +548,37 @@ def brute_repeats(texts, n=400):
 
 @pytest.mark.parametrize("hot", [8000, 1])
 def test_suffix_dedup(spark, hot):
-    texts = mess()
+    texts = mess() + ["q" * 300, "q" * 300, "tail " + mess()[9][-330:]]
     got = suffix_dedup.op10_suffix_dedup(docs(spark, texts, key="mine"), hot).orderBy("doc_id").collect()
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats(texts)
+    assert [r["n_passage_bytes"] for r in got] == [x[1] for x in brute_repeats(texts, suffix_dedup.PASSAGE)]
+    assert any(0 == r["n_removed"] < r["n_passage_bytes"] for r in got)
+
+
+@pytest.mark.parametrize("length", [65, 80, 129, 130, 150, 200, 250, 256, 300, 399, 400, 401, 700])
+def test_lengths(length):
+    rng = random.Random(length)
+    base = [bytes(rng.choice(b"abcd ") for _ in range(900)) for _ in range(6)]
+    texts = [b"".join(rng.choice(base)[(a := rng.randrange(700)) : a + rng.randrange(60, 800)] for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    texts = list(dict.fromkeys(texts))
+    block, where = {}, []
+    other = length + 37
+    for t, data in enumerate(texts):
+        first, last, at, h = suffix_dedup.anchor_runs(data, length)
+        runs = [{"run": int(r), "hash": int(x), "n": 1} for r, x in zip(suffix_dedup.pack_runs(first, last, at), h, strict=True)]
+        for seg, v in suffix_dedup.cut(data, runs, other).items():
+            block.setdefault(seg, [v, 0])[1] += len(v[5])
+            where += [(t, f, seg) for f in v[5]]
+    rows = [v for v, _ in block.values()]
+    flags = suffix_dedup.repeated_starts([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], (length, other))
+    for k, n in enumerate((length, other)):
+        by = dict(zip(block, flags[k], strict=True))
+        mark = [bytearray(len(x)) for x in texts]
+        for t, f, seg in where:
+            for i, hit in enumerate(by[seg]):
+                if (hit or block[seg][1] > 1) and f + i + n <= len(texts[t]):
+                    mark[t][f + i : f + i + n] = b"\1" * n
+        assert [sum(m) for m in mark] == [x[1] for x in brute_repeats([x.decode() for x in texts], n)]
 
 
 def test_remove_repeats(spark):
@@ -361,7 +587,12 @@ def test_remove_repeats(spark):
     got = suffix_dedup.remove_repeats(d)
     assert got.columns == d.columns
     assert [r["text"] for r in got.orderBy("doc_id").collect()] == ["ab", "c  d", "short", None, "", ""]
-    assert suffix_dedup.op10_suffix_dedup(docs(spark, [])).count() == 0
+    texts = mess(3)
+    cut = suffix_dedup.remove_repeats(docs(spark, texts), suffix_dedup.PASSAGE).orderBy("doc_id").collect()
+    assert [r["text"] for r in cut] == [x if x is None else y for x, y in zip(texts, strip(texts, suffix_dedup.PASSAGE), strict=True)]
+    assert suffix_dedup.op10_suffix_dedup(docs(spark, [])).count() == suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(d, suffix_dedup.GRAM)
 
 
 def test_difference_cover():
@@ -379,9 +610,7 @@ def test_pipeline(spark, tmp_path):
     cut = []
     for r in one:
         cut.append(r["text"])
-    flags = brute_repeats(cut)
-    after = spark.createDataFrame([(r["doc_id"], t, r["lang"], r["source"], r["n_chars"]) for r, t in zip(one, strip(cut), strict=True)], DOCS)
-    assert sum(f[1] for f in flags) == sum(len(t.encode()) for t in cut) - sum(len(x) for x in strip_bytes(cut))
+    after = spark.createDataFrame([(r["doc_id"], t, r["lang"], r["source"], r["n_chars"]) for r, t in zip(one, strip(cut, corpus_pipeline.PASSAGE), strict=True)], DOCS)
     clean = decontam.keep_clean(after, spark.read.parquet(f"{SF}/benchmark.parquet"))
     want = mixing.op3_source_mixing(clean).toPandas()
     key = ["doc_id", "size", "taken"]
@@ -401,5 +630,5 @@ def strip_bytes(texts, n=400):
     return out
 
 
-def strip(texts):
-    return [b.decode("utf-8", "ignore") for b in strip_bytes(texts)]
+def strip(texts, n=400):
+    return [b.decode("utf-8", "ignore") for b in strip_bytes(texts, n)]
