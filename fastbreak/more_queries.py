@@ -259,11 +259,11 @@ def join_fuzzy_exact(spark, d):
     return joins.fuzzy(left, l.select("o", F.col("a").alias("b"), F.col("x").alias("y")), ["o"], "x", "y", 1.0, "ka", "b").select("o", "a", "b", "score")
 
 
-@query("""WITH a AS (SELECT o_orderkey AS l, o_orderdate::DATE AS dt, (o_totalprice::BIGINT % 7) AS hp, (o_custkey % 5) AS ap FROM orders), b AS (SELECT o_orderkey AS r, o_orderdate::DATE AS dt, (o_totalprice::BIGINT % 7) AS hp, (o_custkey % 5) AS ap FROM orders), j AS (SELECT l, r, count(*) OVER (PARTITION BY l) AS n FROM a JOIN b ON a.dt = b.dt AND a.hp = b.hp AND a.ap = b.ap)
+@query("""WITH a AS (SELECT o_orderkey AS l, o_orderdate::DATE AS dt, (floor(o_totalprice)::BIGINT % 7) AS hp, (o_custkey % 5) AS ap FROM orders), b AS (SELECT o_orderkey AS r, o_orderdate::DATE AS dt, (floor(o_totalprice)::BIGINT % 7) AS hp, (o_custkey % 5) AS ap FROM orders), j AS (SELECT l, r, count(*) OVER (PARTITION BY l) AS n FROM a JOIN b ON a.dt = b.dt AND a.hp = b.hp AND a.ap = b.ap)
 SELECT l AS l_id, r AS r_id, 1.0::DOUBLE AS confidence, 'score_exact' AS method FROM j WHERE n = 1""")
 def join_games_by_score(spark, d):
     """Games of a date by their score; names are unlike on purpose, so that only the exact tier holds."""
-    o = t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), (F.round("o_totalprice").cast("bigint") % 7).alias("hp"), (F.col("o_custkey") % 5).alias("ap"))
+    o = t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), (F.floor("o_totalprice") % 7).alias("hp"), (F.col("o_custkey") % 5).alias("ap"))
     side = lambda s, n: o.select(F.col("o_orderkey").alias(f"{s}_id"), "date", F.lit(n).alias(f"{s}_home"), F.lit(n).alias(f"{s}_away"), F.col("hp").alias(f"{s}_hp"), F.col("ap").alias(f"{s}_ap"))
     return joins.games_by_score(side("l", "aaaa"), side("r", "zzzz"))
 
@@ -364,9 +364,9 @@ def stints(spark, d):
 
 
 @query(f"""WITH s AS (SELECT season, g, poss, unnest(home) AS p, hp - ap AS net FROM {STINTS} UNION ALL SELECT season, g, poss, unnest(away), ap - hp FROM {STINTS})
-SELECT season, p AS player, round(sum(poss), 2) AS poss, round(100 * sum(net) / sum(poss), 6) AS on_net FROM s GROUP BY ALL""")
+SELECT season, p AS player, round(sum(poss), 2) AS poss, round(100 * sum(net) / sum(poss), 9) + 0.0 AS on_net FROM s GROUP BY ALL""")
 def plan_on_off(spark, d):
-    return impact.on_off(stints(spark, d)).select("season", "player", r("poss", 2).alias("poss"), r("on_net", 6).alias("on_net"))
+    return impact.on_off(stints(spark, d)).select("season", "player", r("poss", 2).alias("poss"), (r("on_net", 9) + 0.0).alias("on_net"))
 
 
 @query(f"""WITH s AS {STINTS}, p AS (SELECT season, count(DISTINCT u) AS players FROM (SELECT season, unnest(list_concat(home, away)) AS u FROM s) GROUP BY 1), g AS (SELECT season, count(*) AS stints, max(players) AS players FROM s JOIN p USING (season) GROUP BY 1), x AS (SELECT season, count(*) AS rows, count(*) FILTER (WHERE l_tax > 0.06) AS u, count(*) FILTER (WHERE l_tax > 0.07) AS f FROM {LINES} GROUP BY 1)
@@ -386,12 +386,12 @@ def plan_minutes_from_subs(spark, d):
 
 
 @query(f"""WITH g AS (SELECT season, l_partkey AS player, l_suppkey AS team, l_linenumber * 20 AS opp, l_quantity AS m, l_extendedprice / 1000 AS pts, l_tax AS fga, l_discount AS fta FROM {LINES}), s AS (SELECT 'ALL' AS split_id, * FROM g UNION ALL SELECT 'VS_TOP50', * FROM g WHERE opp <= 50 UNION ALL SELECT 'VS_TOP100', * FROM g WHERE opp <= 100)
-SELECT player, team, season, split_id, count(*) AS g, round(sum(pts), 3) AS pts, round(CASE WHEN sum(fga) + 0.44 * sum(fta) > 0 THEN sum(pts) / (2 * (sum(fga) + 0.44 * sum(fta))) END, 6) AS ts, round(sum(m) / count(*), 4) AS mpg FROM s GROUP BY ALL""")
+SELECT player, team, season, split_id, count(*) AS g, round(sum(pts), 6) AS pts, round(CASE WHEN sum(fga) + 0.44 * sum(fta) > 0 THEN sum(pts) / (2 * (sum(fga) + 0.44 * sum(fta))) END, 9) AS ts, round(sum(m) / count(*), 4) AS mpg FROM s GROUP BY ALL""")
 def plan_season_table(spark, d):
     c = F.col
     g = lines(spark, d).select("season", c("l_partkey").alias("player"), c("l_suppkey").alias("team"), c("l_linenumber").alias("oppId"), c("l_quantity").alias("minutes"), (c("l_extendedprice") / 1000).alias("pts"), c("l_tax").alias("fga"), c("l_discount").alias("fta"), c("l_tax").alias("ast"), c("l_tax").alias("trb"))
     ranks = g.select("season", c("oppId").alias("teamId"), (c("oppId") * 20).alias("rank")).distinct()
-    return site.season_table(g, ranks).select("player", "team", "season", "split_id", "g", r("pts", 3).alias("pts"), r("ts", 6).alias("ts"), r("mpg").alias("mpg"))
+    return site.season_table(g, ranks).select("player", "team", "season", "split_id", "g", r("pts", 6).alias("pts"), r("ts", 9).alias("ts"), r("mpg").alias("mpg"))
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, lower(c_name) AS p, lower(c_mktsegment) AS tm FROM customer), s AS (SELECT lower(c_name) AS p, CASE WHEN c_nationkey > 3 THEN lower(c_mktsegment) END AS tm FROM customer WHERE c_acctbal < 0)
@@ -465,3 +465,159 @@ def src_partitions(spark, d):
     back = files.flatten(spark.read.schema("c struct<k:bigint,bal:double>").json(url)).select(F.lit("BUILDING").alias("seg"), F.col("c_k").alias("k"), F.col("c_bal").alias("bal"))
     o = t(spark, d, "orders").withColumnRenamed("o_custkey", "k")
     return restrict(back, "k", o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'P'"))
+
+
+#: Plays of a game: nested shots with a shooter, a place given as text (some bad), a score and two participants.
+PLAYS = """(SELECT l_orderkey AS g, l_linenumber AS i, l_partkey AS pk, year(l_shipdate)::INTEGER AS season, l_suppkey AS tm, (1 + l_linenumber % 4)::INTEGER AS period, (l_quantity * 24)::INTEGER AS secs, (l_orderkey % 50)::INTEGER AS hs, (l_partkey % 50)::INTEGER AS aw, l_returnflag <> 'N' AS shot, CASE WHEN l_suppkey % 7 > 0 THEN l_partkey END AS shooter, l_linestatus = 'F' AS made,
+['rim', 'three_pointer', 'jumper', 'free_throw'][1 + l_partkey % 4] AS range_, l_tax > 0.04 AS assisted, CASE WHEN l_tax > 0.04 THEN l_suppkey END AS helper, CASE WHEN l_linenumber % 5 > 0 THEN (l_partkey * 7 % 940) END AS x, (l_suppkey * 13 % 500) AS y, ['Steal', 'Block Shot', 'Turnover', 'Jumper'][1 + l_partkey % 4] AS kind FROM lineitem)"""
+
+
+def plays(spark, d):
+    c = F.col
+    who = lambda x: F.struct(x.cast("int").alias("id"), F.lit("n").alias("name"))
+    pick = lambda k, *v: F.get(F.array(*map(F.lit, v)), (c(k) % len(v)).cast("int"))
+    helper = F.when(c("l_tax") > 0.04, c("l_suppkey"))
+    place = F.struct(F.when(c("l_linenumber") % 5 > 0, (c("l_partkey") * 7 % 940).cast("string")).otherwise("bad").alias("x"), (c("l_suppkey") * 13 % 500).cast("string").alias("y"))
+    shot = F.struct(F.struct(F.when(c("l_suppkey") % 7 > 0, c("l_partkey")).cast("int").alias("id"), F.lit("n").alias("name")).alias("shooter"), (c("l_linestatus") == "F").alias("made"), pick("l_partkey", "rim", "three_pointer", "jumper", "free_throw").alias("range"), (c("l_tax") > 0.04).alias("assisted"), who(helper).alias("assistedBy"), place.alias("location"))
+    return t(spark, d, "lineitem").select(
+        c("l_linenumber").cast("long").alias("id"), c("l_orderkey").alias("gameId"), F.year("l_shipdate").alias("season"), c("l_suppkey").alias("teamId"), c("l_suppkey").alias("opponentId"), (1 + c("l_linenumber") % 4).cast("int").alias("period"), (c("l_quantity") * 24).cast("int").alias("secondsRemaining"),
+        (c("l_orderkey") % 50).cast("int").alias("homeScore"), (c("l_partkey") % 50).cast("int").alias("awayScore"), (c("l_returnflag") != "N").alias("shootingPlay"), (c("l_linestatus") == "F").alias("scoringPlay"), pick("l_partkey", "Steal", "Block Shot", "Turnover", "Jumper").alias("playType"),
+        F.array(who(c("l_partkey")), who(helper)).alias("participants"), shot.alias("shotInfo"),
+    )
+
+
+SHOT_ROWS = f"(SELECT *, abs(hs - aw) AS margin, period >= 2 AND secs < 300 AND abs(hs - aw) <= 5 AS hl, abs(hs - aw) > 20 AS gb FROM {PLAYS} WHERE shot AND shooter IS NOT NULL)"
+
+
+@query(f"""SELECT g AS "gameId", shooter AS "athleteId", range_ AS range, count(*) AS att, count(*) FILTER (WHERE made) AS made, count(*) FILTER (WHERE assisted AND made) AS assisted, count(*) FILTER (WHERE hl) AS hl_att, count(*) FILTER (WHERE gb) AS garbage_att FROM {SHOT_ROWS} GROUP BY ALL""")
+def plan_player_game_shots(spark, d):
+    return staging.player_game_shots(staging.shots(plays(spark, d)))
+
+
+@query(f"""WITH s AS (SELECT season, shooter, range_, made, assisted, CASE WHEN hl THEN 'HIGH' WHEN gb THEN 'GARBAGE' ELSE 'NORMAL' END AS lev, x, y, sqrt(power(x / 10 - CASE WHEN x < 470 THEN 5.25 ELSE 88.75 END, 2) + power(y / 10 - 25, 2)) AS dist, least(x / 10, 94 - x / 10) <= 14 AND (y / 10 <= 3 OR y / 10 >= 47) AS corner FROM {SHOT_ROWS})
+SELECT season, shooter AS "athleteId", CASE WHEN grouping(lev) = 1 THEN 'ALL' ELSE lev END AS leverage, count(*) FILTER (WHERE range_ = 'rim') AS rim_att, count(*) FILTER (WHERE range_ = 'rim' AND made) AS rim_made, count(*) FILTER (WHERE made AND assisted) AS assisted_made, count(*) FILTER (WHERE x IS NOT NULL) AS xy_shots,
+round(count(*) FILTER (WHERE range_ = 'three_pointer' AND made) / nullif(count(*) FILTER (WHERE range_ = 'three_pointer'), 0), 6) AS three_fg_pct, round(CASE WHEN count(x) >= 25 THEN avg(dist) END, 5) AS avg_shot_dist,
+round(CASE WHEN count(x) FILTER (WHERE range_ = 'three_pointer') >= 15 THEN count(*) FILTER (WHERE x IS NOT NULL AND range_ = 'three_pointer' AND corner) / count(x) FILTER (WHERE range_ = 'three_pointer') END, 6) AS corner_3_rate FROM s GROUP BY GROUPING SETS ((season, shooter), (season, shooter, lev))""")
+def plan_split_features(spark, d):
+    s = staging.shots(plays(spark, d))
+    s = s.withColumns({"leverage": F.when(F.col("high_leverage"), "HIGH").when(F.col("garbage"), "GARBAGE").otherwise("NORMAL"), "strength": F.lit("TOP")})
+    out = staging.split_features(s).where("strength = 'ALL'")
+    return out.select("season", "athleteId", "leverage", "rim_att", "rim_made", "assisted_made", "xy_shots", r("three_fg_pct", 6).alias("three_fg_pct"), r("avg_shot_dist", 5).alias("avg_shot_dist"), r("corner_3_rate", 6).alias("corner_3_rate"))
+
+
+@query(f"""WITH p AS (SELECT season, g, pk AS a, kind, made, helper FROM {PLAYS}), e AS (SELECT season, helper AS a, 'ast' AS s FROM p WHERE made AND helper IS NOT NULL UNION ALL SELECT season, a, CASE kind WHEN 'Steal' THEN 'stl' WHEN 'Block Shot' THEN 'blk' WHEN 'Turnover' THEN 'tov' END FROM p WHERE kind <> 'Jumper'),
+w AS (SELECT season, g, a FROM p UNION ALL SELECT season, g, helper FROM p), n AS (SELECT season, a, count(DISTINCT g) AS games FROM w GROUP BY ALL), c AS (SELECT season, a, count(*) FILTER (WHERE s = 'ast') AS ast, count(*) FILTER (WHERE s = 'stl') AS stl, count(*) FILTER (WHERE s = 'blk') AS blk, count(*) FILTER (WHERE s = 'tov') AS tov FROM e GROUP BY ALL)
+SELECT n.season, n.a AS "athleteId", games, coalesce(ast, 0) AS ast, coalesce(stl, 0) AS stl, coalesce(blk, 0) AS blk, coalesce(tov, 0) AS tov FROM n LEFT JOIN c ON c.season = n.season AND c.a = n.a""")
+def plan_box(spark, d):
+    return staging.box_from_events(plays(spark, d))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS g, l_suppkey AS tm, l_quantity AS sec, l_extendedprice / 1000 AS net, unnest([l_partkey, l_partkey + 1]) AS a FROM lineitem) SELECT g AS "gameId", tm AS "teamId", a AS "athleteId", sum(sec) AS seconds, round(sum(net * sec) / sum(sec), 7) AS net FROM s GROUP BY ALL""")
+def plan_player_game_impact(spark, d):
+    c = F.col
+    who = lambda x: F.struct(x.alias("id"), F.lit("n").alias("name"))
+    s = t(spark, d, "lineitem").select(c("l_orderkey").alias("gameId"), c("l_suppkey").alias("teamId"), F.lit("h").alias("idHash"), c("l_quantity").alias("totalSeconds"), c("l_tax").alias("pace"), c("l_tax").alias("offenseRating"), c("l_tax").alias("defenseRating"), (c("l_extendedprice") / 1000).alias("netRating"), F.array(who(c("l_partkey")), who(c("l_partkey") + 1)).alias("athletes"))
+    return staging.player_game_impact(s).select("gameId", "teamId", "athleteId", "seconds", r("netRating", 7).alias("net"))
+
+
+@query("""WITH e AS (SELECT event_id % 5 AS season, user_id AS g, event_id, (floor(value) * 37)::INTEGER % 1300 AS rem, ts FROM events), n AS (SELECT *, lead(rem) OVER (PARTITION BY g ORDER BY event_id) AS nx FROM e), s AS (SELECT *, CASE WHEN nx > rem THEN rem ELSE rem - nx END AS gap FROM n)
+SELECT season, p AS player, round(sum(CASE WHEN gap BETWEEN 0 AND 1200 THEN gap ELSE 0 END) / 60, 4) AS minutes, count(DISTINCT g) AS games FROM (SELECT *, unnest([event_id % 9, 100 + event_id % 4]) AS p FROM s) GROUP BY ALL""")
+def plan_minutes_on_floor(spark, d):
+    who = lambda x: F.struct(x.alias("id"), F.lit("n").alias("name"), F.lit("t").alias("team"))
+    k = F.col("event_id")
+    e = t(spark, d, "events").select((k % 5).alias("season"), F.col("user_id").alias("gameId"), k.alias("seq"), ((F.floor("value") * 37).cast("int") % 1300).alias("remaining"), F.array(who(k % 9), who(100 + k % 4)).alias("onFloor"))
+    return impact.minutes_on_floor(e).withColumn("minutes", r("minutes"))
+
+
+@query(f"""WITH s AS (SELECT *, CASE WHEN games > 1 THEN pts / games END AS a, disc AS b FROM {SEASON}), i AS (SELECT *, coalesce(a, b) AS raw, CASE WHEN a IS NOT NULL THEN 'a' WHEN b IS NOT NULL THEN 'b' ELSE 'none' END AS src, minutes_total / (minutes_total + 300) AS rel, percent_rank() OVER (PARTITION BY season ORDER BY minutes_total) >= 0.9 AS hi FROM s),
+f AS (SELECT *, raw * CASE WHEN hi THEN greatest(rel, 0.5) ELSE rel END AS impact FROM i)
+SELECT athlete_id, season, src AS impact_source, round(impact, 6) AS impact, round(impact - lag(impact) OVER (PARTITION BY athlete_id ORDER BY season), 6) AS velocity, (minutes_total < 200)::INTEGER AS flag_low_volume FROM f""")
+def plan_context(spark, d):
+    s = season(spark, d).withColumns({"a": F.when(F.col("games") > 1, F.col("pts") / F.col("games")), "b": F.col("disc")})
+    return context.pathway_context(s, ["a", "b"], {"games": 1.0}, "minutes_total").select("athlete_id", "season", "impact_source", r("impact", 6).alias("impact"), r("velocity", 6).alias("velocity"), "flag_low_volume")
+
+
+@query(f"""WITH s AS (SELECT athlete_id, season, games AS g, row_number() OVER (PARTITION BY athlete_id ORDER BY season) AS i FROM {SEASON}), z AS (SELECT *, (g - avg(g) OVER (PARTITION BY season)) / nullif(stddev_samp(g) OVER (PARTITION BY season), 0) AS z FROM s), a AS (SELECT * FROM z WHERE athlete_id = 10), b AS (SELECT * FROM z WHERE athlete_id = 20)
+SELECT 'Y' || coalesce(a.i, b.i) AS label, round(a.z, 6) AS z_a, round(b.z, 6) AS z_b, round(a.z - b.z, 6) AS edge FROM a FULL JOIN b ON a.i = b.i""")
+def plan_compare(spark, d):
+    """Two players side by side: the feature is the comparison of a pair."""
+    s = season(spark, d).select(F.col("athlete_id").cast("string").alias("player"), "season", "games")
+    return site.compare(s, "10", "20", ["games"]).select("label", r("z_a", 6).alias("z_a"), r("z_b", 6).alias("z_b"), r("edge", 6).alias("edge"))
+
+
+@query(f"""WITH s AS (SELECT l_partkey AS player, season, max(l_suppkey) AS team, count(*) AS g, sum(l_quantity) AS minutes FROM {LINES} GROUP BY ALL) SELECT player, count(DISTINCT season) AS seasons, arg_max(team, season) AS team, max(season) AS last_season, sum(g)::BIGINT AS g, sum(minutes) AS minutes FROM s GROUP BY 1""")
+def plan_career_table(spark, d):
+    s = lines(spark, d).groupBy(F.col("l_partkey").alias("player"), "season").agg(F.max("l_suppkey").alias("team"), F.count("*").alias("g"), F.sum("l_quantity").alias("minutes"), F.sum("l_extendedprice").alias("pts"), F.sum("l_tax").alias("fga"), F.sum("l_discount").alias("fta"))
+    return site.career_table(s.withColumn("split_id", F.lit("ALL"))).select("player", "seasons", "team", "last_season", "g", "minutes")
+
+
+@query(f"""WITH s AS (SELECT athlete_id, row_number() OVER (PARTITION BY athlete_id ORDER BY season) AS i, games AS g FROM {SEASON}), d AS (SELECT *, g - lag(g) OVER (PARTITION BY athlete_id ORDER BY i) AS dd FROM s)
+SELECT athlete_id, count(g) AS n, round(avg(g), 6) AS mean, round(stddev_samp(g), 6) AS sd, arg_max(g, i) AS last, round(CASE WHEN count(g) >= 2 THEN regr_slope(g, i) END, 6) + 0.0 AS slope, round(CASE WHEN count(g) >= 3 THEN regr_slope(dd, i) END, 6) + 0.0 AS accel, round(CASE WHEN stddev_samp(g) IS NULL THEN NULL WHEN stddev_samp(g) < 0.01 THEN 0 ELSE (arg_max(g, i) - avg(g)) / stddev_samp(g) END, 6) + 0.0 AS late_bloom FROM d GROUP BY 1""")
+def plan_trajectory(spark, d):
+    from pyspark.sql import Window as W
+
+    s = season(spark, d).withColumns({"season_idx": F.row_number().over(W.partitionBy("athlete_id").orderBy("season")), "stint_id": F.lit(1)})
+    return careers.trajectory(s, "games").select("athlete_id", "n", r("mean", 6).alias("mean"), r("sd", 6).alias("sd"), "last", (r("slope", 6) + 0.0).alias("slope"), (r("accel", 6) + 0.0).alias("accel"), (r("late_bloom", 6) + 0.0).alias("late_bloom"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS season, l_suppkey AS team, 'Al ' || p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey), k AS (SELECT DISTINCT l_orderkey AS season, l_suppkey AS team, p_name AS match FROM lineitem JOIN part ON p_partkey = l_partkey),
+t AS (SELECT season, team, name, w, string_split(lower(name), ' ')[w] AS tok, 3 - w AS prio FROM m, (VALUES (1), (2), (3)) v(w)), u AS (SELECT season, team, match, unnest(list_distinct(string_split(lower(match), ' '))) AS tok FROM k), h AS (SELECT season, team, name, prio, count(DISTINCT match) AS n, min(match) AS match FROM t JOIN u USING (season, team, tok) WHERE length(tok) > 2 GROUP BY ALL)
+SELECT season, team, name, match FROM (SELECT *, row_number() OVER (PARTITION BY season, team, name ORDER BY prio) AS r FROM h WHERE n = 1) WHERE r = 1""")
+def join_token_rescue(spark, d):
+    li, p = t(spark, d, "lineitem"), t(spark, d, "part")
+    k = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("season"), F.col("l_suppkey").alias("team"), F.col("p_name").alias("name")).distinct()
+    return matching.token_rescue(k.withColumn("name", F.concat(F.lit("Al "), "name")), k)
+
+
+@query("""WITH a AS (SELECT c_nationkey AS season, c_mktsegment AS team, c_custkey % 11 AS jersey, c_custkey % 9 + 70 AS height, c_name AS name FROM customer), k AS (SELECT c_nationkey AS season, c_mktsegment AS team, c_custkey % 7 AS jersey, c_custkey % 5 + 71 AS height, 'X ' || c_name AS name FROM customer)
+SELECT season, team, name, match, points FROM (SELECT a.season, a.team, a.name, k.name AS match, 6 + (a.name = k.name[3:])::INTEGER AS points, row_number() OVER (PARTITION BY a.season, a.team, a.name ORDER BY 6 + (a.name = k.name[3:])::INTEGER DESC, k.name) AS r FROM a JOIN k USING (season, team) WHERE a.jersey = k.jersey AND abs(a.height - k.height) <= 1) WHERE r = 1""")
+def join_body_rescue(spark, d):
+    c = F.col
+    base = t(spark, d, "customer").select(c("c_nationkey").alias("season"), c("c_mktsegment").alias("team"), "c_custkey", "c_name")
+    side = lambda j, h, low, name: base.select("season", "team", (c("c_custkey") % j).alias("jersey"), (c("c_custkey") % h + low).alias("height"), name.alias("name"))
+    return matching.body_rescue(side(11, 9, 70, c("c_name")), side(7, 5, 71, F.concat(F.lit("X "), "c_name")))
+
+
+@query("""WITH a AS (SELECT p_partkey AS i, lower(p_name) AS n, CASE WHEN p_size > 5 THEN p_size END AS yr FROM part), t AS (SELECT i, n, yr, unnest(list_distinct([string_split(n, ' ')[1], string_split(n, ' ')[-1]])) AS b FROM a)
+SELECT DISTINCT l.i AS nba_id, k.i AS athlete_id FROM t l JOIN t k USING (b) WHERE (l.yr IS NULL OR abs(l.yr - coalesce(k.yr, 1)) <= 3)""")
+def join_candidates(spark, d):
+    p = t(spark, d, "part")
+    size = F.when(F.col("p_size") > 5, F.col("p_size"))
+    left = p.select(F.col("p_partkey").alias("nba_id"), F.col("p_name").alias("player_name"), size.alias("draft_year_proxy"))
+    return matching.candidates(left, p.select(F.col("p_partkey").alias("athlete_id"), F.col("p_name").alias("athlete_name"), F.coalesce(size, F.lit(1)).alias("final_season"))).select("nba_id", "athlete_id")
+
+
+@query("""SELECT o_orderkey, 'new' AS kind FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'failed' FROM orders WHERE o_orderstatus = 'P'""")
+def src_incremental(spark, d):
+    """Rows a catalog table lacks, and failures logged with their time."""
+    c = Catalog(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    c.write("seen", o.where("o_orderstatus = 'F'"))
+    c.log_failures("failures", o.where("o_orderstatus = 'P'"))
+    new = c.missing(o, "seen", "o_orderkey").select("o_orderkey", F.lit("new").alias("kind"))
+    return new.unionByName(c.table("failures").where("failed_at IS NOT NULL").select("o_orderkey", F.lit("failed").alias("kind")))
+
+
+TOTALS = "sum(l_quantity)::BIGINT AS fga_total, sum(l_linenumber)::BIGINT AS ft_att, count(*) AS ft_made, count(*) FILTER (WHERE l_tax > 0.02) AS rim_made, count(*) FILTER (WHERE l_tax > 0.05) AS mid_made, count(*) FILTER (WHERE l_discount > 0.05) AS three_made, count(*) FILTER (WHERE l_discount > 0.02) AS tov_total, count(*) AS shots_total"
+
+
+def totals(df):
+    n = lambda cond, k: F.count_if(cond).alias(k)
+    return df.groupBy("season", F.col("l_suppkey").alias("athlete_id")).agg(
+        F.sum("l_quantity").cast("bigint").alias("fga_total"), F.sum("l_linenumber").cast("bigint").alias("ft_att"), F.count("*").alias("ft_made"), n(F.col("l_tax") > 0.02, "rim_made"), n(F.col("l_tax") > 0.05, "mid_made"), n(F.col("l_discount") > 0.05, "three_made"), n(F.col("l_discount") > 0.02, "tov_total"), F.count("*").alias("shots_total"),
+        n(F.col("l_tax") > 0.01, "rim_att"), n(F.col("l_tax") > 0.06, "dunk_att"), n(F.col("l_linenumber") > 2, "orb_total"), n(F.col("l_linenumber") > 3, "putback_att"), n(F.col("l_quantity") > 10, "transition_att"), n(F.col("l_quantity") > 30, "transition_made"), F.sum("l_quantity").alias("poss"),
+        n(F.col("l_quantity") > 40, "stl_total"), n(F.col("l_quantity") > 45, "blk_total"), n(F.col("l_quantity") > 20, "pf_total"), n((F.col("l_tax") > 0.05) & (F.col("l_discount") > 0.05), "assisted_made"),
+    )
+
+
+@query(f"""WITH b AS (SELECT season, l_suppkey AS a, {TOTALS}, count(*) FILTER (WHERE l_tax > 0.01) AS rim_att, count(*) FILTER (WHERE l_tax > 0.06) AS dunk, count(*) FILTER (WHERE l_linenumber > 2) AS orb, count(*) FILTER (WHERE l_linenumber > 3) AS put, count(*) FILTER (WHERE l_quantity > 10) AS tr, count(*) FILTER (WHERE l_quantity > 30) AS trm, sum(l_quantity) AS poss, count(*) FILTER (WHERE l_quantity > 40) AS stl, count(*) FILTER (WHERE l_quantity > 45) AS blk, count(*) FILTER (WHERE l_quantity > 20) AS pf, count(*) FILTER (WHERE l_tax > 0.05 AND l_discount > 0.05) AS helped FROM {LINES} GROUP BY ALL),
+s AS (SELECT season, l_suppkey AS a, l_returnflag = 'R' AS hi, {TOTALS} FROM {LINES} GROUP BY ALL), e AS (SELECT season, a, hi, shots_total AS n, CASE WHEN fga_total + 0.44 * ft_att + tov_total > 10 THEN tov_total / (fga_total + 0.44 * ft_att + tov_total) END AS lost, CASE WHEN fga_total + 0.44 * ft_att > 10 THEN (2 * rim_made + 3 * three_made + 2 * mid_made + ft_made) / (2 * (fga_total + 0.44 * ft_att)) END AS ts FROM s),
+j AS (SELECT b.*, rim_made + mid_made + three_made AS made, h.n AS hn, h.lost AS hl, h.ts AS ht, l.lost AS ll, l.ts AS lt FROM b LEFT JOIN e h ON h.season = b.season AND h.a = b.a AND h.hi LEFT JOIN e l ON l.season = b.season AND l.a = b.a AND NOT l.hi)
+SELECT season, a AS athlete_id, round(CASE WHEN rim_att >= 10 THEN (dunk + 2) / (rim_att + 4) END, 6) AS dunk_rate, round(CASE WHEN fga_total >= 10 THEN dunk / fga_total END, 6) AS dunk_freq, round(CASE WHEN orb >= 5 THEN put / (orb + 1) END, 6) AS putback_rate, round(CASE WHEN fga_total >= 10 THEN tr / fga_total END, 6) AS transition_freq, round(CASE WHEN tr >= 10 THEN (trm + 2) / (tr + 4) END, 6) AS transition_eff,
+round(CASE WHEN fga_total >= 10 AND poss > 0 THEN (rim_att + 0.44 * ft_att) / poss END, 6) AS rim_pressure_index, round(CASE WHEN poss >= 50 THEN 1.5 * stl / poss + 0.5 * blk / poss END, 6) AS deflection_proxy, round(CASE WHEN poss >= 50 THEN blk / poss / (blk / poss + pf / poss + 0.01) END, 6) AS contest_proxy, round(hl - ll, 6) AS pressure_handle_proxy, round(ht - lt, 6) AS clutch_shooting_delta,
+round(CASE WHEN made >= 10 THEN (made - helped) / made END, 6) AS self_creation_rate, round(CASE WHEN made - helped >= 5 THEN (made - helped + 2) / ((made - helped) * 1.5 + 4) END, 6) AS self_creation_eff, round(CASE WHEN shots_total >= 10 THEN coalesce(hn, 0) / shots_total END, 6) AS leverage_poss_share, (CASE WHEN shots_total >= 10 THEN 0 ELSE 1 END) AS leverage_poss_share_missing FROM j""")
+def plan_advanced_features(spark, d):
+    li = lines(spark, d)
+    f = context.advanced_features(totals(li), totals(li.where("l_returnflag = 'R'")), totals(li.where("l_returnflag <> 'R'")))
+    names = [x for x in f.columns if not x.endswith("_missing") and x not in ("season", "athlete_id")]
+    return f.select("season", "athlete_id", *[r(x, 6).alias(x) for x in names], "leverage_poss_share_missing")

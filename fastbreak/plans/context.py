@@ -52,6 +52,43 @@ def enhanced_features(splits: DataFrame, least: int = 10) -> DataFrame:
     return out.withColumns({f"{k}_missing": F.col(k).isNull().cast("int") for k in made})
 
 
+def advanced_features(base: DataFrame, high: DataFrame, low: DataFrame, least: int = 10) -> DataFrame:
+    """Thirteen rates of a player-season, each with a missing flag, from its totals and those of its high and low leverage plays.
+
+    base: season, athlete_id and totals; high, low: the same keys with fga_total, ft_att, ft_made,
+    rim_made, mid_made, three_made, tov_total and (high) shots_total, one row a key.
+    """
+    c = lambda x: F.col(x).cast("double")
+    zero = lambda x: F.coalesce(c(x), F.lit(0.0))
+    enough = lambda x, v, k=least: F.when(c(x) >= k, v)
+    tries = c("fga_total") + 0.44 * c("ft_att")
+    scored = 2 * c("rim_made") + 3 * c("three_made") + 2 * c("mid_made") + c("ft_made")
+    lost = F.when(tries + c("tov_total") > 10, c("tov_total") / (tries + c("tov_total")))
+    shooting = F.when(tries > 10, scored / (2 * tries))
+    side = lambda df, n, *more: df.select("season", "athlete_id", lost.alias(f"_lost_{n}"), shooting.alias(f"_ts_{n}"), *more)
+    wide = base.join(side(high, "high", c("shots_total").alias("_shots_high")), ["season", "athlete_id"], "left").join(side(low, "low"), ["season", "athlete_id"], "left")
+    steals, blocks, fouls = (F.when(c("poss") >= 50, c(x) / c("poss")) for x in ("stl_total", "blk_total", "pf_total"))
+    made, helped = zero("rim_made") + zero("mid_made") + zero("three_made"), zero("assisted_made")
+    own = made - helped
+    found = {
+        "dunk_rate": enough("rim_att", shrink(c("dunk_att"), c("rim_att"))),
+        "dunk_freq": enough("fga_total", c("dunk_att") / c("fga_total")),
+        "putback_rate": enough("orb_total", c("putback_att") / (c("orb_total") + 1), 5),
+        "transition_freq": enough("fga_total", c("transition_att") / c("fga_total")),
+        "transition_eff": enough("transition_att", shrink(c("transition_made"), c("transition_att"))),
+        "rim_pressure_index": F.when(c("poss") > 0, enough("fga_total", (c("rim_att") + 0.44 * c("ft_att")) / c("poss"))),
+        "deflection_proxy": F.when(F.coalesce(steals, blocks).isNotNull(), 1.5 * F.coalesce(steals, F.lit(0.0)) + 0.5 * F.coalesce(blocks, F.lit(0.0))),
+        "contest_proxy": blocks / (blocks + fouls + 0.01),
+        "pressure_handle_proxy": F.col("_lost_high") - F.col("_lost_low"),
+        "clutch_shooting_delta": F.col("_ts_high") - F.col("_ts_low"),
+        "self_creation_rate": F.when(made >= least, own / made),
+        "self_creation_eff": F.when(own >= 5, shrink(own, own * 1.5)),
+        "leverage_poss_share": enough("shots_total", F.coalesce("_shots_high", F.lit(0.0)) / c("shots_total")),
+    }
+    out = wide.select("season", "athlete_id", *[v.alias(k) for k, v in found.items()])
+    return out.withColumns({f"{k}_missing": F.col(k).isNull().cast("int") for k in found})
+
+
 def unified(base: DataFrame, features: dict[str, DataFrame], on: list[str], target: DataFrame | None = None, mode: str = "supervised", forbidden: set[str] = frozenset()) -> DataFrame:
     """A star of left joins on `on`, each source flagged has_<name>.
 

@@ -171,3 +171,15 @@ def test_unified_refuses_repeated_keys(spark):
     assert context.unified(base, {"f": twice.limit(1)}, ["athlete_id", "season"]).count() == 2
     with pytest.raises(Exception, match="repeats a key"):
         context.unified(base, {"f": twice}, ["athlete_id", "season"]).collect()
+
+
+def test_lineups_from_a_checkpoint(spark):
+    """Starters are the named five with the substitutions before it taken back."""
+    rows = [
+        ("g", 1, "A", "p1", None, None), ("g", 2, "A", "p6", "in", None), ("g", 3, "A", "p5", "out", None),
+        ("g", 4, "A", None, None, ["p1", "p2", "p3", "p4", "p6"]), ("g", 5, "A", "p7", "in", None), ("g", 6, "A", "p2", "out", None),
+    ]
+    got = {r["seq"]: r for r in impact.reconstruct_lineups(spark.createDataFrame(rows, "gameId string, seq int, team string, player string, direction string, lineup array<string>")).collect()}
+    assert got[1]["onfloor"] == ["p1", "p2", "p3", "p4", "p5"] and got[1]["confidence"] == 1.0
+    assert got[3]["onfloor"] == got[4]["onfloor"] == ["p1", "p2", "p3", "p4", "p6"]
+    assert got[6]["onfloor"] == ["p1", "p3", "p4", "p6", "p7"]
