@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,20 @@ def scratch(spark: SparkSession, left: list[str] | None = None) -> Iterator[Call
                 outer += kept
 
 
+def other_columns_aside(*needed: str):
+    """For functions that return rows of their first argument: its other columns have neutral names meanwhile, so none can clash."""
+
+    def wrap(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            named = [c if c in needed else f"_a{i}" for i, c in enumerate(docs.columns)]
+            return f(docs.toDF(*named), *args, **kwargs).select(*named).toDF(*docs.columns)
+
+        return run
+
+    return wrap
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import materialize, scratch
+from fastbreak.llm.common import materialize, other_columns_aside, scratch
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -155,11 +155,10 @@ def n_hit(hits: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["word_from"], h["word_to"]))))).cast("bigint")
 
 
+@other_columns_aside("text")
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    aside = {c: f"_c_{c}" for c in docs.columns if c in ("n_words", "hits")}
-    found = find_contamination(docs.withColumnsRenamed(aside), benchmark).where(F.size("hits") == 0)
-    return found.drop("n_words", "hits").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    return find_contamination(docs, benchmark).where(F.size("hits") == 0).select(*docs.columns)
 
 
 def op1_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ a shuffle, and the references are a few rows. Languages are joined by broadcast
 
 Defined cases: a null text has no words and fails; a null language is a language of its own; a
 language with one document is its own reference; repeated rows each get their result; an empty
-table gives an empty result; extra columns pass through (own columns start with `_q_`).
+table gives an empty result; extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import materialize, words
+from fastbreak.llm.common import materialize, other_columns_aside, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 COMMON = 16
@@ -157,6 +157,7 @@ def learn(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame, bool]
 COLUMNS = ("_q_lang", "_q_len", "_q_n_words", "_q_word_chars", "_q_n_symbols", "_q_n_dup_lines", "_q_n_repeat_words", "_q_chars", "_q_hist", "_q_base_failed")
 
 
+@other_columns_aside("text", "lang")
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     # counts are written beside the documents: a filter over them would be pushed below the counting and repeat it

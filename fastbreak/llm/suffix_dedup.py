@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fastbreak.llm.common import few, lookup, materialize, scratch, with_keys
+from fastbreak.llm.common import few, lookup, materialize, other_columns_aside, scratch, with_keys
 
 LENGTH = 400
 #: Bytes of a passage of more than 50 words of five bytes with the space after them.
@@ -475,6 +475,7 @@ def clean(found: DataFrame, raw: DataFrame) -> DataFrame:
     return found.select("key", "data").join(raw.hint("merge"), "key").mapInArrow(work, CLEANED)
 
 
+@other_columns_aside("text")
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with repeated passages cut out of text; a character that a cut splits goes with it.
 

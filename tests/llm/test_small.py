@@ -632,3 +632,71 @@ def strip_bytes(texts, n=400):
 
 def strip(texts, n=400):
     return [b.decode("utf-8", "ignore") for b in strip_bytes(texts, n)]
+
+
+CLASHING = ("_q_w", "_q_lang", "_s_key", "_s_data", "_s_cuts", "_n_key", "_n_doc", "_n_root", "key", "hits", "n_words", "node", "_a0", "unit", "size")
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Every stage with clashing columns, null ids and texts, repeated word-less rows, and no rows at all."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (None, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = mess(4) + ["", "", None, "alpha beta gamma " * 3 + " ".join(f"w{i}" for i in range(80))]
+    d = docs(spark, texts, **{c: f"mine {c}" for c in CLASHING})
+    d = d.unionByName(d.where("doc_id > 50").withColumn("doc_id", F.lit(None).cast("long"))).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows_in in (d, d.limit(0)):
+            got = stage(spark, rows_in, str(tmp_path))
+            if name != "source_mixing":
+                assert got.columns == d.columns
+                kept = got.collect()
+                assert all(r[c] == f"mine {c}" for r in kept for c in CLASHING)
+                assert not kept if rows_in is not d else kept or name == "quality_rules", name
+            else:
+                assert got.count() == rows_in.count()
+
+
+def test_languages_of_one_document_and_none(spark):
+    texts = [t for t in mess(6) if t and len(t.split()) > 60]
+    d = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") == 0, "xx").when(F.col("doc_id") > 3, "en"))
+    got = {r["doc_id"]: r for r in rules.op7_quality_rules(d).collect()}
+    assert len(got) == len(texts) and got[0]["kept"] == (not got[0]["base_failed"])  # its own reference
+
+
+def test_ids_that_are_null(spark):
+    texts = ["a b c d e f g", "a b c d e f g", None, "x y"]
+    d = docs(spark, texts, n_tokens="mine", row="mine", root="mine").withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.op9_ngram_join(d).collect()}
+    assert got == {(None, 4): 1, (1, 4): 1, (2, 0): 2, (3, 1): 3}
+    assert {(r["doc_id"], r["n_tokens"]) for r in gru_lm.op8_gru_scores(d).collect()} == {(None, 8), (1, 8), (2, 1), (3, 3)}
+    assert {(r["doc_id"], r["size"]) for r in mixing.op3_source_mixing(d).collect()} == {(None, 7), (1, 7), (2, 0), (3, 2)}
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", f"w{rng.randrange(10**6)}"]) for _ in range(400_000))
+    d = docs(spark, [long, long[1_000_000:1_001_000], "short text"])
+    bench = spark.createDataFrame([(5, long[2_000_000:2_000_200])], "item_id long, text string")
+    hit = {r["doc_id"]: r for r in decontam.op1_decontamination(d, bench).collect()}
+    assert hit[0]["contaminated"] and hit[0]["n_words"] == 400_000 and not hit[1]["contaminated"]
+    cut = {r["doc_id"]: r for r in suffix_dedup.op10_suffix_dedup(d).collect()}
+    assert cut[0]["n_removed"] >= 1000 and cut[1]["n_removed"] == 1000 and cut[2]["n_removed"] == 0
+    assert {r["doc_id"]: r["n_words"] for r in rules.op7_quality_rules(d).collect()}[0] == 400_000
+    assert {r["doc_id"]: r["n_tokens"] for r in gru_lm.op8_gru_scores(d).collect()}[0] == 400_001
+    assert {r["doc_id"]: r["n_chars"] for r in token_edit.op5_edit_token_counts(d).collect()}[0] == len(long)
+    assert ngram_join.op9_ngram_join(d).count() == quality.op4_quality_classifier(d, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).count() == 3
+
+
+def test_warc_repeats_of_the_largest_id(spark):
+    long = "z" * 1500
+    pages = spark.createDataFrame([(9, "a", long), (9, "a", long), (2, "b", long)], "page_id long, url string, html string")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.op2_warc_bundles(pages).collect()]
+    assert len(got) == 3 and (2, "revisit", 9) in got and all(x[2] in (None, 9) for x in got)
+
+
+def test_chat_null_turns_come_first(spark):
+    conv = [(1, None, "user", "first"), (1, 0, "assistant", "second")]
+    got = {r["conv_id"]: r for r in chat.op6_chat_windows(spark.createDataFrame(conv, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\nfirst\nassistant\nsecond\n").hexdigest()
