@@ -44,13 +44,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _MADE: ContextVar[list | None] = ContextVar("made", default=None)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     made = _MADE.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

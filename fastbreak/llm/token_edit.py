@@ -284,7 +284,7 @@ def standing_edits(docs: DataFrame) -> DataFrame:
 def op5_edit_token_counts(docs: DataFrame) -> DataFrame:
     """Counts of every text, and after three edits applied to the state that was written."""
     with scratch(docs.sparkSession) as keep:
-        state = keep(materialize(index_documents(docs), "token-index"))
+        state = keep(materialize(index_documents(docs), "token-index", "zstd"))
     before = {f"before_{k}": v for k, v in counts(state).items()}
     ids = state.schema["doc_id"].dataType.simpleString()
     names = ", ".join(f"{k}:bigint" for k in before)
