@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fastbreak.llm import chat, decontam, gru_lm, mixing, ngram_join, quality, rules, suffix_dedup, token_edit, warc
+from fastbreak.llm import chat, decontam, gru_lm, license_scan, mixing, ngram_join, prefix_trie, quality, rules, structure_repair, suffix_dedup, token_edit, warc
 from fastbreak.llm.common import table
 
 
@@ -48,5 +48,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op10_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op4_quality_classifier, op5_edit_token_counts, op6_chat_windows, op7_quality_rules, op8_gru_scores, op9_ngram_join, op10_suffix_dedup)}
-ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL, "op6_chat_windows": chat.SQL, "op7_quality_rules": rules.SQL, "op9_ngram_join": ngram_join.SQL}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op11_license_scan(table(spark, sf_dir, "documents"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.op12_structure_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc_bundles, op3_source_mixing, op4_quality_classifier, op5_edit_token_counts, op6_chat_windows, op7_quality_rules, op8_gru_scores, op9_ngram_join, op10_suffix_dedup, op11_license_scan, op12_structure_repair, op13_prefix_trie)}
+ORACLE_SQL = {"op1_decontamination": decontam.SQL, "op2_warc_bundles": warc.SQL, "op6_chat_windows": chat.SQL, "op7_quality_rules": rules.SQL, "op9_ngram_join": ngram_join.SQL, "op12_structure_repair": structure_repair.SQL, "op13_prefix_trie": prefix_trie.SQL}
