@@ -1,5 +1,6 @@
 import pytest
 
+import fastbreak.model_queries
 import fastbreak.more_queries  # noqa: F401
 from fastbreak import queries
 from tests.helpers import SF, oracle, rows
