@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fastbreak.functions.text import similarity, token_sort
+from fastbreak.operators.similar import close_matches as close_matches
+from fastbreak.operators.similar import may_reach
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -186,9 +188,15 @@ def tiered(left: DataFrame, key: str, tiers: list[tuple[str, DataFrame, list[str
 
 
 def fuzzy(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, least: float, left_key: str, right_key: str, penalty: Column | None = None) -> DataFrame:
-    """Best right row for each left row inside the same block by similarity, at least `least`; equal texts are 1 without a comparison."""
+    """Best right row for each left row inside the same block by similarity, at least `least`; equal texts are 1 without a comparison.
+
+    Without a penalty, pairs that cannot reach `least` by their lengths and shared characters are not compared.
+    """
     like = F.when(F.col(left_text) == F.col(right_text), F.lit(1.0)).otherwise(similarity(F.col(left_text), F.col(right_text)))
-    both = left.join(right, block).withColumn("score", like - (penalty if penalty is not None else F.lit(0.0)))
+    pairs = left.join(right, block)
+    if penalty is None:
+        pairs = pairs.where((F.col(left_text) == F.col(right_text)) | may_reach(F.col(left_text), F.col(right_text), least))
+    both = pairs.withColumn("score", like - (penalty if penalty is not None else F.lit(0.0)))
     best = W.partitionBy(left_key).orderBy(F.desc("score"), right_key)
     return both.where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
@@ -210,36 +218,6 @@ def fuzzy_by_date(left: DataFrame, right: DataFrame, least: float = 0.70, day_pe
     return best.select("l_id", "r_id", "score", "swapped", F.col("_off").alias("day_offset"))
 
 
-def close_matches(left: DataFrame, right: DataFrame, left_name: str, right_name: str, n: int = 3, least: float = 0.8) -> DataFrame:
-    """Up to n similar names for each name among all names of the right, as difflib.get_close_matches: of equal scores the larger name first.
-
-    A ratio of `least` needs that share of the characters in common, repeats counted. Characters stand rarest first,
-    so two such names share one of the first few; only those that do are compared. Null names match nothing.
-    """
-    if not least > 0:
-        raise ValueError("least must be above 0")
-
-    def characters(df: DataFrame, name: str, as_: str) -> DataFrame:
-        own = df.select(F.col(name).alias(as_)).where(F.col(as_).isNotNull()).distinct()
-        chars = F.when(F.col(as_) == "", F.array(F.lit(""))).otherwise(F.array_sort(F.split(as_, "")))
-        return own.withColumn("_c", chars).withColumn("_c", F.transform("_c", lambda c, i: F.concat(c, (i - F.array_position("_c", c)).cast("string"))))
-
-    l, r = characters(left, left_name, "_l"), characters(right, right_name, "_r")  # noqa: E741
-    use = l.select(F.explode("_c").alias("_t")).unionAll(r.select(F.explode("_c"))).groupBy("_t").agg(F.count("*").alias("_u"))
-
-    def heads(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(name, F.explode("_c").alias("_t")).join(use, "_t").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_u", "_t"))).alias("_h"))
-        few = F.size("_h") - F.ceil(F.size("_h") * (least / (2 - least)) - 1e-9) + 1
-        return ranked.select(name, F.explode(F.slice("_h", F.lit(1), F.greatest(few, F.lit(1)).cast("int"))).alias("_h")).select(name, F.col("_h._t").alias("_t"))
-
-    pairs = heads(l, "_l").join(heads(r, "_r"), "_t").select("_l", "_r").distinct()
-    shared = F.size(F.array_intersect("_lc", "_rc"))
-    both = pairs.join(l.withColumnRenamed("_c", "_lc"), "_l").join(r.withColumnRenamed("_c", "_rc"), "_r").where(2 * shared >= least * (F.size("_lc") + F.size("_rc")) - 1e-9)
-    # the ratio depends on the order of its sides; difflib puts the candidate first
-    scored = both.select(F.col("_l").alias(left_name), F.col("_r").alias(right_name), similarity(F.col("_r"), F.col("_l")).alias("score")).where(F.col("score") >= least)
-    return scored.withColumn("place", F.row_number().over(W.partitionBy(left_name).orderBy(F.desc("score"), F.desc(right_name)))).where(F.col("place") <= n)
-
-
 def prefer(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
     """All of the first, and of the second what the first lacks."""
     return first.unionByName(second.join(first.select(*on).distinct(), on, "left_anti"), allowMissingColumns=True)
