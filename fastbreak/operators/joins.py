@@ -171,9 +171,10 @@ def tiered(left: DataFrame, key: str, tiers: list[tuple[str, DataFrame, list[str
     """Resolve left rows tier by tier: each tier (name, table, join columns) gives `value`.
 
     A tier with two different values for one row marks it ambiguous; what no tier resolves is
-    unresolved. One row per left key.
+    unresolved. One row per left key; a key that the left repeats raises an error when it is read.
     """
-    left = left.dropDuplicates([key])
+    once = F.count("*").over(W.partitionBy(key))
+    left = left.withColumn("_n", once).where(F.assert_true(F.col("_n") == 1, F.lit("left repeats a key")).isNull()).drop("_n")
     rest, done = left, []
     for name, df, on in tiers:
         found = rest.join(df.select(*on, value).dropDuplicates(), on).groupBy(key).agg(F.count_distinct(value).alias("_k"), F.min(value).alias(value))
@@ -230,6 +231,20 @@ def override(base: DataFrame, rescued: DataFrame, on: list[str]) -> DataFrame:
     return base.join(other, on, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_r_{c}")) for c in shared}).select(*base.columns)
 
 
+def override_tagged(base: DataFrame, rescued: DataFrame, on: list[str], first: str = "base", second: str = "rescued") -> DataFrame:
+    """As `override`, with <column>_source of each shared column: which table its value is from, or missing.
+
+    The rescuing table must have each key once; one that repeats a key raises an error when it is read.
+    """
+    shared = [c for c in base.columns if c in rescued.columns and c not in on]
+    once = F.count("*").over(W.partitionBy(*on))
+    other = rescued.withColumn("_n", once).where(F.assert_true(F.col("_n") == 1, F.lit("rescued repeats a key")).isNull())
+    both = base.join(other.select(*on, *[F.col(c).alias(f"_r_{c}") for c in shared]), on, "left")
+    source = lambda c: F.when(F.col(c).isNotNull(), first).when(F.col(f"_r_{c}").isNotNull(), second).otherwise("missing")
+    both = both.withColumns({f"{c}_source": source(c) for c in shared})
+    return both.withColumns({c: F.coalesce(F.col(c), F.col(f"_r_{c}")) for c in shared}).select(*base.columns, *[f"{c}_source" for c in shared])
+
+
 def suffix_match(left: DataFrame, right: DataFrame, on: list[str], left_name: str, right_name: str) -> DataFrame:
     """Right names that end in a longer form of the left name; only unique hits."""
     hit = left.join(right, on).where(F.endswith(F.col(right_name), F.col(left_name)) & (F.length(right_name) > F.length(left_name)))

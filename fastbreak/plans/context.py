@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fastbreak.functions.rates import clip, ratio, reliability_possessions, shrink
 from fastbreak.operators.windows import zscore
+from fastbreak.plans.transforms import Transforms
 
 
 def pathway_context(seasons: DataFrame, sources: list[str], mix: dict[str, float], volume: str = "poss", rescue: float = 0.5) -> DataFrame:
@@ -89,29 +90,37 @@ def advanced_features(base: DataFrame, high: DataFrame, low: DataFrame, least: i
     return out.withColumns({f"{k}_missing": F.col(k).isNull().cast("int") for k in found})
 
 
-def unified(base: DataFrame, features: dict[str, DataFrame], on: list[str], target: DataFrame | None = None, mode: str = "supervised", forbidden: set[str] = frozenset()) -> DataFrame:
+def unified(base: DataFrame, features: dict[str, DataFrame], on: list[str], target: DataFrame | None = None, mode: str = "supervised", forbidden: set[str] = frozenset(), transforms: Transforms | None = None, fit_on: Column | None = None) -> DataFrame:
     """A star of left joins on `on`, each source flagged has_<name>.
 
     supervised keeps rows with a target, foundation drops the targets, joint keeps all rows with a mask.
-    Base and feature tables must be unique on the keys, and a table that is not raises an error when it
-    is read; the result has one row per base key.
+    Base and feature tables must be unique on the keys, the target on those of them it has, and a table
+    that is not raises an error when it is read; the result has one row per base key. `transforms` are
+    fitted on the joined rows for which `fit_on` holds (all without it), whatever the mode, and applied
+    to all; tables that came with them are applied as they are.
     """
+    if mode not in ("supervised", "foundation", "joint"):
+        raise ValueError(f"unknown mode {mode!r}")
 
-    def unique(df: DataFrame, name: str) -> DataFrame:
-        n = F.count("*").over(W.partitionBy(*on))
+    def unique(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        n = F.count("*").over(W.partitionBy(*keys))
         return df.withColumn("_n", n).where((F.col("_n") == 1) | F.assert_true(F.col("_n") == 1, F.lit(f"{name} repeats a key")).isNull()).drop("_n")
 
-    out = unique(base, "base")
+    out = unique(base, "base", on)
     for name, df in features.items():
         bad = forbidden & set(df.columns)
         if bad:
             raise ValueError(f"{name} holds target columns {sorted(bad)}")
-        out = out.join(unique(df, name).withColumn(f"has_{name}", F.lit(1)), on, "left").fillna({f"has_{name}": 0})
+        out = out.join(unique(df, name, on).withColumn(f"has_{name}", F.lit(1)), on, "left").fillna({f"has_{name}": 0})
+    if transforms is not None:
+        if not transforms.tables:
+            transforms.fit(out if fit_on is None else out.where(fit_on))
+        out = transforms.apply(out)
     if target is None or mode == "foundation":
         return out
     keys = [c for c in on if c in target.columns]
     cols = [c for c in target.columns if c not in keys]
-    out = out.join(target, keys, "inner" if mode == "supervised" else "left")
+    out = out.join(unique(target, "target", keys), keys, "inner" if mode == "supervised" else "left")
     return out.withColumns({f"{c}_mask": F.col(c).isNotNull().cast("int") for c in cols})
 
 

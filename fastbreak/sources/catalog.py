@@ -4,7 +4,11 @@ A table is a folder of versions. A version holds a folder of rows for each write
 make a new version, appends add a folder of their own rows to the current one and touch no other. A
 folder counts once its `_SUCCESS` mark is there, so readers never see half a write. The schema of a
 version is the row-less folder it begins with; a column added later is a newer row-less folder, and
-older rows read as null there. Old versions stay until `vacuum`.
+older rows read as null there.
+
+An upsert keeps rows in buckets by key. Its version holds the buckets that incoming rows touch, written
+anew, and a list of all bucket folders the table now consists of, those of older versions included; the
+untouched ones stay where they are. Old versions, but for folders the current one lists, stay until `vacuum`.
 """
 
 from __future__ import annotations
@@ -17,6 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Buckets of a table that is upserted for the first time.
+BUCKETS = 64
+LINKS = "part string, bucket int, buckets int, key array<string>"
+
+
 class Catalog:
     """Append by shared columns, tolerant append, upsert by key, idempotent creation, incremental filters."""
 
@@ -56,16 +65,30 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         path, parts = self._current(name)
-        rows = [f"{path}/{p}" for p in parts if not p.endswith("-schema")]
         schema = self.schema(name)
-        if not rows:
-            return self.spark.createDataFrame([], schema)
         # partition columns live in the folders' names, so each write is read below its own base
+        reads = [(p, [p]) for p in (f"{path}/{p}" for p in parts if p.endswith("-rows"))]
+        return self._read(reads + self._buckets(name, self._links(path, parts)), schema)
+
+    def _read(self, reads: list[tuple[str, list[str]]], schema: T.StructType) -> DataFrame:
+        """Rows of folders, given as a base and folders below it."""
         out = None
-        for p in rows:
-            df = self.spark.read.schema(schema).option("basePath", p).parquet(p)
+        for base, folders in reads:
+            df = self.spark.read.schema(schema).option("basePath", base).parquet(*folders).select(*schema.names)
             out = df if out is None else out.unionByName(df)
-        return out.select(*schema.names)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _links(self, path: str, parts: list[str]) -> list:
+        """The bucket folders of a version: at most buckets times upserts since the last rewriting, or none."""
+        own = [p for p in parts if p.endswith("-links")]
+        return self.spark.read.schema(LINKS).parquet(f"{path}/{own[-1]}").collect() if own else []
+
+    def _buckets(self, name: str, links: list) -> list[tuple[str, list[str]]]:
+        by: dict[str, list[str]] = {}
+        for x in links:
+            base = f"{self.root}/{name}/{x['part']}"
+            by.setdefault(base, []).append(f"{base}/_bucket={x['bucket']}")
+        return sorted(by.items())
 
     def columns(self, name: str) -> dict[str, str]:
         return dict(self.table(name).dtypes) if self.exists(name) else {}
@@ -75,19 +98,42 @@ class Catalog:
 
     def write(self, name: str, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
         """A complete new version; readers see the old one until its rows, which come before its schema, are whole."""
+        made = self._begin(name, df.schema)
+        self._add(made, 1, df, "rows", partition_by)
+        self._finish(made)
+
+    def _begin(self, name: str, schema: T.StructType) -> str:
         n = int(self._versions(name)[-1].split("-")[0]) + 1 if self.exists(name) else 0
         made = f"{self.root}/{name}/.{n:08d}-{uuid.uuid4().hex[:8]}"
-        self._add(made, 0, self.spark.createDataFrame([], df.schema), "schema")
-        self._add(made, 1, df, "rows", partition_by)
+        self._add(made, 0, self.spark.createDataFrame([], schema), "schema")
+        return made
+
+    def _finish(self, made: str) -> None:
         p, fs = self._fs(made)
         if not fs.rename(p, self._fs(made.replace("/.", "/"))[0]):
             raise OSError(f"cannot finish {made}")
 
     def vacuum(self, name: str) -> None:
-        """Delete all versions but the current one."""
+        """Delete what the current version does not consist of."""
+        links = self._links(*self._current(name)) if self.exists(name) else []
+        used, folders = {x["part"] for x in links}, {f"{x['part']}/_bucket={x['bucket']}" for x in links}
         for v in self._versions(name)[:-1]:
-            p, fs = self._fs(f"{self.root}/{name}/{v}")
-            fs.delete(p, True)
+            if not any(part.startswith(f"{v}/") for part in used):
+                self._delete(f"{name}/{v}")
+                continue
+            for part in self._done(f"{self.root}/{name}/{v}"):
+                if f"{v}/{part}" not in used:
+                    self._delete(f"{name}/{v}/{part}")
+                    continue
+                p, fs = self._fs(f"{self.root}/{name}/{v}/{part}")
+                for x in fs.listStatus(p):
+                    own = x.getPath().getName()
+                    if own.startswith("_bucket=") and f"{v}/{part}/{own}" not in folders:
+                        self._delete(f"{name}/{v}/{part}/{own}")
+
+    def _delete(self, below: str) -> None:
+        p, fs = self._fs(f"{self.root}/{below}")
+        fs.delete(p, True)
 
     def create(self, name: str, schema: T.StructType | str) -> None:
         if not self.exists(name):
@@ -135,15 +181,39 @@ class Catalog:
                 cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         return df.select(*cols)
 
-    def upsert(self, name: str, df: DataFrame, key: list[str]) -> None:
-        """New rows replace old rows of the same key; null keys never match. A new version: the old rows are read once."""
+    def upsert(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS) -> None:
+        """New rows replace old rows of the same key; null keys never match.
+
+        Only buckets that new rows fall in are read and written. The first upsert, and one by another key,
+        rewrites the table into `buckets` buckets, a number that stays until then; rows appended since
+        the last upsert are dealt into theirs.
+        """
         if not df.columns or df.isEmpty():
             return
         if not self.exists(name):
             return self.write(name, df)
-        old = self.table(name)
-        new = self._shaped(df, old, tolerant=False)
-        self.write(name, old.join(new.select(*key).distinct(), key, "left_anti").select(*old.columns).unionByName(new))
+        path, parts = self._current(name)
+        schema, links = self.schema(name), self._links(path, parts)
+        new = self._shaped(df, self.table(name), tolerant=False)
+        same = bool(links) and links[0]["key"] == key
+        count = links[0]["buckets"] if same else buckets
+        at = F.pmod(F.xxhash64(*key), F.lit(count)).cast("int")
+        if same:
+            touched = {x[0] for x in new.select(at).distinct().collect()}  # at most `count` numbers
+            loose = [(p, [p]) for p in (f"{path}/{p}" for p in parts if p.endswith("-rows"))]
+            old = self._read(loose + self._buckets(name, [x for x in links if x["bucket"] in touched]), schema)
+        else:
+            touched, old = None, self.table(name)
+        rows = old.join(new.select(*key).distinct(), key, "left_anti").select(*schema.names).unionByName(new)
+        made = self._begin(name, schema)
+        version = made.rsplit("/", 1)[1].removeprefix(".")
+        self._add(made, 1, rows.withColumn("_bucket", at).repartition("_bucket"), "buckets", ["_bucket"])
+        own = next(p for p in self._done(made) if p.endswith("-buckets"))
+        p, fs = self._fs(f"{made}/{own}")
+        filled = [int(n.split("=")[1]) for n in (x.getPath().getName() for x in fs.listStatus(p)) if n.startswith("_bucket=")]
+        kept = [(x["part"], x["bucket"], count, key) for x in links if same and x["bucket"] not in touched]
+        self._add(made, 2, self.spark.createDataFrame([*kept, *((f"{version}/{own}", b, count, key) for b in filled)], LINKS).coalesce(1), "links")
+        self._finish(made)
 
     def add_column(self, name: str, column: str, kind: str) -> None:
         """Rows stay as they are; the column reads as null in those written before."""

@@ -51,6 +51,9 @@ def one(spark, c, **cols):
         (clock.clock_seconds, "1:2:3", 0.0),
         (text.header_team, "Time | HOME U | Score | AWAY", "HOME U"),
         (text.header_team, "Time | Score", ""),
+        (text.header_team, " TIME |  | score | Away St. ", "Away St."),
+        (text.header_team, "Scoreville | time", "Scoreville"),
+        (text.header_team, None, ""),
         (clock.year_in_name, "torvik_2019.csv", 2019),
     ],
 )
@@ -70,6 +73,9 @@ def test_lineup_text(spark):
     assert one(spark, text.explicit_lineup(F.col("v")), v="TEAM For Duke: #01 SMITH,JOHN #22 O'NEAL,A. #01 SMITH,JOHN") == ["SMITH,JOHN", "O'NEAL,A."]
     assert one(spark, text.explicit_lineup(F.col("v")), v="SMITH,JOHN Enters Game") == []
     assert tuple(one(spark, text.score(F.col("v")), v="12 - 34")) == (12, 34)
+    assert tuple(one(spark, text.score(F.col("v")), v="Lead 3, -7 then 101-\t99 and 1-2")) == (101, 99)
+    assert one(spark, text.explicit_lineup(F.col("v")), v="team for away:#5 #7 de la Cruz, J.R. 3#11LEE-ANN, B") == ["DE LA CRUZ, J.R.", "LEE-ANN, B"]
+    assert one(spark, text.explicit_lineup(F.col("v")), v="Foul #3 on #4: none") == []
 
 
 def test_token_set(spark):

@@ -40,6 +40,35 @@ def test_catalog(spark, tmp_path):
     assert c.table("failures").count() == 1
 
 
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    c, table = Catalog(spark, str(tmp_path)), tmp_path / "t"
+    rows = lambda: sorted((tuple(r) for r in c.table("t").collect()), key=str)
+    data = lambda: {x for x in table.rglob("*.parquet") if "_bucket=" in str(x)}
+    kinds = "k long, g string, v int"
+    want = {(k, "a"): 0 for k in range(200)}
+    c.write("t", spark.createDataFrame([(k, g, v) for (k, g), v in want.items()] + [(None, "a", 7)], kinds))
+    c.upsert("t", spark.createDataFrame([(5, "a", 1)], kinds), ["k", "g"], 16)
+    first = data()
+    assert len({x.parent for x in first}) == 16 and len(rows()) == 201
+    before = {x: x.stat().st_mtime_ns for x in first}
+    c.upsert("t", spark.createDataFrame([(5, "a", 2), (5, "b", 3)], kinds), ["k", "g"])
+    want |= {(5, "a"): 2, (5, "b"): 3}
+    new = data() - first
+    assert 1 <= len({x.parent.name for x in new}) <= 2 and {x: x.stat().st_mtime_ns for x in first} == before
+    assert rows() == sorted([(k, g, v) for (k, g), v in want.items()] + [(None, "a", 7)], key=str)
+    c.append("t", spark.createDataFrame([(900, "a", 4), (901, "a", 4)], kinds))
+    c.add_column("t", "w", "double")
+    c.upsert("t", spark.createDataFrame([(900, "a", 5, 1.5), (None, "a", 8, None)], f"{kinds}, w double"), ["k", "g"])
+    want |= {(900, "a"): 5, (901, "a"): 4}
+    expected = sorted([(k, g, v, 1.5 if k == 900 else None) for (k, g), v in want.items()] + [(None, "a", 7, None), (None, "a", 8, None)], key=str)
+    assert rows() == expected
+    held = len(data())
+    c.vacuum("t")
+    assert rows() == expected and len(data()) < held
+    c.upsert("t", spark.createDataFrame([(3, "z", 9, None)], f"{kinds}, w double"), ["k"])  # another key: written anew
+    assert [r for r in rows() if r[0] == 3] == [(3, "z", 9, None)] and len(rows()) == len(expected)
+
+
 def test_restrict(spark):
     df = spark.range(5)
     assert {r["id"] for r in restrict(df, "id", spark.range(1, 4), spark.range(2, 3)).collect()} == {1, 3}
