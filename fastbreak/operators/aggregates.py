@@ -7,6 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def any_true(c: Column) -> Column:
+    """Whether a condition holds in some row; unknown ones do not count, and no row gives false."""
+    return F.coalesce(F.bool_or(c), F.lit(False))
+
+
+def all_true(c: Column) -> Column:
+    """Whether a condition holds in every row; an unknown one does not hold."""
+    return F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True))
+
+
 def wavg(x: Column, w: Column) -> Column:
     """sum(x w) / sum(w); rows with null x still count in the weight."""
     return F.sum(x * w) / F.nullif(F.sum(w), F.lit(0))

@@ -245,6 +245,14 @@ def override_tagged(base: DataFrame, rescued: DataFrame, on: list[str], first: s
     return both.withColumns({c: F.coalesce(F.col(c), F.col(f"_r_{c}")) for c in shared}).select(*base.columns, *[f"{c}_source" for c in shared])
 
 
+def coalesce_suffixes(df: DataFrame, left: str = "_x", right: str = "_y") -> DataFrame:
+    """Each pair of columns <name><left>, <name><right> that a merge left as one <name>, the right side's value first."""
+    names = [c.removesuffix(left) for c in df.columns if c.endswith(left) and c.removesuffix(left) + right in df.columns]
+    made = [F.coalesce(F.col(f"`{n}{right}`"), F.col(f"`{n}{left}`")).alias(n) for n in names]
+    paired = {n + s for n in names for s in (left, right)}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in paired and c not in names], *made)
+
+
 def suffix_match(left: DataFrame, right: DataFrame, on: list[str], left_name: str, right_name: str) -> DataFrame:
     """Right names that end in a longer form of the left name; only unique hits."""
     hit = left.join(right, on).where(F.endswith(F.col(right_name), F.col(left_name)) & (F.length(right_name) > F.length(left_name)))

@@ -56,6 +56,17 @@ def leaderboard(df: DataFrame, filters: list[Column] = (), rules: list[tuple[str
     return df.limit(limit) if limit else df
 
 
+def featured(df: DataFrame, boards: dict[str, Column], games: str, least_games: int, k: int, ties: list[Column]) -> DataFrame:
+    """The first k rows of each named board (board, place, value, then the row), by its value downwards, among rows with enough games.
+
+    Rows without a value are on no board. All boards are ranked in one pass over the rows that qualify.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("board"), v.cast("double").alias("value")) for n, v in boards.items()))).alias("_b")
+    rows = df.where(F.col(games) >= least_games).select("*", each).where("_b.value IS NOT NULL AND NOT isnan(_b.value)")
+    place = F.row_number().over(W.partitionBy("_b.board").orderBy(F.desc("_b.value"), *ties))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("_b.board", "place", "_b.value", *df.columns)
+
+
 def rank_metrics(df: DataFrame, by: list[str], predicted: str, actual: str, k: int, ties: list[Column]) -> DataFrame:
     """Top-k hit rate and NDCG@k of each group, and precision and recall at k where a gain above 0 is relevant."""
     rp = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(predicted), *ties))

@@ -54,6 +54,21 @@ def rolling_long(df: DataFrame, by: list[str], order: list[Column], sums: list[s
     return out.withColumns({k: F.when(F.col(d) > 0, F.col(n) / F.col(d)) for k, (n, d) in ratios.items()})
 
 
+def rolling_weighted(df: DataFrame, by: list[str], order: list[Column], weight: str, means: list[str], sums: list[str] = (), sizes: tuple[int, ...] = (10,)) -> DataFrame:
+    """One row per input row and window (last10, ..., season): sums, and means weighted by `weight`.
+
+    Missing values add nothing to a mean's numerator while their weight counts, missing weights count 0;
+    a window whose weights do not sum above 0 has no mean.
+    """
+    base = W.partitionBy(*by).orderBy(*order)
+    frames = {f"last{n}": base.rowsBetween(-n + 1, 0) for n in sizes} | {"season": base.rowsBetween(W.unboundedPreceding, 0)}
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    mean = lambda c, f: F.when(F.sum(w).over(f) > 0, F.sum(zero(c) * w).over(f) / F.sum(w).over(f))
+    cells = [F.struct(F.lit(k).alias("window_id"), F.count("*").over(f).alias("n_games"), *[F.sum(zero(c)).over(f).alias(c) for c in sums], *[mean(c, f).alias(c) for c in means]) for k, f in frames.items()]
+    return df.withColumn("_w", F.array(*cells)).drop(*sums, *means).select("*", F.explode("_w").alias("_x")).drop("_w").select("*", "_x.*").drop("_x")
+
+
 def rolling_mean(by: list[str], order: list[Column], c: str, n: int, least: int | None = None) -> Column:
     f = W.partitionBy(*by).orderBy(*order).rowsBetween(-n + 1, 0)
     return F.when(F.count(c).over(f) >= (least or n), F.avg(c).over(f))

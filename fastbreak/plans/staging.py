@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fastbreak.functions.rates import is_corner_three, is_garbage, is_high_leverage, ratio, shot_distance
 from fastbreak.operators.aggregates import split_cube, wavg
@@ -22,6 +23,32 @@ def shots(plays: DataFrame) -> DataFrame:
     )
 
 
+#: Members of a player season's nested groups and the flat columns they become.
+SEASON_FIELDS = {
+    "fieldGoals": {"made": "fg_made", "attempted": "fg_attempted", "pct": "fg_pct"},
+    "twoPointFieldGoals": {"made": "two_made", "attempted": "two_attempted", "pct": "two_pct"},
+    "threePointFieldGoals": {"made": "three_made", "attempted": "three_attempted", "pct": "three_pct"},
+    "freeThrows": {"made": "ft_made", "attempted": "ft_attempted", "pct": "ft_pct"},
+    "rebounds": {"offensive": "oreb", "defensive": "dreb", "total": "reb"},
+    "winShares": {"offensive": "ws_offensive", "defensive": "ws_defensive", "total": "ws_total", "totalPer40": "ws_totalPer40"},
+}
+
+
+def flat_player_seasons(df: DataFrame) -> DataFrame:
+    """Nested groups of a player's season as nineteen flat columns, null where the group, or the table's type, lacks the member; other columns stay, and seasonType is there in any case."""
+    def member(group: str, key: str):
+        kind = df.schema[group].dataType if group in df.columns else None
+        if isinstance(kind, T.MapType):
+            return F.element_at(group, key).cast("double")
+        if isinstance(kind, T.StructType) and key in kind.names:
+            return F.col(group)[key].cast("double")
+        return F.lit(None).cast("double")
+
+    flat = {name: member(group, key) for group, keys in SEASON_FIELDS.items() for key, name in keys.items()}
+    out = df.withColumns(flat).drop(*SEASON_FIELDS)
+    return out if "seasonType" in out.columns else out.withColumn("seasonType", F.lit(None).cast("string"))
+
+
 def participants(plays: DataFrame) -> DataFrame:
     return plays.select("gameId", "season", F.col("id").alias("playId"), "teamId", F.explode("participants").alias("p")).select("gameId", "season", "playId", "teamId", F.col("p.id").alias("athleteId"), F.col("p.name").alias("athlete"))
 

@@ -1,5 +1,6 @@
 import pytest
 
+import fastbreak.feature_queries
 import fastbreak.model_queries
 import fastbreak.more_queries  # noqa: F401
 from fastbreak import queries
