@@ -19,8 +19,9 @@ repeated rows are each scored; labels of unknown documents are ignored, of repea
 largest counts; an empty table gives an empty result; extra columns are not read.
 
 Scale: one pass over the texts writes 20 numbers per row; nothing else reads texts. A trainer reads
-about `TRAINER_ROWS` rows, so trainers grow with the corpus and not with the cluster; one copy of the
-weights (a few hundred numbers) reaches the driver in a round.
+about `TRAINER_ROWS` rows, so trainers grow with the corpus and not with the cluster; tasks do not, as
+each takes its trainers one after the other. Batches and passes are the same at every size. One copy of
+the weights (a few hundred numbers) reaches the driver in a round.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from fastbreak.llm.common import crc_mod, materialize, scratch
 
 MAX_POSITIVE, TRAINER_ROWS = 20_000, 50_000
 FOLDS, THRESHOLD = 5, 0.3
-HIDDEN, ROUNDS, PASSES, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 16, 3, 10, 20, 512, 0.005, 1e-4, 7
+HIDDEN, ROUNDS, PASSES, BATCH, RATE, DECAY, SEED = 16, 3, 20, 64, 0.005, 1e-4, 7
+#: Most tasks that trainers are dealt to; more trainers take turns.
+MOST_TASKS = 2000
 BETA = 0.0
 
 UPPER = np.zeros(256, bool)
@@ -118,26 +121,31 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.forward(x)[2], -30, 30)))
 
 
+def risk_gradients(net: Net, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Gradients of the PU risk prior * E+[l(g)] + (Eu[l(-g)] - prior * E+[l(-g)]) with l(z) = log(1 + exp(-z)).
+
+    Where the estimate in brackets, of the negatives' risk, is below -BETA, of its negative alone: a step back.
+    """
+    zp, hp, gp = net.forward(positive)
+    zu, hu, gu = net.forward(unlabelled)
+    sp, su = 1 / (1 + np.exp(-np.clip(gp, -500, 500))), 1 / (1 + np.exp(-np.clip(gu, -500, 500)))
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    if negative >= -BETA:
+        dp, du = prior * (sp - 1) - prior * sp, su
+    else:
+        dp, du = prior * sp, -su
+    return [a + b for a, b in zip(net.gradient(zp, hp, dp / len(positive)), net.gradient(zu, hu, du / len(unlabelled)), strict=True)]
+
+
 def fit(net: Net, positive: np.ndarray, unlabelled: np.ndarray, prior: float, passes: int, seed: int) -> Net:
-    """Minimises the non-negative PU risk; a pass reads every unlabelled row once, few rows several times."""
+    """Minimises the non-negative PU risk; a pass reads every unlabelled row once, in batches of equal size but the last."""
     rng = np.random.default_rng(seed)
     m, v, t = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p], 0
-    size = min(BATCH, len(unlabelled))
     for _ in range(passes):
         order = rng.permutation(len(unlabelled))
-        while len(order) < LEAST_STEPS * size:
-            order = np.concatenate([order, rng.permutation(len(unlabelled))])
-        for k in range(0, len(order), size):
-            xp, xu = positive[rng.integers(len(positive), size=size)], unlabelled[order[k : k + size]]
-            zp, hp, gp = net.forward(xp)
-            zu, hu, gu = net.forward(xu)
-            sp, su = 1 / (1 + np.exp(-np.clip(gp, -500, 500))), 1 / (1 + np.exp(-np.clip(gu, -500, 500)))
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= -BETA:
-                dp, du = prior * (sp - 1) - prior * sp, su
-            else:
-                dp, du = prior * sp, -su  # climb out of the negative part alone
-            grads = [a + b for a, b in zip(net.gradient(zp, hp, dp / len(xp)), net.gradient(zu, hu, du / len(xu)), strict=True)]
+        for k in range(0, len(order), BATCH):
+            own = order[k : k + BATCH]
+            grads = risk_gradients(net, positive[rng.integers(len(positive), size=BATCH)], unlabelled[own], prior)
             t += 1
             for i, g in enumerate(grads):
                 g = g + DECAY * net.p[i]
@@ -172,16 +180,32 @@ def fit_rounds(rows: DataFrame, positive: np.ndarray, prior: float) -> Net:
     n, mean, scale = moments(rows)
     net, trainers = Net(mean, scale), -(-n // TRAINER_ROWS)
     held = rows.sparkSession.sparkContext.broadcast(positive)
-    dealt = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x").repartition(trainers, "h").sortWithinPartitions("h").select("x")
+    own = rows.select(F.xxhash64("doc_id", "x").alias("h"), "x").withColumn("trainer", F.pmod("h", F.lit(trainers)))
+    dealt = own.repartition(min(trainers, MOST_TASKS), "trainer").sortWithinPartitions("trainer", "h").select("trainer", "x")
     for k in range(ROUNDS):
         now = net.pack()
 
         def work(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
-            own = [matrix(b.column(0)) for b in batches]
-            if sum(map(len, own)):
-                x = np.concatenate(own)
+            def trained(parts: list[np.ndarray]) -> pa.RecordBatch:
+                x = np.concatenate(parts)
                 got = fit(Net(mean, scale).unpack(now), held.value, x, prior, PASSES, SEED + k).pack()
-                yield pa.RecordBatch.from_arrays([pa.array([len(x)] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got)], names=["n", "i", "w"])
+                return pa.RecordBatch.from_arrays([pa.array([len(x)] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(got)], names=["n", "i", "w"])
+
+            # the trainers of a task one after the other, each with its rows only
+            last, parts = None, []
+            for batch in batches:
+                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a == b:
+                        continue
+                    if parts and ids[a] != last:
+                        yield trained(parts)
+                        parts = []
+                    last = ids[a]
+                    parts.append(x[a:b])
+            if parts:
+                yield trained(parts)
 
         mine = dealt.mapInArrow(work, "n bigint, i int, w double")
         mean_w = mine.groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).orderBy("i").collect()

@@ -234,8 +234,8 @@ def test_quality_fit_against_a_plain_loop(spark, monkeypatch):
     assert np.allclose(net.mean, x.mean(0)) and np.allclose(net.scale, x.std(0) + 1e-9)
     placed = described.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select(F.xxhash64("doc_id", "x").alias("h"), "x", "doc_id")
     parts = defaultdict(list)
-    for r in placed.repartition(-(-len(x) // 40), "h").sortWithinPartitions("h").withColumn("p", F.spark_partition_id()).collect():
-        parts[r["p"]].append(r)
+    for r in placed.orderBy("h").collect():
+        parts[r["h"] % -(-len(x) // 40)].append(r)
     positive = [np.array(r["x"]) for r in sorted((r for p in parts.values() for r in p), key=lambda r: r["h"]) if r["doc_id"] < 40 and r["doc_id"] % 2 == 1]
     prior = len(positive) / sum(i < 40 for i, _ in rows_)
     want = quality.Net(x.mean(0), x.std(0) + 1e-9)
