@@ -10,6 +10,9 @@ the columns of `documents`. `run` writes every stage's rows to the shared folder
    leave passages of 51 to 60 words alone).
 4. decontamination: documents with a word inside any benchmark window go.
 5. source_mixing: every document that is left with its size, its source's target and the words taken.
+
+A stage may be given rows that another has not written yet. Tables that a stage's rows are read from are
+deleted when a later stage over the same folder is called with rows that do not read them.
 """
 
 from __future__ import annotations
@@ -24,19 +27,25 @@ from fastbreak.llm.common import materialize, remove, scratch, table
 SHINGLE, PERCENT = 5, 80
 PASSAGE = suffix_dedup.PASSAGE
 
-#: Tables of the shared folder that the rows of the last stage are read from.
-_LEFT: list[str] = []
+#: By input folder, the tables of the shared folder that rows of earlier stages are read from.
+_LEFT: dict[str, list[str]] = {}
 
 
 def stage(f):
-    """A stage that deletes the tables of the stage before it: by now that one's rows are written."""
+    """A stage that deletes tables of earlier stages over the same folder, but those that its own input still reads."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _LEFT:
-            remove(spark, _LEFT.pop())
-        with scratch(spark, _LEFT):
-            return f(spark, docs, sf_dir)
+        left, made = _LEFT.setdefault(sf_dir, []), []
+        read = docs.inputFiles() if left else []
+        for path in list(left):
+            if not any(f"/{path.rsplit('/', 1)[1]}/" in x for x in read):
+                remove(spark, path)
+                left.remove(path)
+        with scratch(spark, made):
+            out = f(spark, docs, sf_dir)
+        left += made
+        return out
 
     return run
 
