@@ -65,3 +65,19 @@ def test_trainers_in_one_task_or_many_give_the_same(spark, monkeypatch):
         monkeypatch.setattr(quality, "MOST_TASKS", tasks)
         found.append(np.array(quality.fit_rounds(rows.orderBy(F.rand(tasks)), x[:30], 0.4).pack()))
     assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2])
+
+
+def test_stages_take_rows_that_are_not_written(spark):
+    import corpus_pipeline as cp
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    shared = " ".join(f"shared{i}" for i in range(60))
+    texts = [words(0), words(0), words(1) + " " + shared, words(2) + " " + shared, words(3)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    one = cp.suffix_array_dedup(spark, cp.ngram_jaccard(spark, d, "/nowhere"), "/nowhere")
+    other = cp.ngram_jaccard(spark, d, "/elsewhere")
+    again = cp.ngram_jaccard(spark, d, "/nowhere")
+    assert {r["doc_id"] for r in other.collect()} == {r["doc_id"] for r in again.collect()} == {0, 2, 3, 4}
+    assert len(cp._LEFT["/nowhere"]) and one is not None
+    one = cp.suffix_array_dedup(spark, again, "/nowhere")
+    assert {r["doc_id"]: "shared30" in r["text"] for r in one.collect()} == {0: False, 2: False, 3: False, 4: False}
