@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fastbreak.functions.rates import custom_stat
 from fastbreak.operators.predicates import has_tokens, stat_rule
 
-QUERY_BLOCK, ROW_BLOCK = 256, 4096
+QUERY_BLOCK, ROW_BLOCK, MOST_BLOCKS = 256, 4096, 20_000
 
 
 def mixed_sort(df: DataFrame, c: str, descending: bool, ties: list[Column]) -> DataFrame:
@@ -81,20 +83,59 @@ def rank_metrics(df: DataFrame, by: list[str], predicted: str, actual: str, k: i
     )
 
 
+def reachable(q: np.ndarray, boxes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Places of the row blocks that may hold one of the k nearest of any query in a box.
+
+    q: least and largest value of each feature; boxes: the same of each row block. Blocks taken by their
+    largest distance hold k + 1 rows (a query may be one of them) within that of the last one needed;
+    a block whose least distance is above it holds no neighbour.
+    """
+    gap = np.maximum(0, np.maximum(boxes[:, 0] - q[1], q[0] - boxes[:, 1]))
+    span = np.maximum(boxes[:, 1] - q[0], q[1] - boxes[:, 0])
+    least, most = np.sqrt((gap**2).sum(1)), np.sqrt((span**2).sum(1))
+    order = np.argsort(most, kind="stable")
+    enough = np.searchsorted(np.cumsum(sizes[order]), k + 1)
+    bound = most[order[enough]] if enough < len(order) else np.inf
+    return np.flatnonzero(least <= bound * (1 + 1e-9))
+
+
 def nearest(queries: DataFrame, rows: DataFrame, id_: str, features: list[str], k: int) -> DataFrame:
     """k nearest rows of each query by Euclidean distance, of equal distances the smaller id first.
 
-    Both sides may grow: they are packed in blocks of at most `QUERY_BLOCK` and `ROW_BLOCK` rows, every pair of blocks
-    is compared by itself and gives its k nearest, and only those are shuffled. Rows or queries with a missing
-    feature have no distance and are left out. An id must name one query.
+    Both sides may grow: they are sorted by their features and packed in blocks, of at most `QUERY_BLOCK`
+    queries and of `ROW_BLOCK` rows (more only where that would make above `MOST_BLOCKS`). A block of
+    queries meets the blocks of rows that the least and largest values of their features allow, and only
+    the k nearest of each meeting are shuffled. Rows or queries with a missing feature have no distance
+    and are left out, so are rows without an id. An id names one query and one row.
     """
     kind = rows.schema[id_].dataType.simpleString()
+    names = [f"_f{i}" for i in range(len(features))]
 
     def packed(df: DataFrame, side: str, size: int) -> DataFrame:
-        values = [F.col(c).cast("double") for c in features]
-        whole = df.select(id_, *[v.alias(f"_f{i}") for i, v in enumerate(values)]).na.drop(subset=[f"_f{i}" for i in range(len(features))])
+        whole = df.where(F.col(id_).isNotNull()).select(id_, *[F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)]).na.drop(subset=names)
+        whole = whole.repartitionByRange(*names, id_).sortWithinPartitions(*names, id_)
         # ids of rows rise from a multiple of 2^33 in each partition, so no block is larger
-        return whole.groupBy(F.floor(F.monotonically_increasing_id() / size).alias("_b")).agg(F.array_sort(F.collect_list(F.struct(id_, *[f"_f{i}" for i in range(len(features))]))).alias(side)).drop("_b")
+        ends = [F.array(*(f(n) for n in names)).alias(f"_{side}_{e}") for e, f in (("lo", F.min), ("hi", F.max))]
+        return whole.groupBy(F.floor(F.monotonically_increasing_id() / size).alias(f"_{side}_b")).agg(F.array_sort(F.collect_list(F.struct(id_, *names))).alias(f"_{side}"), F.count("*").alias(f"_{side}_n"), *ends)
+
+    size = max(ROW_BLOCK, -(-rows.count() // MOST_BLOCKS))
+    # kept, as blocks are looked at twice and must be the same
+    blocks = packed(rows, "r", size).persist(StorageLevel.MEMORY_AND_DISK)
+    known = blocks.select("_r_b", "_r_n", "_r_lo", "_r_hi").toArrow()  # a line for each of a bounded number of blocks
+    ids, sizes = known.column(0).to_numpy(), known.column(1).to_numpy()
+    boxes = np.stack([np.array(known.column(i).to_pylist(), dtype=float).reshape(len(ids), len(names)) for i in (2, 3)], 1)
+    held = rows.sparkSession.sparkContext.broadcast((ids, sizes, boxes))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, boxes = held.value
+        for batch in batches:
+            lo, hi = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_q_lo", "_q_hi"))
+            found = [ids[reachable(np.array([a, b]), boxes, sizes, k)].tolist() for a, b in zip(lo, hi, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_q")), pa.array(found, pa.list_(pa.int64()))], names=["_q", "_to"])
+
+    asked = packed(queries, "q", QUERY_BLOCK).select("_q", "_q_lo", "_q_hi")
+    asked = asked.mapInArrow(meet, T.StructType([asked.schema["_q"], T.StructField("_to", T.ArrayType(T.LongType()))]))
+    sides = asked.select("_q", F.explode("_to").alias("_r_b")).join(blocks.select("_r_b", "_r").hint("merge"), "_r_b").select("_q", "_r")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,19 +145,16 @@ def nearest(queries: DataFrame, rows: DataFrame, id_: str, features: list[str],
                 for x, y in zip(q_f, r_f, strict=True):
                     square += (x.to_numpy()[:, None] - y.to_numpy()[None, :]) ** 2
                 d = np.sqrt(square)
-                # a row with the query's own id is no neighbour; nor is one without an id
+                # a row with the query's own id is no neighbour
                 at = {x: i for i, x in enumerate(q_ids.to_pylist())}
                 for j, x in enumerate(r_ids.to_pylist()):
-                    if x is None:
-                        d[:, j] = np.nan
-                    elif x in at:
+                    if x in at:
                         d[at[x], j] = np.nan
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows lie in the order of their ids; nan goes last
                 near = np.take_along_axis(d, best, 1)
                 i, j = np.nonzero(~np.isnan(near))
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), r_ids.take(pa.array(best[i, j])), pa.array(near[i, j])], names=["q_id", id_, "distance"])
 
-    sides = packed(queries.where(F.col(id_).isNotNull()), "_q", QUERY_BLOCK).hint("shuffle_replicate_nl").crossJoin(packed(rows, "_r", ROW_BLOCK))
     both = sides.mapInArrow(compare, f"q_id {kind}, `{id_}` {kind}, distance double")
     near = W.partitionBy("q_id").orderBy("distance", id_)
     return both.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k).select("q_id", id_, "distance", (1 / (1 + F.col("distance"))).alias("similarity"), "place")

@@ -151,3 +151,22 @@ def test_ridge_against_normal_equations(spark):
     assert [r["coef"] for r in rows_] == pytest.approx(want.tolist())
     got = df.select(aggregates.ridge_prediction(rows_, {c: F.col(c) for c in "abc"}).alias("p")).toPandas()["p"]
     assert got.to_numpy() == pytest.approx(z @ want)
+
+
+def test_nearest_skips_blocks_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(ordering, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([rng.normal(size=(300, 2)) * [100, 1], rng.integers(0, 3, (80, 2)), [[1e6, 0]] * 9]))]
+    df = spark.createDataFrame([*points, (1000, None, 1.0), (None, 0.0, 0.0)], "id long, x double, y double").repartition(3)
+    asked = [p for p in points if p[0] % 7 == 0]
+    got = {(r["q_id"], r["place"]): r["id"] for r in ordering.nearest(df.where("id % 7 = 0"), df, "id", ["x", "y"], 4).collect()}
+    want = {}
+    for i, x, y in asked:
+        order = sorted((np.hypot(x - a, y - b), j) for j, a, b in points if j != i)
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(order[:4])}
+    assert {k: v for k, v in got.items() if k[0] != 1000} == want
+    boxes = np.array([[[float(i), 0.0], [i + 0.9, 1.0]] for i in range(200)])
+    met = [len(ordering.reachable(np.array([[i, 0.0], [i + 0.5, 1.0]]), boxes, np.full(200, 16), 5)) for i in range(0, 200, 20)]
+    assert max(met) <= 5
+    assert ordering.nearest(df.limit(0), df, "id", ["x", "y"], 2).count() == 0 == ordering.nearest(df, df.limit(0), "id", ["x", "y"], 2).count()
