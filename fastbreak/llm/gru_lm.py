@@ -2,7 +2,7 @@
 
 Tokens are lower-cased (A-Z) words and one end per text. Counts of all training tokens give the base:
 an add-one unigram. The model's vocabulary is the end, an unknown mark and the `MODEL_WORDS` most
-frequent words, cut in classes of equal size by frequency; P(token) = P(class | state) P(token |
+frequent words, cut in classes by frequency, the first ones small; P(token) = P(class | state) P(token |
 class, state). An unknown word costs P(unknown | state) times its add-one share among all words
 outside the vocabulary, so probabilities sum to one over known words and one place for new ones.
 
@@ -20,8 +20,8 @@ scored; an empty table gives an empty result; extra columns are not read.
 Scale: counts are combined inside tasks before they are shuffled. The `HEAD_WORDS` most frequent words
 are held by every task; for all others (document, word) pairs join the count table. Weights are about
 a quarter of a megabyte. A trainer reads about `TRAINER_TOKENS` tokens in a round, so trainers grow with
-the corpus and not with the cluster; their copies are averaged in two steps, groups of about the square
-root of their number first, and one copy reaches the driver in a round. A text is read in the round its
+the corpus and not with the cluster; above `MOST_TASKS` they take turns in that many tasks. Their copies are
+averaged in each task, then in groups of about the square root of the tasks, and one copy reaches the driver in a round. A text is read in the round its
 key names.
 """
 
@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from fastbreak.llm.common import LOWER, UPPER, crc_mod, materialize, scratch
 
 FOLDS, HELD_OUT = 7, 2
-HEAD_WORDS, MODEL_WORDS = 1 << 16, 1022
+HEAD_WORDS, MODEL_WORDS = 1 << 16, 2000
 HIDDEN, WINDOW, BATCH, RATE = 16, 32, 256, 0.005
-ROUNDS, TRAINER_TOKENS = 3, 1_500_000
+ROUNDS, TRAINER_TOKENS, MOST_TASKS = 3, 1_500_000, 2000
 COMBINE_WORDS = 300_000
 SIDE_BY_SIDE = 512
 PIECE_CHARS = 4 << 20
@@ -120,25 +120,35 @@ def lexicon(train: DataFrame, counts: DataFrame) -> Lexicon:
     return Lexicon([w.encode() for w in top.column("word").to_pylist()], top.column("c").to_pylist(), texts, total, kinds)
 
 
+def class_borders(v: int) -> np.ndarray:
+    """First ids of the classes of v tokens by frequency, and v: sizes rise with the rank, so that frequent tokens have few neighbours.
+
+    With c classes of sizes in steps of 2 v / c^2, and frequencies falling as 1 / rank, a token costs
+    about c + 4 v / (c ln v) scores, which is least at c = sqrt(4 v / ln v).
+    """
+    c = max(1, round(math.sqrt(4 * v / math.log(max(v, 3)))))
+    return np.unique(np.concatenate((np.ceil(v * (np.arange(c) / c) ** 2), [v])).astype(np.int64))
+
+
 class Gru:
-    """Weights and both directions of the network. Tokens are laid out by class: id = class * k + place."""
+    """Weights and both directions of the network. The tokens of a class are neighbours: class c holds ids first[c] to first[c + 1]."""
 
     def __init__(self, unigram: np.ndarray, seed: int = SEED):
         rng, v, h = np.random.default_rng(seed), len(unigram), HIDDEN
-        self.k = k = math.ceil(math.sqrt(v))
-        self.c = c = -(-v // k)
-        p = np.zeros(c * k)
-        p[:v] = unigram / unigram.sum()
-        mass = p.reshape(c, k).sum(1)
+        self.first = class_borders(v)
+        self.c = c = len(self.first) - 1
+        self.cls = np.repeat(np.arange(c, dtype=np.int16), np.diff(self.first))
+        p = unigram / unigram.sum()
+        mass = np.add.reduceat(p, self.first[:-1])
         f = np.float32
         with np.errstate(divide="ignore"):
-            word_bias = np.where(p > 0, np.log(np.maximum(p, 1e-30)), -1e4).reshape(c, k)
+            word_bias = np.where(p > 0, np.log(np.maximum(p, 1e-30)), -1e4)
         self.p = {
             "x": rng.normal(0, 0.3, (v, 3 * h)).astype(f),
             "u": rng.normal(0, 1 / math.sqrt(h), (h, 3 * h)).astype(f),
             "wc": rng.normal(0, 0.05, (h, c)).astype(f),
             "bc": np.log(np.maximum(mass, 1e-30)).astype(f),
-            "ww": rng.normal(0, 0.05, (c, h, k)).astype(f),
+            "ww": rng.normal(0, 0.05, (v, h)).astype(f),
             "bw": word_bias.astype(f),
         }
 
@@ -163,7 +173,7 @@ class Gru:
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target; with grads also the gradient of -sum by the states."""
-        p, cls, place = self.p, targets // self.k, targets % self.k
+        p, cls = self.p, self.cls[targets]
         rows = np.arange(len(targets))
         # classes and places lie along the first axis: reductions over it are fast
         logits = p["wc"].T @ states.T + p["bc"][:, None]
@@ -179,14 +189,15 @@ class Gru:
             grads["wc"] += (e @ states).T
             grads["bc"] += e.sum(1)
             back = e.T @ p["wc"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
+        order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.c + 1))
         for c in range(self.c):
             own = order[edges[c] : edges[c + 1]]
             if not len(own):
                 continue
-            s, at = states[own], place[own]
-            logits = p["ww"][c].T @ s.T + p["bw"][c][:, None]
+            k = slice(self.first[c], self.first[c + 1])
+            s, at = states[own], targets[own] - self.first[c]
+            logits = p["ww"][k] @ s.T + p["bw"][k][:, None]
             logits -= logits.max(0)
             i = rows[: len(own)]
             target = logits[at, i]
@@ -196,9 +207,9 @@ class Gru:
             if grads is not None:
                 e /= total
                 e[at, i] -= 1
-                grads["ww"][c] += (e @ s).T
-                grads["bw"][c] += e.sum(1)
-                back[own] += e.T @ p["ww"][c].T
+                grads["ww"][k] += e @ s
+                grads["bw"][k] += e.sum(1)
+                back[own] += e.T @ p["ww"][k]
         return out, back
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray, restart: bool = False) -> tuple[dict, float, np.ndarray]:
@@ -317,10 +328,14 @@ def train_rounds(texts: DataFrame, lex: Lexicon) -> Gru:
         shared = spark.sparkContext.broadcast(net.pack())
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            mine = Gru(shape.value).unpack(shared.value)
-            n = train_texts(mine, (x.values.to_numpy() for batch in batches for x in batch.column(0)))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mine.pack()], pa.binary())], names=["n", "weights"])
+            rows = ((t, x.values.to_numpy()) for batch in batches for t, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            total, mean = 0, 0.0
+            for _, own in itertools.groupby(rows, key=lambda r: r[0]):  # the trainers of a task one after the other
+                mine = Gru(shape.value).unpack(shared.value)
+                n = train_texts(mine, (x for _, x in own))
+                total, mean = total + n, mean + n * np.frombuffer(mine.pack(), dtype=np.float32).astype(np.float64)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(mean / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, mean = 0, 0.0
@@ -330,10 +345,13 @@ def train_rounds(texts: DataFrame, lex: Lexicon) -> Gru:
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(mean / total).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
-        mine = whole.where(F.pmod("key", F.lit(ROUNDS)) == k).repartition(trainers, "key").sortWithinPartitions("key")
+        # up to MOST_TASKS trainers have a task each, more of them take turns
+        alone = trainers <= MOST_TASKS
+        mine = whole.where(F.pmod("key", F.lit(ROUNDS)) == k).withColumn("trainer", F.lit(0) if alone else F.pmod(F.xxhash64("key"), F.lit(trainers)))
+        mine = (mine.repartition(trainers, "key") if alone else mine.repartition(MOST_TASKS, "trainer")).sortWithinPartitions("trainer", "key")
         # averaged in a fixed order, in groups and then by one task: the driver gets one copy of the weights
-        trained = mine.select("ids").mapInArrow(work, "n bigint, weights binary")
-        for groups in (math.isqrt(trainers - 1) + 1, 1):
+        trained = mine.select("trainer", "ids").mapInArrow(work, "n bigint, weights binary")
+        for groups in (math.isqrt(min(trainers, MOST_TASKS) - 1) + 1, 1):
             trained = trained.repartition(groups, "weights").sortWithinPartitions("n", "weights").mapInArrow(average, "n bigint, weights binary")
         got = trained.repartition(1).mapInArrow(average, "n bigint, weights binary").collect()
         if got:

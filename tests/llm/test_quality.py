@@ -81,3 +81,31 @@ def test_stages_take_rows_that_are_not_written(spark):
     assert len(cp._LEFT["/nowhere"]) and one is not None
     one = cp.suffix_array_dedup(spark, again, "/nowhere")
     assert {r["doc_id"]: "shared30" in r["text"] for r in one.collect()} == {0: False, 2: False, 3: False, 4: False}
+
+
+def test_class_borders():
+    from fastbreak.llm import gru_lm
+
+    for v in (2, 3, 5, 30, 1024, 2002):
+        first = gru_lm.class_borders(v)
+        assert first[0] == 0 and first[-1] == v and (np.diff(first) > 0).all() and (v < 100 or (np.diff(np.diff(first)) >= -1).all())
+        net = gru_lm.Gru(np.arange(v, 0, -1.0))
+        assert [int(c) for c in net.cls] == [c for c in range(net.c) for _ in range(first[c], first[c + 1])]
+    first = gru_lm.class_borders(2002)
+    p = 1 / np.arange(1, 2003)
+    assert len(first) + (np.repeat(np.diff(first), np.diff(first)) * p).sum() / p.sum() < 75  # two equal square roots cost 90
+
+
+def test_language_model_trainers_take_turns(spark, monkeypatch):
+    from fastbreak.llm import gru_lm
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], 40)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = gru_lm.lexicon(df, gru_lm.count_words(df).cache())
+    monkeypatch.setattr(gru_lm, "TRAINER_TOKENS", 150)
+    found = []
+    for tasks in (1, 2, 4):
+        monkeypatch.setattr(gru_lm, "MOST_TASKS", tasks)
+        found.append(np.frombuffer(gru_lm.train(df, lex).pack(), dtype=np.float32))
+    assert np.allclose(found[0], found[1], atol=1e-5) and np.allclose(found[0], found[2], atol=1e-5)

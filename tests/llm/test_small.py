@@ -395,7 +395,7 @@ def test_gru_gradient_and_total_probability():
     mask[4:, 1] = False
     h = np.zeros((4, gru_lm.HIDDEN))
     grads, _, _ = net.window(ids[:-1], ids[1:], mask, h)
-    for name, at in (("x", (ids[0, 0], 3)), ("u", (2, 40)), ("wc", (1, 2)), ("ww", (2, 3, 1)), ("bw", (1, 1)), ("bc", (3,))):
+    for name, at in (("x", (ids[0, 0], 3)), ("u", (2, 40)), ("wc", (1, 2)), ("ww", (17, 3)), ("bw", (9,)), ("bc", (3,))):
         old, vals = net.p[name][at], []
         for e in (1e-3, -1e-3):
             net.p[name][at] = old + e
