@@ -96,3 +96,50 @@ def plan_game_quality(spark, d):
     floor = F.array_sort(F.collect_set(F.col("l_partkey") % 13).over(w)).cast("array<string>")
     li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("gameId"), floor.alias("onfloor"), F.when(F.col("l_quantity") < 5, 0.1).otherwise(1.0).alias("confidence"))
     return impact.game_quality(li).select("gameId", r("full", 6).alias("full_share"), r("placeholder", 6).alias("low"), "players", "passes")
+
+
+LEAGUE = f"(SELECT athlete_id::VARCHAR AS player, season, pts, games::DOUBLE AS games, CASE WHEN games > 1 THEN disc END AS disc FROM {SEASON})"
+
+
+def league(spark, d):
+    return season(spark, d).select(F.col("athlete_id").cast("string").alias("player"), "season", "pts", F.col("games").cast("double").alias("games"), F.when(F.col("games") > 1, F.col("disc")).alias("disc"))
+
+
+@query(f"""WITH l AS {LEAGUE}, p AS (SELECT * FROM l WHERE player IN ('7', '11', '42') QUALIFY row_number() OVER (PARTITION BY player ORDER BY season DESC) = 1),
+x AS (SELECT player, 'pts' AS stat, pts AS v, (SELECT avg(pts) FROM l) AS m, (SELECT stddev_pop(pts) FROM l) AS s FROM p UNION ALL SELECT player, 'games', games, (SELECT avg(games) FROM l), (SELECT stddev_pop(games) FROM l) FROM p UNION ALL SELECT player, 'disc', disc, (SELECT avg(disc) FROM l), (SELECT stddev_pop(disc) FROM l) FROM p)
+SELECT player, stat, round(CASE WHEN v IS NULL OR NOT s > 0 THEN 50 ELSE greatest(0, least(100, ((v - m) / s * CASE WHEN stat = 'disc' THEN -1 ELSE 1 END + 2.5) / 5 * 100)) END, 5) AS value FROM x""")
+def plan_radar(spark, d):
+    from fastbreak.plans import site
+
+    return site.radar(league(spark, d), ["7", "11", "42"], ["pts", "games", "disc"], frozenset({"disc"})).select("player", "stat", r("value", 5).alias("value"))
+
+
+@query(f"""WITH l AS {LEAGUE} SELECT player, round(coalesce(pts, 0), 2) AS x, round(coalesce(disc, 0), 6) AS y, round((SELECT avg(pts) FROM l), 4) AS x_mean, round((SELECT avg(disc) FROM l), 6) AS y_mean FROM l WHERE player IN ('7', '11', '42') QUALIFY row_number() OVER (PARTITION BY player ORDER BY season DESC) = 1""")
+def plan_scatter(spark, d):
+    from fastbreak.plans import site
+
+    s = site.scatter(league(spark, d), ["7", "11", "42"], "pts", "disc")
+    return s.select("player", r("x", 2).alias("x"), r("y", 6).alias("y"), r("x_mean").alias("x_mean"), r("y_mean", 6).alias("y_mean"))
+
+
+@query(f"""WITH l AS {LEAGUE}, p AS (SELECT * FROM l WHERE player IN ('7', '11') QUALIFY row_number() OVER (PARTITION BY player ORDER BY season DESC) = 1), a AS (SELECT * FROM p WHERE player = '7'), b AS (SELECT * FROM p WHERE player = '11')
+SELECT 'pts' AS stat, round((coalesce(b.pts, 0) - coalesce(a.pts, 0)) / (SELECT stddev_pop(pts) FROM l), 6) AS diff FROM a, b UNION ALL SELECT 'disc', round(-(coalesce(b.disc, 0) - coalesce(a.disc, 0)) / (SELECT stddev_pop(disc) FROM l), 6) FROM a, b""")
+def plan_edges(spark, d):
+    from fastbreak.plans import site
+
+    return site.edges(league(spark, d), "7", "11", ["pts", "disc"], frozenset({"disc"})).select("stat", r("diff", 6).alias("diff"))
+
+
+@query("""SELECT year(o_orderdate)::INTEGER AS season, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL""")
+def src_seasons(spark, d):
+    """Orders written to a file of each year and read back by one pattern, the year from the files' names."""
+    import uuid
+
+    from fastbreak.session import shared_folder
+
+    path = f"{shared_folder(spark)}/seasons-{uuid.uuid4().hex}"
+    o = t(spark, d, "orders").select(F.year("o_orderdate").alias("y"), "o_orderkey", "o_totalprice")
+    for (year,) in o.select("y").distinct().orderBy("y").collect():  # a few years
+        files.write_csv(o.where(F.col("y") == year).drop("y"), f"{path}/stats_{year}.csv")
+    back = files.read_season_files(spark, f"{path}/stats_*.csv", "o_orderkey bigint, o_totalprice double")
+    return back.groupBy("season").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))

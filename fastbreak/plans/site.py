@@ -57,3 +57,46 @@ def compare(seasons: DataFrame, a: str, b: str, stats: list[str], inverted: froz
     long = both.select("player", "label", F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(f"z_{c}").alias("z"), color_scale(F.col(f"z_{c}")).alias("color")) for c in stats])).alias("x")).select("player", "label", "x.*")
     side = lambda p, n: long.where(F.col("player") == p).select("label", "stat", F.col("z").alias(f"z_{n}"), F.col("color").alias(f"color_{n}"))
     return side(a, "a").join(side(b, "b"), ["label", "stat"], "full").withColumn("edge", F.col("z_a") - F.col("z_b"))
+
+
+def latest(seasons: DataFrame, players: list[str]) -> DataFrame:
+    """The last season of each of the players named; of equal seasons any one is as good as they repeat a player's year."""
+    w = W.partitionBy("player").orderBy(F.desc("season"))
+    return seasons.where(F.col("player").isin(players)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def spread(league: DataFrame, stats: list[str]) -> DataFrame:
+    """Mean and population sd of each stat over all rows: stat, mean, sd."""
+    one = league.agg(*(x for i, c in enumerate(stats) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd")) for i, c in enumerate(stats)))).alias("x")).select("x.*")
+
+
+def _against(seasons: DataFrame, players: list[str], stats: list[str], league: DataFrame | None) -> DataFrame:
+    """player, stat, v, mean, sd of the players' last seasons."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("v")) for c in stats))).alias("x")
+    return latest(seasons, players).select("player", each).select("player", "x.*").join(F.broadcast(spread(seasons if league is None else league, stats)), "stat")
+
+
+def radar(seasons: DataFrame, players: list[str], stats: list[str], inverted: frozenset[str] = frozenset(), league: DataFrame | None = None) -> DataFrame:
+    """player, stat, value of a chart from 0 to 100 whose middle is the league's mean and whose ends are 2.5 sds off.
+
+    Values are those of a player's last season; stats in `inverted` count the other way round; a missing
+    value, or a stat without spread, stands in the middle. The league is all seasons, or rows of its own.
+    """
+    z = (F.col("v") - F.col("mean")) / F.col("sd") * F.when(F.col("stat").isin(*inverted), -1).otherwise(1) if inverted else (F.col("v") - F.col("mean")) / F.col("sd")
+    value = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (z + 2.5) / 5 * 100))
+    return _against(seasons, players, stats, league).select("player", "stat", F.when(F.col("v").isNotNull() & (F.col("sd") > 0), value).otherwise(50.0).alias("value"))
+
+
+def scatter(seasons: DataFrame, players: list[str], x: str, y: str, league: DataFrame | None = None) -> DataFrame:
+    """player, x, y of the players' last seasons (0 where missing) with the league's means as the cross of the chart."""
+    wide = _against(seasons, players, [x, y], league).groupBy("player")
+    at = lambda c, v: F.coalesce(F.max(F.when(F.col("stat") == c, F.col(v))), F.lit(0.0))
+    return wide.agg(at(x, "v").alias("x"), at(y, "v").alias("y"), at(x, "mean").alias("x_mean"), at(y, "mean").alias("y_mean"))
+
+
+def edges(seasons: DataFrame, a: str, b: str, stats: list[str], inverted: frozenset[str] = frozenset(), league: DataFrame | None = None) -> DataFrame:
+    """stat, diff: how many of the league's sds the second player's last season is ahead of the first's; missing values are 0, no spread is no edge."""
+    both = _against(seasons, [a, b], stats, league).groupBy("stat").agg(F.max("sd").alias("sd"), *(F.coalesce(F.max(F.when(F.col("player") == p, F.col("v"))), F.lit(0.0)).alias(n) for p, n in ((a, "a"), (b, "b"))), F.count_distinct("player").alias("n"))
+    sign = F.when(F.col("stat").isin(*inverted), -1).otherwise(1) if inverted else F.lit(1)
+    return both.where("n = 2").select("stat", F.when(F.col("sd") > 0, sign * (F.col("b") - F.col("a")) / F.col("sd")).otherwise(0.0).alias("diff"))

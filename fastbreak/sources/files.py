@@ -16,8 +16,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 
 
 def read_season_files(spark: SparkSession, path_glob: str, schema: str | None = None, season: str = "season") -> DataFrame:
-    """Files of many seasons, the season read from the file's name."""
-    return read_csv(spark, path_glob, schema).withColumn(season, year_in_name(F.substring_index(F.input_file_name(), "/", -1)))
+    """Files of many seasons, the season read from the file's name; a folder that Spark wrote counts as one file of its name."""
+    last, folder = F.substring_index(F.input_file_name(), "/", -1), F.substring_index(F.substring_index(F.input_file_name(), "/", -2), "/", 1)
+    return read_csv(spark, path_glob, schema).withColumn(season, year_in_name(F.when(last.startswith("part-"), folder).otherwise(last)))
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str, schema: str | None = None) -> DataFrame:
