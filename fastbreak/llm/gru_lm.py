@@ -19,9 +19,9 @@ scored; an empty table gives an empty result; extra columns are not read.
 
 Scale: counts are combined inside tasks before they are shuffled. The `HEAD_WORDS` most frequent words
 are held by every task; for all others (document, word) pairs join the count table. Weights are about
-a quarter of a megabyte. A trainer reads about `TRAINER_TOKENS` tokens in a round, so trainers grow with
+half a megabyte. A trainer reads about `TRAINER_TOKENS` tokens in a round, so trainers grow with
 the corpus and not with the cluster; above `MOST_TASKS` they take turns in that many tasks. Their copies are
-averaged in each task, then in groups of about the square root of the tasks, and one copy reaches the driver in a round. A text is read in the round its
+averaged in each task, those of the tasks (1 GB at most) as a stream by one, and one copy reaches the driver in a round. A text is read in the round its
 key names.
 """
 
@@ -245,12 +245,14 @@ class Gru:
                 dh *= goes_on[i]
         d[:, :, : 2 * n] = du[:, :, : 2 * n]
         grads["u"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
-        order = np.argsort(inputs.ravel().astype(np.int32), kind="stable")
+        order = np.argsort(inputs.ravel().astype(np.min_scalar_type(-len(self.p["x"]))), kind="stable")
         read = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
         grads["x"][read[first]] = np.add.reduceat(d.reshape(-1, 3 * n)[order], first)
         scale = max(int(live.sum()), 1)
-        return {k: g / scale for k, g in grads.items()}, -float(scores.sum()) / scale, h
+        for g in grads.values():
+            g /= scale
+        return grads, -float(scores.sum()) / scale, h
 
 
 def lanes(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -282,7 +284,7 @@ def lanes(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 def train_texts(net: Gru, texts: Iterator[np.ndarray]) -> int:
     """One pass of Adam over whole texts; how many tokens they hold. Every token weighs the same."""
-    m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+    m, v, free = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(3))
     t, n, most, h = 0, 0, 1, None
     for ids, mask, kept in lanes(texts):
         h = np.zeros((len(kept), HIDDEN), dtype=np.float32) if h is None else h[kept]
@@ -291,9 +293,19 @@ def train_texts(net: Gru, texts: Iterator[np.ndarray]) -> int:
         t, n, most = t + 1, n + live, max(most, live)
         for name, g in grads.items():
             g *= live / most  # the few lanes of a tail count for the tokens they hold
-            m[name] += 0.1 * (g - m[name])
-            v[name] += 0.001 * (g * g - v[name])
-            net.p[name] -= (RATE * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+            # Adam in place: new arrays of this size cost more than the arithmetic
+            mean, square, step = m[name], v[name], free[name]
+            mean *= 0.9
+            mean += np.multiply(g, 0.1, out=step)
+            square *= 0.999
+            g *= g
+            g *= 0.001
+            square += g
+            np.sqrt(np.multiply(square, 1 / (1 - 0.999**t), out=step), out=step)
+            step += 1e-7
+            np.divide(mean, step, out=step)
+            step *= RATE / (1 - 0.9**t)
+            net.p[name] -= step
     return n
 
 
@@ -349,11 +361,10 @@ def train_rounds(texts: DataFrame, lex: Lexicon) -> Gru:
         alone = trainers <= MOST_TASKS
         mine = whole.where(F.pmod("key", F.lit(ROUNDS)) == k).withColumn("trainer", F.lit(0) if alone else F.pmod(F.xxhash64("key"), F.lit(trainers)))
         mine = (mine.repartition(trainers, "key") if alone else mine.repartition(MOST_TASKS, "trainer")).sortWithinPartitions("trainer", "key")
-        # averaged in a fixed order, in groups and then by one task: the driver gets one copy of the weights
-        trained = mine.select("trainer", "ids").mapInArrow(work, "n bigint, weights binary")
-        for groups in (math.isqrt(min(trainers, MOST_TASKS) - 1) + 1, 1):
-            trained = trained.repartition(groups, "weights").sortWithinPartitions("n", "weights").mapInArrow(average, "n bigint, weights binary")
-        got = trained.repartition(1).mapInArrow(average, "n bigint, weights binary").collect()
+        # a copy of the weights from each task, at most MOST_TASKS; one task streams them in a fixed order and the driver gets their mean
+        with scratch(spark):
+            trained = materialize(mine.select("trainer", "ids").mapInArrow(work, "n bigint, weights binary"), "weights")
+            got = trained.coalesce(1).sortWithinPartitions("n", "weights").mapInArrow(average, "n bigint, weights binary").collect()
         if got:
             net.unpack(bytes(got[0]["weights"]))
     return net
