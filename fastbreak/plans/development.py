@@ -130,4 +130,5 @@ def development_em(
         who, "n", F.col("ma").alias("level"), F.col("md").alias("slope"), F.sqrt("saa").alias("level_sd"), sd.alias("slope_sd"),
         (F.col("md") - Z90 * sd).alias("p10"), F.col("md").alias("p50"), (F.col("md") + Z90 * sd).alias("p90"),
     )
+    table.unpersist()  # the result is made anew from the tables when it is read
     return out, fit

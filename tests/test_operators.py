@@ -170,3 +170,36 @@ def test_nearest_skips_blocks_and_loses_nothing(spark, monkeypatch):
     met = [len(ordering.reachable(np.array([[i, 0.0], [i + 0.5, 1.0]]), boxes, np.full(200, 16), 5)) for i in range(0, 200, 20)]
     assert max(met) <= 5
     assert ordering.nearest(df.limit(0), df, "id", ["x", "y"], 2).count() == 0 == ordering.nearest(df, df.limit(0), "id", ["x", "y"], 2).count()
+
+
+def test_names_with_enough_near_neighbours_meet_few_others(spark):
+    from fastbreak.operators import similar
+
+    names = [f"Customer#{k:09d}" for k in range(0, 3000, 5)]
+    df = spark.createDataFrame([(x,) for x in names], "_l string")
+    near = similar.near_pairs(df, df.withColumnRenamed("_l", "_r"))
+    assert near.count() < len(names) ** 2 / 10  # the characters of all these names are much the same
+    got = {(r["a"], r["place"], r["b"]) for r in joins.close_matches(df.toDF("a"), df.toDF("b"), "a", "b").collect()}
+    some = names[::60]
+    want = {(x, k + 1, y) for x in some for k, y in enumerate(difflib.get_close_matches(x, names, n=3, cutoff=0.8))}
+    assert {g for g in got if g[0] in some} == want
+
+
+def test_near_pairs_are_all_within_two_deletions(spark):
+    from fastbreak.operators import similar
+
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abc") for _ in range(8)) for _ in range(12)]
+    names = sorted({b[:i] + c + b[j:] for b in base for i in (0, 3, 8) for j in (i, i + 1, i + 2) for c in ("", "a", "zz")} | set(base))
+    df = spark.createDataFrame([(x,) for x in names], "_l string")
+    got = {tuple(r) for r in similar.near_pairs(df.where("length(_l) >= 7"), df.withColumnRenamed("_l", "_r")).collect()}
+
+    def unmatched(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            prev, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(prev[j] + 1 if x == y else max(prev[j + 1], row[-1]))
+        return len(a) + len(b) - 2 * row[-1]
+
+    assert got == {(a, b) for a in names if len(a) >= 7 for b in names if unmatched(a, b) <= 2}
