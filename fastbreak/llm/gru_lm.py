@@ -56,11 +56,17 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def arrow_words(text: pa.StringScalar) -> list[bytes]:
+    """The same from an Arrow value, whose bytes are taken as they are."""
+    data = text.as_buffer() if text.is_valid else None
+    return data.to_pybytes().translate(FOLD).split() if data is not None else []
+
+
 def pieces(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Words of some texts at a time, one after another, and how many each text has."""
     flat, sizes, held = [], [], 0
     for text in texts:
-        w = split(text.as_py())
+        w = arrow_words(text)
         flat += w
         sizes.append(len(w))
         held += sum(map(len, w)) if len(w) < 64 else 6 * len(w)
@@ -87,7 +93,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(split(text.as_py()))
+                held.update(arrow_words(text))
                 if len(held) > COMBINE_WORDS:
                     yield emit()
                     held.clear()
@@ -166,7 +172,10 @@ class Gru:
         """State after reading tokens; what the way back needs."""
         n = HIDDEN
         x, hu = self.p["x"][tokens], h @ self.p["u"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + hu[:, : 2 * n])))
+        gates = x[:, : 2 * n] + hu[:, : 2 * n]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         r, z, hn = gates[:, :n], gates[:, n:], hu[:, 2 * n :]
         new = np.tanh(x[:, 2 * n :] + r * hn)
         return new + z * (h - new), r, z, new, hn
