@@ -123,15 +123,28 @@ def games_by_score(left: DataFrame, right: DataFrame, least_tied: float = 0.80,
     of sorted tokens, sides direct or swapped, ties to the smaller r_id.
     """
     like = lambda a, b: similarity(token_sort(F.col(a)), token_sort(F.col(b)))
-    both = left.join(right, "date").withColumn("_same", F.coalesce((F.col("l_hp") == F.col("r_hp")) & (F.col("l_ap") == F.col("r_ap")), F.lit(False)))
-    both = both.withColumn("_n", F.sum(F.col("_same").cast("int")).over(W.partitionBy("l_id")))
-    alone = both.where((F.col("_n") == 1) & F.col("_same")).select("l_id", "r_id", F.lit(1.0).alias("confidence"), F.lit("score_exact").alias("method"))
-    rest = both.where((F.col("_n") == 0) | ((F.col("_n") > 1) & F.col("_same")))
+    at, mine, theirs = ["date", "_hp", "_ap"], ["l_home", "l_away"], ["r_home", "r_away"]
+    left, right = (df.withColumnsRenamed({f"{s}_hp": "_hp", f"{s}_ap": "_ap"}) for s, df in (("l", left), ("r", right)))
+    # games do not meet row by row: those of one score are counted, those of one pair of names compared once
+    same = right.groupBy(*at).agg(F.count("*").alias("_c"), F.min("r_id").alias("r_id"))
+    both = left.join(same, at, "left").withColumn("_n", F.sum(F.coalesce("_c", F.lit(0))).over(W.partitionBy("l_id")))
+    alone = both.where("_n = 1 AND _c = 1").select("l_id", "r_id", F.lit(1.0).alias("confidence"), F.lit("score_exact").alias("method"))
     score = F.greatest(like("l_home", "r_home") + like("l_away", "r_away"), like("l_home", "r_away") + like("l_away", "r_home")) / 2
-    best = W.partitionBy("l_id").orderBy(F.desc("score"), "r_id")
-    top = rest.withColumn("score", score).withColumn("_r", F.row_number().over(best)).where("_r = 1")
-    top = top.where(F.when(F.col("_n") > 1, F.col("score") > least_tied).otherwise(F.col("score") > least))
-    return alone.unionByName(top.select("l_id", "r_id", F.when(F.col("_n") > 1, 0.95).otherwise(F.col("score")).alias("confidence"), F.when(F.col("_n") > 1, "score_teams").otherwise("teams").alias("method")))
+
+    def likest(rest: DataFrame, on: list[str], above: float, confidence: Column, method: str) -> DataFrame:
+        names = right.groupBy(*on, *theirs).agg(F.min("r_id").alias("r_id"))
+        # pairs with a null name have no score and are left out by the joins
+        pairs = rest.select(*on, *mine).distinct().join(names, on)
+        scored = pairs.select(*mine, *theirs).distinct().withColumn("score", score).where(F.col("score") > above)
+        first = W.partitionBy(*on, *mine).orderBy(F.desc("score"), "r_id")
+        top = pairs.join(scored, [*mine, *theirs]).withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*on, *mine, "r_id", "score")
+        found = rest.join(top, [*on, *mine])
+        found = found.withColumn("_r", F.row_number().over(W.partitionBy("l_id").orderBy(F.desc("score"), "r_id"))).where("_r = 1")
+        return found.select("l_id", "r_id", confidence.alias("confidence"), F.lit(method).alias("method"))
+
+    rest = both.drop("r_id")
+    tied = likest(rest.where("_n > 1 AND _c > 0"), at, least_tied, F.lit(0.95), "score_teams")
+    return alone.unionByName(tied).unionByName(likest(rest.where("_n = 0"), ["date"], least, F.col("score"), "teams"))
 
 
 def missing_flags(a: DataFrame, b: DataFrame, on: list[str], names: tuple[str, str]) -> DataFrame:
