@@ -190,7 +190,8 @@ def tiered(left: DataFrame, key: str, tiers: list[tuple[str, DataFrame, list[str
     left = left.withColumn("_n", once).where(F.assert_true(F.col("_n") == 1, F.lit("left repeats a key")).isNull()).drop("_n")
     rest, done = left, []
     for name, df, on in tiers:
-        found = rest.join(df.select(*on, value).dropDuplicates(), on).groupBy(key).agg(F.count_distinct(value).alias("_k"), F.min(value).alias(value))
+        # the values of the same columns are counted once, so a left row meets one row
+        found = rest.select(key, *on).join(df.groupBy(*on).agg(F.count_distinct(value).alias("_k"), F.min(value).alias(value)), on)
         tier = found.select(key, F.when(F.col("_k") == 1, F.col(value)).alias(value), F.when(F.col("_k") == 1, name).otherwise("ambiguous").alias("tier"))
         done.append(tier)
         rest = rest.join(tier.select(key), key, "left_anti")

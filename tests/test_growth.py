@@ -31,3 +31,11 @@ def test_games_by_score_counts_games_of_one_score(spark):
     assert most_rows(out) <= 4 * n
     assert {(r.l_id % 2, r.r_id, r.method, r.confidence) for r in out.collect()} == {(0, 0, "score_teams", 0.95), (1, 1, "score_teams", 0.95)}
     assert out.count() == n
+
+
+def test_tiers_meet_counted_values(spark):
+    n = 300
+    left = spark.range(n).select(F.col("id").alias("k"), F.lit(1).alias("g"))
+    out = joins.tiered(left, "k", [("g", spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("v")), ["g"])], "v")
+    assert most_rows(out) <= 4 * n
+    assert {tuple(r) for r in out.select("v", "tier").distinct().collect()} == {(None, "ambiguous")}
