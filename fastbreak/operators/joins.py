@@ -81,9 +81,12 @@ def id_then_name(left: DataFrame, right: DataFrame, key: str, id_: str, name: st
     number = lambda c: F.col(c).try_cast("double")
     r = right.select(number(id_).alias("_id"), F.col(name).alias("_name"), number(right_year).alias("_year"), F.col(value).alias("_v"))
     l = left.select(key, number(id_).alias("_id"), F.col(name).alias("_name"), number(left_year).alias("_at"))  # noqa: E741
-    exact = l.join(r.select("_id", "_v"), "_id").groupBy(key).agg(F.min("_v").alias(value)).withColumn("method", F.lit("id"))
-    rest = l.join(exact.select(key), key, "left_anti").join(r.drop("_id"), "_name").withColumn("_gap", F.abs(F.col("_at") - F.col("_year"))).where(F.col("_gap") <= most)
-    named = rest.groupBy(key).agg(F.min(F.struct("_gap", "_v"))["_v"].alias(value)).withColumn("method", F.lit("name_year"))
+    exact = l.join(r.groupBy("_id").agg(F.min("_v").alias("_v")), "_id").groupBy(key).agg(F.min("_v").alias(value)).withColumn("method", F.lit("id"))
+    rest = l.join(exact.select(key), key, "left_anti")
+    # each name and year is looked up once, however many rows have it
+    years = rest.select("_name", "_at").distinct().join(r.groupBy("_name", "_year").agg(F.min("_v").alias("_v")), "_name").withColumn("_gap", F.abs(F.col("_at") - F.col("_year")))
+    near = years.where(F.col("_gap") <= most).groupBy("_name", "_at").agg(F.min(F.struct("_gap", "_v")).alias("_near"))
+    named = rest.join(near, ["_name", "_at"]).groupBy(key).agg(F.min("_near")["_v"].alias(value)).withColumn("method", F.lit("name_year"))
     return exact.unionByName(named)
 
 

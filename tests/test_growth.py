@@ -39,3 +39,12 @@ def test_tiers_meet_counted_values(spark):
     out = joins.tiered(left, "k", [("g", spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("v")), ["g"])], "v")
     assert most_rows(out) <= 4 * n
     assert {tuple(r) for r in out.select("v", "tier").distinct().collect()} == {(None, "ambiguous")}
+
+
+def test_id_then_name_looks_each_name_up_once(spark):
+    n = 300
+    left = spark.range(n).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("i"), F.lit("a").alias("name"), (F.col("id") % 3).alias("at"))
+    right = spark.range(n).select(F.col("id").alias("i"), F.lit("a").alias("name"), (F.col("id") % 2 + 2).alias("yr"), F.col("id").alias("v"))
+    out = joins.id_then_name(left, right, "k", "i", "name", "at", "yr", "v")
+    assert most_rows(out) <= 4 * n
+    assert {(r.k % 3, r.v, r.method) for r in out.collect()} == {(0, 0, "name_year"), (1, 0, "name_year"), (2, 0, "name_year")} and out.count() == n
