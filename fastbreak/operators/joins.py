@@ -272,8 +272,12 @@ def coalesce_suffixes(df: DataFrame, left: str = "_x", right: str = "_y") -> Dat
 
 def suffix_match(left: DataFrame, right: DataFrame, on: list[str], left_name: str, right_name: str) -> DataFrame:
     """Right names that end in a longer form of the left name; only unique hits."""
-    hit = left.join(right, on).where(F.endswith(F.col(right_name), F.col(left_name)) & (F.length(right_name) > F.length(left_name)))
-    return unique_keys(hit, [*on, left_name])
+    # joined on each shorter ending; a hit is unique where both sides have its name or ending once
+    ends = F.transform(F.sequence(F.lit(2), F.length(right_name) + 1), lambda i: F.substring(F.col(right_name), i, F.length(right_name)))
+    longer = right.where(F.length(right_name) > 0).withColumn(left_name, F.explode(ends))
+    known = left.select(*on, left_name).distinct()
+    once = unique_keys(longer.join(known, [*on, left_name], "left_semi"), [*on, left_name])
+    return unique_keys(left, [*on, left_name]).join(once, [*on, left_name])
 
 
 def latest_value(df: DataFrame, name: str, at: str, value: str, known: DataFrame | None = None, year: str | None = None, last_year: int | None = None) -> DataFrame:

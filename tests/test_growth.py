@@ -48,3 +48,17 @@ def test_id_then_name_looks_each_name_up_once(spark):
     out = joins.id_then_name(left, right, "k", "i", "name", "at", "yr", "v")
     assert most_rows(out) <= 4 * n
     assert {(r.k % 3, r.v, r.method) for r in out.collect()} == {(0, 0, "name_year"), (1, 0, "name_year"), (2, 0, "name_year")} and out.count() == n
+
+
+def test_suffixes_join_on_endings(spark):
+    n = 300
+    left = spark.range(n).select(F.lit(1).alias("g"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("a"))
+    right = left.select("g", F.concat(F.lit("é "), "a").alias("b"))
+    out = joins.suffix_match(left, right, ["g"], "a", "b")
+    assert most_rows(out) <= 10 * n
+    assert {(r.a, r.b) for r in out.collect()} == {(r.a, f"é {r.a}") for r in left.collect()}
+    few = lambda names, c: spark.createDataFrame([(1, x) for x in names], f"g int, {c} string")
+    hits = lambda a, b: sorted((r.a, r.b) for r in joins.suffix_match(few(a, "a"), few(b, "b"), ["g"], "a", "b").collect())
+    assert hits(["ab", "b", "", None], ["ab", "xb", "", None]) == []
+    assert hits(["ab", ""], ["xab", "ab"]) == [("ab", "xab")] and hits(["", "q", "q"], ["z", "", "zq"]) == []
+    assert hits(["", "b"], ["b", ""]) == [("", "b")] and hits(["b", "b"], ["ab"]) == []
