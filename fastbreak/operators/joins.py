@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fastbreak.functions.text import similarity, token_sort
 from fastbreak.operators.similar import close_matches as close_matches
-from fastbreak.operators.similar import may_reach
+from fastbreak.operators.similar import numbered_parts, reaches
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -210,11 +210,19 @@ def fuzzy(left: DataFrame, right: DataFrame, block: list[str], left_text: str, r
 
     Without a penalty, pairs that cannot reach `least` by their lengths and shared characters are not compared.
     """
-    like = F.when(F.col(left_text) == F.col(right_text), F.lit(1.0)).otherwise(similarity(F.col(left_text), F.col(right_text)))
-    pairs = left.join(right, block)
-    if penalty is None:
-        pairs = pairs.where((F.col(left_text) == F.col(right_text)) | may_reach(F.col(left_text), F.col(right_text), least))
-    both = pairs.withColumn("score", like - (penalty if penalty is not None else F.lit(0.0)))
+    equal = F.col(left_text) == F.col(right_text)
+    like = F.when(equal, F.lit(1.0)).otherwise(similarity(F.col(left_text), F.col(right_text)))
+    if penalty is None and least >= 1:
+        # only equal texts have the ratio 1
+        both = left.join(right.withColumn(left_text, F.col(right_text)), [*block, left_text]).withColumn("score", F.lit(1.0))
+    elif penalty is None:
+        # the characters of a text are sorted once, not for each pair
+        made = lambda df, c: df.withColumns({f"_{c}1": numbered_parts(F.col(c), 1), f"_{c}2": numbered_parts(F.col(c), 2)})
+        a, b = ((F.col(f"_{c}1"), F.col(f"_{c}2")) for c in (left_text, right_text))
+        pairs = made(left, left_text).join(made(right, right_text), block).where(equal | reaches(F.length(left_text), F.length(right_text), a, b, least))
+        both = pairs.drop(*(f"_{c}{i}" for c in (left_text, right_text) for i in (1, 2))).withColumn("score", like)
+    else:
+        both = left.join(right, block).withColumn("score", like - penalty)
     best = W.partitionBy(left_key).orderBy(F.desc("score"), right_key)
     return both.where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 

@@ -62,3 +62,12 @@ def test_suffixes_join_on_endings(spark):
     assert hits(["ab", "b", "", None], ["ab", "xb", "", None]) == []
     assert hits(["ab", ""], ["xab", "ab"]) == [("ab", "xab")] and hits(["", "q", "q"], ["z", "", "zq"]) == []
     assert hits(["", "b"], ["b", ""]) == [("", "b")] and hits(["b", "b"], ["ab"]) == []
+
+
+def test_fuzzy_of_equal_texts_joins_on_them(spark):
+    n = 300
+    left = spark.range(n).select(F.lit(1).alias("o"), F.col("id").alias("a"), F.concat(F.lit("n"), "id").alias("x"))
+    right = left.select("o", F.col("a").alias("b"), F.col("x").alias("y"))
+    out = joins.fuzzy(left, right, ["o"], "x", "y", 1.0, "a", "b")
+    assert most_rows(out) <= 2 * n
+    assert sorted((r.a, r.b, r.x, r.y, r.score) for r in out.collect()) == [(i, i, f"n{i}", f"n{i}", 1.0) for i in range(n)]
