@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fastbreak.operators import joins
+from fastbreak.plans import matching
 
 
 def most_rows(df):
@@ -71,3 +72,11 @@ def test_fuzzy_of_equal_texts_joins_on_them(spark):
     out = joins.fuzzy(left, right, ["o"], "x", "y", 1.0, "a", "b")
     assert most_rows(out) <= 2 * n
     assert sorted((r.a, r.b, r.x, r.y, r.score) for r in out.collect()) == [(i, i, f"n{i}", f"n{i}", 1.0) for i in range(n)]
+
+
+def test_token_rescue_settles_tokens_first(spark):
+    n = 300
+    name = lambda last: spark.range(n).select(F.lit(1).alias("season"), F.lit(1).alias("team"), F.concat(F.lit(last), "id", F.lit(" same")).alias("name"))
+    out = matching.token_rescue(name("one"), name("one"))
+    assert most_rows(out) <= 4 * n
+    assert {(r.name, r.match) for r in out.collect()} == {(f"one{i} same", f"one{i} same") for i in range(n)}
