@@ -80,3 +80,13 @@ def test_token_rescue_settles_tokens_first(spark):
     out = matching.token_rescue(name("one"), name("one"))
     assert most_rows(out) <= 4 * n
     assert {(r.name, r.match) for r in out.collect()} == {(f"one{i} same", f"one{i} same") for i in range(n)}
+
+
+def test_body_rescue_meets_kinds_of_bodies(spark):
+    n = 300
+    c = F.col("id")
+    side = lambda jersey, height: spark.range(n).select(F.lit(1).alias("season"), F.lit(1).alias("team"), jersey.alias("jersey"), height.alias("height"), F.concat(F.lit("a n"), c).alias("name"))
+    out = matching.body_rescue(side(c % 2, F.lit(70.0)), side(F.lit(1), F.lit(70.5) + c % 3))
+    assert most_rows(out) <= 4 * n
+    want = {(f"a n{i}", f"a n{i}" if i % 3 == 0 else "a n0", 7 if i % 3 == 0 else 6) for i in range(1, n, 2)}
+    assert {(r.name, r.match, r.points) for r in out.collect()} == want
