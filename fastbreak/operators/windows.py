@@ -21,6 +21,14 @@ def average_rank(by: list[str], c: str, descending: bool = False) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(order)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
 
 
+def value_ranks(df: DataFrame, by: list[str], c: str, descending: bool = False) -> DataFrame:
+    """Each group's values with rank, dense_rank and average_rank, from their counts: few rows where values repeat."""
+    order = W.partitionBy(*by).orderBy(F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first())
+    n = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
+    n = n.withColumns({"rank": F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n") + 1, "dense_rank": F.row_number().over(order)})
+    return n.withColumn("average_rank", F.col("rank") + (F.col("_n") - 1) / 2).drop("_n")
+
+
 def rank_within(by: list[str], order: list[Column], flag: Column) -> Column:
     """Place among the rows with the flag; null for the others."""
     return F.when(flag, F.row_number().over(W.partitionBy(*by, flag).orderBy(*order)))

@@ -291,10 +291,10 @@ def window_top_k(spark, d):
 
 @query("""SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, o_orderpriority) - 1) / 2 AS ar FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC NULLS LAST)""")
 def window_ranks(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("o_orderstatus").orderBy(F.desc_nulls_last("o_orderpriority"))
-    return t(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), windows.average_rank(["o_orderstatus"], "o_orderpriority", True).alias("ar"))
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    ranks = windows.value_ranks(o, ["o_orderstatus"], "o_orderpriority", True).alias("v")
+    both = o.alias("o").join(ranks, F.col("o.o_orderstatus").eqNullSafe(F.col("v.o_orderstatus")) & F.col("o.o_orderpriority").eqNullSafe(F.col("v.o_orderpriority")))
+    return both.select("o_orderkey", F.col("rank").alias("rk"), F.col("dense_rank").alias("dr"), F.col("average_rank").alias("ar"))
 
 
 @query("""WITH x AS (SELECT *, lag(event_type) OVER w AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

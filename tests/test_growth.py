@@ -1,9 +1,10 @@
 """Joins whose rows between input and result must not grow with the square of a group."""
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fastbreak.operators import joins
+from fastbreak.operators import joins, windows
 from fastbreak.plans import matching
 
 
@@ -90,3 +91,21 @@ def test_body_rescue_meets_kinds_of_bodies(spark):
     assert most_rows(out) <= 4 * n
     want = {(f"a n{i}", f"a n{i}" if i % 3 == 0 else "a n0", 7 if i % 3 == 0 else 6) for i in range(1, n, 2)}
     assert {(r.name, r.match, r.points) for r in out.collect()} == want
+
+
+def test_value_ranks_are_window_ranks(spark):
+    rows = spark.createDataFrame([(g, v) for g in ("a", "b", None) for v in (3, 1, 3, None, 2, 3)], "g string, v int")
+    for down in (True, False):
+        order = F.desc_nulls_last("v") if down else F.asc_nulls_first("v")
+        w = W.partitionBy("g").orderBy(order)
+        want = rows.select("g", "v", F.rank().over(w), F.dense_rank().over(w), windows.average_rank(["g"], "v", down) if not down else F.rank().over(w) + (F.count("*").over(W.partitionBy("g", "v")) - 1) / 2).distinct()
+        got = windows.value_ranks(rows, ["g"], "v", down)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 12
+
+
+def test_window_ranks_query_sorts_values_only(spark):
+    from fastbreak import queries
+    from tests.helpers import SF
+
+    plan = queries.QUERIES["window_ranks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Aggregate" in plan.split("Window")[-1]
