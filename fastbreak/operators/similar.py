@@ -116,6 +116,27 @@ def candidates(l: DataFrame, r: DataFrame, least: float) -> DataFrame:  # noqa:
     return thinned(by_rare_characters(l, r, least), l, r, least)
 
 
+def edit_pairs(l: DataFrame, r: DataFrame, on: list[str], least: float) -> DataFrame:  # noqa: E741
+    """(*on, _l, _r): pairs of distinct texts of equal `on` among which are all whose edit distance is at most 1 - `least` of the longer length.
+
+    Texts at an edit distance of d are equal after deleting at most d characters of each. Where that
+    allows three edits or more (texts of 3 / (1 - `least`) characters), all texts of near length meet.
+    """
+    allowed = lambda n: F.floor(n * (1 - least) + EPS)
+    l, r = l.select(*on, "_l").distinct(), r.select(*on, "_r").distinct()  # noqa: E741
+
+    def keys(df: DataFrame, name: str) -> DataFrame:
+        # the longer text may have up to `least`-th more characters, and so one edit more than this one alone
+        most = allowed(F.length(name) / least)
+        parts = [df.where(most >= k).select(*on, name, F.explode(F.when(F.length(name) >= k, deletions(name, k)).otherwise(F.array(F.lit("")))).alias("_key")) for k in (0, 1, 2)]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    near = keys(l, "_l").join(keys(r, "_r"), [*on, "_key"]).select(*on, "_l", "_r")
+    long = lambda df, c: df.where(allowed(F.length(c) / least) >= 3)
+    far = long(l, "_l").join(long(r, "_r"), on).where(F.abs(F.length("_l") - F.length("_r")) <= allowed(F.greatest(F.length("_l"), F.length("_r"))))
+    return near.unionByName(far.select(*on, "_l", "_r")).distinct()
+
+
 def close_matches(left: DataFrame, right: DataFrame, left_name: str, right_name: str, n: int = 3, least: float = 0.8) -> DataFrame:
     """Up to n similar names for each name among all names of the right, as difflib.get_close_matches: of equal scores the larger name first.
 

@@ -1,10 +1,12 @@
 """Joins whose rows between input and result must not grow with the square of a group."""
 
+import random
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fastbreak.operators import joins, windows
+from fastbreak.operators import joins, similar, windows
 from fastbreak.plans import matching
 
 
@@ -109,3 +111,25 @@ def test_window_ranks_query_sorts_values_only(spark):
 
     plan = queries.QUERIES["window_ranks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Aggregate" in plan.split("Window")[-1]
+
+
+def test_edit_pairs_lose_none_and_stay_few(spark):
+    rng = random.Random(5)
+    names = {"".join(rng.choice("ab") for _ in range(rng.randrange(0, 14))) for _ in range(60)} | {x + y for x in ("long name of many letters", "c" * 40) for y in ("", "x", "xy", "xyz", "xyzu")} | {"a", "", "ab"}
+    df = lambda c: spark.createDataFrame([(1, x) for x in sorted(names)], f"g int, {c} string")
+    for least in (0.6, 0.8, 0.92):
+        good = (1 - F.levenshtein("_l", "_r") / F.greatest(F.length("_l"), F.length("_r"), F.lit(1))) >= least
+        want = {(x._l, x._r) for x in df("_l").join(df("_r"), "g").where(good).collect()}
+        got = similar.edit_pairs(df("_l"), df("_r"), ["g"], least)
+        assert want <= {(x._l, x._r) for x in got.collect()}
+
+
+def test_identity_compares_near_names_of_a_team(spark):
+    n = 600
+    ids = spark.range(n)
+    name = F.concat(F.lit("someone "), F.lpad((F.col("id") * 7919 % 100003).cast("string"), 6, "0"), F.lpad((F.col("id") * 104729 % 99991).cast("string"), 6, "0"))
+    side = lambda key, who: ids.select(F.col("id").alias(key), who.alias("name"), F.lit(1).alias("team_id"), F.lit(1).alias("season"))
+    like = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    out = matching.resolve_identity(side("key", F.concat(name, F.lit("x"))).withColumn("player_id", F.lit(None).cast("string")), side("athlete_id", name), like=like, near=similar.edit_pairs)
+    assert most_rows(out) < n * n
+    assert {(x.key, x.athlete_id, x.method) for x in out.collect()} == {(i, i, "fuzzy") for i in range(n)}
