@@ -133,3 +133,20 @@ def test_identity_compares_near_names_of_a_team(spark):
     out = matching.resolve_identity(side("key", F.concat(name, F.lit("x"))).withColumn("player_id", F.lit(None).cast("string")), side("athlete_id", name), like=like, near=similar.edit_pairs)
     assert most_rows(out) < n * n
     assert {(x.key, x.athlete_id, x.method) for x in out.collect()} == {(i, i, "fuzzy") for i in range(n)}
+
+
+def test_staged_candidates_meet_names(spark):
+    n = 300
+    nba = spark.range(n).select(F.col("id").alias("nba_id"), F.lit("ann ray").alias("player_name"), F.lit(2000).alias("draft_year_proxy"))
+    college = spark.range(n).select(F.col("id").alias("athlete_id"), F.lit("ann ray").alias("athlete_name"), (F.lit(1990) + F.col("id") % 2 * 9).alias("final_season"), F.lit(0).alias("shot_events"))
+    found, missing = matching.staged_candidates(nba, college)
+    assert most_rows(missing) <= 2 * n and missing.count() == 0
+    assert found.count() == n * n // 2 and found.where("athlete_id % 2 = 0").count() == 0
+
+
+def test_many_to_many_deals_rows_of_a_key(spark):
+    side = lambda c, m: spark.range(m).select((F.col("id") % 3).alias("k"), F.col("id").alias(c))
+    left, right = side("a", 60), side("b", 90).unionByName(side("b", 9))
+    got = joins.many_to_many(left, right, ["k"], 4)
+    assert sorted(map(tuple, got.select("k", "a", "b").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    assert got.groupBy(F.spark_partition_id()).count().count() > 3
