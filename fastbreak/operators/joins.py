@@ -107,8 +107,9 @@ def id_then_name(left: DataFrame, right: DataFrame, key: str, id_: str, name: st
 def by_id_or_name(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str) -> DataFrame:
     """Pairs with equal ids where both sides have one, else with equal lower-case names."""
     lower = lambda c: F.lower(F.trim(F.col(c)))
-    ids = left.join(right, F.col(left_id).cast("string") == F.col(right_id).cast("string"))
-    names = left.join(right, (lower(left_name) == lower(right_name)) & (F.col(left_id).isNull() | F.col(right_id).isNull()))
+    keyed = lambda a, b: many_to_many(left.withColumn("_k", a), right.withColumn("_k", b), ["_k"]).drop("_k")
+    ids = keyed(F.col(left_id).cast("string"), F.col(right_id).cast("string"))
+    names = keyed(lower(left_name), lower(right_name)).where(F.col(left_id).isNull() | F.col(right_id).isNull())
     return ids.unionByName(names)
 
 

@@ -150,3 +150,11 @@ def test_many_to_many_deals_rows_of_a_key(spark):
     got = joins.many_to_many(left, right, ["k"], 4)
     assert sorted(map(tuple, got.select("k", "a", "b").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
     assert got.groupBy(F.spark_partition_id()).count().count() > 3
+
+
+def test_id_pairs_are_made_in_many_tasks(spark):
+    side = lambda x, m: spark.range(m).select(F.col("id").alias(x), F.when(F.col("id") % 10 > 0, 7).alias(f"{x}i"), F.concat(F.lit(" N"), F.col("id") % 20).alias(f"{x}n"))
+    a, b = side("a", 100), side("b", 7000)
+    out = joins.by_id_or_name(a, b, "ai", "bi", "an", "bn")
+    assert out.groupBy(F.spark_partition_id()).count().where("count > 90 * 1000").count() >= 3
+    assert out.count() == 90 * 6300 + sum(1 for i in range(100) for j in range(7000) if i % 20 == j % 20 and (i % 10 == 0 or j % 10 == 0))
