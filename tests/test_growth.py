@@ -158,3 +158,20 @@ def test_id_pairs_are_made_in_many_tasks(spark):
     out = joins.by_id_or_name(a, b, "ai", "bi", "an", "bn")
     assert out.groupBy(F.spark_partition_id()).count().where("count > 90 * 1000").count() >= 3
     assert out.count() == 90 * 6300 + sum(1 for i in range(100) for j in range(7000) if i % 20 == j % 20 and (i % 10 == 0 or j % 10 == 0))
+
+
+def test_lineups_round_seconds_as_their_sql_does(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from fastbreak import model_queries, queries
+    from tests.helpers import rows
+
+    # u01 comes in at the last row only if 35.6 seconds count as 36, and so as the next unit, the first of the window
+    at = lambda unit, s: pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=unit * 36 + s)
+    acts = [(u, at(50, 1), "view") for u in (3, 5, 7, 9, 11) for _ in range(3)] + [(1, at(99, 35.6), "view"), (13, at(100, 1), "view"), (3, at(699, 1), "purchase"), (5, at(700, 1), "view")]
+    pd.DataFrame([(i, u, ts, k, 1.0) for i, (u, ts, k) in enumerate(acts)], columns=["event_id", "user_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = model_queries.plan_windowed_lineups(spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(queries.SQL["plan_windowed_lineups"]).df())
