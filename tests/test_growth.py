@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fastbreak.operators import joins, similar, windows
-from fastbreak.plans import matching
+from fastbreak.plans import matching, ratings
 
 
 def most_rows(df, metric="numOutputRows"):
@@ -186,3 +186,15 @@ def test_candidates_shuffle_rows_not_pairs(spark):
     assert sorted(map(tuple, out.select("nba_id", "athlete_id").collect())) == [(i, j) for i in range(n) for j in range(50, 150)]
     again = matching.candidates(nba.unionByName(nba), college)
     assert sorted(map(tuple, again.select("nba_id", "athlete_id").collect())) == [(i, j) for i in range(n) for j in range(150)]
+
+
+def test_solve_in_tables_does_not_move_the_matrix(spark, monkeypatch):
+    n = 60
+    entries = [("g", f"p{i}", f"p{j}", 3.0 if i == j else 0.5) for i in range(n) for j in range(n) if abs(i - j) <= 1] + [("h", "p0", "p0", 2.0)]
+    gram = spark.createDataFrame(entries, "grp string, p string, q string, v double")
+    rhs = spark.createDataFrame([("g", f"p{i}", float(i % 7), 1.0) for i in range(n)] + [("h", "p0", 6.0, 1.0), ("h", "lone", 0.0, 0.0)], "grp string, p string, v double, penalty double")
+    held = {(r.grp, r.p): r.x for r in ratings.solve(gram, rhs, 1e-10).collect()}
+    tabled = {(r.grp, r.p): r.x for r in ratings.solve(gram, rhs, 1e-10, few=0).collect()}
+    assert held.keys() == tabled.keys() and all(abs(held[k] - tabled[k]) < 1e-8 for k in held) and abs(tabled["h", "p0"] - 2) < 1e-9
+    # three seasons of a million players do not fit into the driver as hash tables
+    assert ratings.FEW_UNKNOWNS < 840_000
