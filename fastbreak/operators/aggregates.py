@@ -183,10 +183,12 @@ def wls_slope(x: Column, y: Column, w: Column) -> list[Column]:
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Correlation of average ranks in each group, over rows with both values."""
-    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
 
     def avg_rank(c: str) -> Column:
-        return F.rank().over(W.partitionBy(*by).orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
+        # ties are counted in the order that ranks need anyway: one sort a column
+        w = W.partitionBy(*by).orderBy(c)
+        return F.rank().over(w) + (F.count("*").over(w.rangeBetween(W.currentRow, W.currentRow)) - 1) / 2
 
     return df.withColumns({"_ra": avg_rank(a), "_rb": avg_rank(b)}).groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"))
 

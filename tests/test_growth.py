@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fastbreak.operators import aggregates as agg
 from fastbreak.operators import joins, similar, windows
 from fastbreak.plans import matching, ratings
 
@@ -198,3 +199,14 @@ def test_solve_in_tables_does_not_move_the_matrix(spark, monkeypatch):
     assert held.keys() == tabled.keys() and all(abs(held[k] - tabled[k]) < 1e-8 for k in held) and abs(tabled["h", "p0"] - 2) < 1e-9
     # three seasons of a million players do not fit into the driver as hash tables
     assert ratings.FEW_UNKNOWNS < 840_000
+
+
+def test_spearman_sorts_once_a_column(spark):
+    rows = spark.createDataFrame([(i % 3, float(i * i % 11), float(i * 7 % 5), i) for i in range(90)], "g int, a double, b double, other int")
+    out = agg.spearman(rows, "a", "b", ["g"])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("Sort [") <= 2
+    want = rows.toPandas().groupby("g").apply(lambda x: x.a.rank().corr(x.b.rank()))
+    assert all(abs(r.spearman - want[r.g]) < 1e-9 for r in out.collect())
