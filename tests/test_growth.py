@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,6 +202,23 @@ def test_solve_in_tables_does_not_move_the_matrix(spark, monkeypatch):
     assert ratings.FEW_UNKNOWNS < 840_000
 
 
+def test_simple_ratings_make_no_pairs(spark, monkeypatch):
+    """Rows of 40 players have 1,600 pairs each; the fit reads their 40 entries, in several blocks and slices."""
+    monkeypatch.setattr(ratings, "solve", lambda *a, **b: 1 / 0)
+    monkeypatch.setattr(ratings, "BLOCK_ENTRIES", 150)
+    monkeypatch.setattr(ratings, "SLICE", 7)
+    rng = np.random.default_rng(8)
+    rows = [([f"n{k}" for k in rng.choice(50, 40, replace=False)], float(rng.integers(1, 9)), float(rng.normal())) for _ in range(90)] + [([], 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "players array<string>, possessions double, net double").repartition(2)
+    s = np.sqrt([w for _, w, _ in rows])
+    a = np.hstack([np.ones((len(rows), 1)), s[:, None] * [[f"n{k}" in who for k in range(50)] for who, _, _ in rows]])
+    want = np.linalg.solve(a.T @ a + np.diag([0.0] + [20.0] * 50), a.T @ (s * [y for _, _, y in rows]))
+    got = {r.player: r.rating for r in ratings.simple_ratings(df, ridge=20.0, tol=1e-12, intercept=True).collect()}
+    assert len(got) == 51 and abs(got[None] - want[0]) < 1e-8 and all(abs(got[f"n{k}"] - want[k + 1]) < 1e-8 for k in range(50))
+    # suppliers of six times the larger tables: their numbers fit, and no name travels in a step
+    assert ratings.FEW_COLUMNS > 360_000
+
+
 def test_spearman_sorts_once_a_column(spark):
     rows = spark.createDataFrame([(i % 3, float(i * i % 11), float(i * 7 % 5), i) for i in range(90)], "g int, a double, b double, other int")
     out = agg.spearman(rows, "a", "b", ["g"])
