@@ -445,6 +445,38 @@ def test_gru_trains_on_every_token(spark):
         assert weights(words[:at] + words[at : at + 8][::-1] + words[at + 8 :]) != base
 
 
+def test_gru_trains_long_texts_first(spark):
+    """A long text begun last would need 94 windows of one lane after those of the others."""
+    sizes = [40] * 600 + [3001]
+    whole = spark.createDataFrame([(k, [1] * (n - 1) + [gru_lm.END]) for k, n in enumerate(sizes)], "key bigint, ids array<int>")
+    got = [np.array(r["ids"]) for r in gru_lm.dealt(whole, 1).collect()]
+    assert sorted(map(len, got)) == sorted(sizes) and sum(1 for _ in gru_lm.lanes(got)) == 94
+    many = gru_lm.dealt(whole, gru_lm.MOST_TASKS + 7).collect()
+    assert sorted(len(r["ids"]) for r in many) == sorted(sizes) and len({r["trainer"] for r in many}) > 300
+
+
+@pytest.mark.parametrize("size", [1, 300])
+def test_gru_log_probs_of_small_and_large_weights(size):
+    """Against the softmax as written, in float64; large weights leave float32 unless the largest score is taken off."""
+    rng = np.random.default_rng(3)
+    net = gru_lm.Gru(rng.random(300) + 0.1)
+    net.p["ww"] *= size
+    net.p["wc"] *= size
+    states, targets = rng.uniform(-1, 1, (5000, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, 300, 5000)
+    p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    log = lambda z: z - z.max(1, keepdims=True) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True))
+    classes, words, rows = log(states @ p["wc"] + p["bc"]), states @ p["ww"].T + p["bw"], np.arange(5000)
+    want = classes[rows, net.cls[targets]]
+    for c in range(net.c):
+        own = np.flatnonzero(net.cls[targets] == c)
+        want[own] += log(words[own, net.first[c] : net.first[c + 1]])[np.arange(len(own)), targets[own] - net.first[c]]
+    got, none = net.log_probs(states, targets)
+    assert none is None and np.abs(got - want).max() < 1e-4 * size
+    grads = {k: np.zeros_like(x) for k, x in net.p.items()}
+    again, back = net.log_probs(states, targets, grads)
+    assert np.array_equal(again, got) and back.shape == states.shape and np.isfinite(back).all()
+
+
 def test_gru_weights_do_not_depend_on_the_layout(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "TRAINER_TOKENS", 900)  # several trainers
     d = docs(spark, mess())
