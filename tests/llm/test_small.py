@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,6 +446,32 @@ def test_gru_trains_on_every_token(spark):
         assert weights(words[:at] + words[at : at + 8][::-1] + words[at + 8 :]) != base
 
 
+def test_gru_words_of_many_texts_at_once(spark, monkeypatch):
+    """Words are cut as `split` cuts them, counted whatever is held at a time, and go to the trainers as two bytes each."""
+    texts = [*mess(), None, "", " ", "\t\n\x0b\x0c\r", " A b\n\n", "x\x1cy\x85z\xa0w\u2003q\x00K \u0130K\u017f", "Rare rare\tRARE other"] * 2
+    for own in (pa.array(texts, pa.string()), pa.array(["before", *texts], pa.string())[1:], pa.array([], pa.string())):
+        flat, sizes = gru_lm.word_lists(own)
+        want = [[w.decode() for w in gru_lm.split(t)] for t in own.to_pylist()]
+        assert (flat.to_pylist(), sizes.tolist()) == ([w for x in want for w in x], [len(x) for x in want])
+        monkeypatch.setattr(gru_lm, "PIECE_CHARS", 900)
+        assert [t for piece in gru_lm.pieces(own) for t in piece.to_pylist()] == own.to_pylist()
+    d, made, real = docs(spark, texts), [], gru_lm.materialize
+    want = Counter(w.decode() for t in texts for w in gru_lm.split(t))
+    for most in (1, 1 << 25):
+        monkeypatch.setattr(gru_lm, "COMBINE_BYTES", most)
+        assert {r["word"]: r["c"] for r in gru_lm.count_words(d).collect()} == want
+
+    def kept(df, name, *args):
+        out = real(df, name, *args)
+        if name == "training-ids":
+            made.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(gru_lm, "materialize", kept)
+    gru_lm.train(d, gru_lm.lexicon(d, gru_lm.count_words(d)))
+    assert sorted(len(r["ids"]) for r in made) == sorted(2 * len(gru_lm.split(t)) + 2 for t in texts)
+
+
 def test_gru_trains_long_texts_first(spark):
     """A long text begun last would need 94 windows of one lane after those of the others."""
     sizes = [40] * 600 + [3001]
