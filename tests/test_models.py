@@ -177,3 +177,50 @@ def test_ratings_by_tables_equal_those_in_the_driver(spark):
     a, b = ({(r["season"], r["player"]): r["rapm"] for r in impact.rapm(df, 10.0, 1e-9, few=few).collect()} for few in (1000, 0))
     assert a.keys() == b.keys() and len(a) == 32 and all(abs(a[k] - b[k]) < 1e-6 for k in a)
     assert impact.rapm(df.where("false")).count() == 0 and F is not None
+
+
+@pytest.mark.parametrize("few,most", [(1000, 1000), (1000, 20), (1000, 0), (0, 0)])
+def test_signed_ratings_in_tasks_parts_and_steps_are_dense(spark, few, most):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(90):
+        block = "abcdef" if k % 3 else "uvwx" if k % 2 else "yz"  # players of different blocks never meet
+        who = [str(x) for x in rng.choice(list(block), min(1 + k % 4, len(block)), replace=False)]
+        rows.append((2000 + k % 2, k, who, [1 if i % 2 == 0 else -1 for i in range(len(who))], float(rng.integers(1, 9)), float(rng.normal())))
+    rows += [(2000, 90, ["a", None], [1, -1], 2.0, 1.0), (2000, 91, ["a"], [1], 0.0, 9.0), (None, 92, ["a"], [1], 1.0, 9.0), (2001, 93, [], [], 3.0, 5.0)]
+    df = spark.createDataFrame(rows, "grp int, key int, who array<string>, sign array<int>, w double, y double")
+    got = {(r["grp"], r["p"]): (r["x"], r["w"]) for r in ratings.signed_ratings(df, 2.0, 1e-10, few, most).collect()}
+    for season in (2000, 2001):
+        own = [r for r in rows if r[0] == season and r[4] > 0]
+        names = sorted({p for r in own for p in r[2] if p})
+        x, w, y = np.zeros((len(own), len(names))), np.array([r[4] for r in own]), np.array([r[5] for r in own])
+        for i, r in enumerate(own):
+            for p, s in zip(r[2], r[3], strict=True):
+                if p:
+                    x[i, names.index(p)] += s
+        want = np.linalg.solve(x.T @ (w[:, None] * x) + 2 * np.eye(len(names)), x.T @ (w * (y - w @ y / w.sum())))
+        assert sorted(p for g, p in got if g == season) == names
+        assert np.allclose([got[season, p][0] for p in names], want, atol=1e-6) and np.allclose([got[season, p][1] for p in names], np.abs(x).T @ w)
+
+
+def test_parts_hold_players_that_meet_and_no_more_than_asked(spark):
+    rows = [("g", k, [f"p{10 * (k % 4) + k % 7}", f"p{10 * (k % 4) + (k + 1) % 7}"], [1, -1], 1.0, 0.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "grp string, key int, who array<string>, sign array<int>, w double, y double")
+    dealt, large = ratings.parted(df, 400, 150)
+    units = {}
+    for r in dealt.collect():
+        for p in r["who"]:
+            units.setdefault(p[1:-1], set()).add(r["unit"])
+    assert large is None and all(len(u) == 1 for u in units.values()) and len(set.union(*units.values())) > 1
+    dealt, large = ratings.parted(df, 400, 150, finish=0)
+    assert dealt.count() == 0 and large.count() == 200
+
+
+def test_ratings_of_a_season_take_few_jobs(spark):
+    rows = [(2000, f"g{k}", 1, [f"a{k % 5}", f"b{k % 7}"], [f"c{k % 3}"], 0, k % 9, 0, k % 4, 5.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "season int, gameId string, stint int, home array<string>, away array<string>, h0 int, h1 int, a0 int, a1 int, poss double")
+    spark.sparkContext.setJobGroup("ratings", "few jobs")
+    impact.rapm(df, 10.0, 1e-9).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ratings"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 8
