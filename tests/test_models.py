@@ -224,3 +224,24 @@ def test_ratings_of_a_season_take_few_jobs(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ratings"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs < 8
+
+
+def test_plan_rapm_takes_every_part_of_every_order(spark):
+    import duckdb
+
+    from fastbreak import queries
+    from tests.helpers import SF
+
+    got = {(r["season"], r["player"]): (r["poss"], r["rapm"]) for r in queries.QUERIES["plan_rapm"](spark, SF).collect()}
+    orders = duckdb.sql(f"SELECT year(min(l_shipdate)), list(DISTINCT l_partkey::VARCHAR ORDER BY l_partkey::VARCHAR), sum(l_quantity), sum(l_discount) FROM '{SF}/lineitem.parquet' GROUP BY l_orderkey").fetchall()
+    assert {len(p) for _, p, _, _ in orders} > {1, 2, 3, 5}
+    for season in {o[0] for o in orders}:
+        own = [o for o in orders if o[0] == season]
+        names = sorted({p for o in own for p in o[1]})
+        x, w, y = np.zeros((len(own), len(names))), np.array([o[2] for o in own]), np.array([100 * (o[3] - o[2] / 1000) / o[2] for o in own])
+        for i, (_, ps, _, _) in enumerate(own):
+            for k, p in enumerate(ps):
+                x[i, names.index(p)] = 1 if k < (len(ps) + 1) // 2 else -1
+        want = np.linalg.solve(x.T @ (w[:, None] * x) + 100 * np.eye(len(names)), x.T @ (w * (y - w @ y / w.sum())))
+        assert sorted(p for s, p in got if s == season) == names
+        assert np.allclose([got[season, p][0] for p in names], np.abs(x).T @ w, atol=0.01) and np.allclose([got[season, p][1] for p in names], want, atol=2e-4)
