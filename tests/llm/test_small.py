@@ -759,3 +759,27 @@ def test_chat_null_turns_come_first(spark):
     conv = [(1, None, "user", "first"), (1, 0, "assistant", "second")]
     got = {r["conv_id"]: r for r in chat.op6_chat_windows(spark.createDataFrame(conv, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\nfirst\nassistant\nsecond\n").hexdigest()
+
+
+def test_shingles_of_many_texts_hash_a_word_once(monkeypatch):
+    import xxhash
+
+    hashed, real = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: hashed.append(bytes(w)) or real(w))
+    texts = [None, "", " \t ", "One", "one TWO", "a b c d", "a b c d a b c d e", "\x1c x\x85y z É é A", "one two three four five " * 3]
+    for size in (4, 5):
+        hashed.clear()
+        tokens, n = ngram_join.shingle_sets(pa.array(texts).slice(1).cast(pa.string()), size)
+        words = [(t or "").encode().lower().split() for t in texts[1:]]
+        want = [{tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set() for w in words]
+        assert n.tolist() == [len(w) for w in want] and len(hashed) == len({x for w in words for x in w})
+        sets = ngram_join.cut(tokens, n)
+        # equal shingles have equal hashes in every text, and others have others
+        of = {}
+        for w, t in zip(want, sets, strict=True):
+            assert (np.diff(t.astype(object)) > 0).all()
+            for other, u in zip(want, sets, strict=True):
+                assert len(w & other) == len(np.intersect1d(t, u))
+            of[frozenset(w)] = t.tolist()
+        assert len({x for t in of.values() for x in t}) == len(set.union(*want))
+    assert ngram_join.shingle_sets(pa.array([], pa.string()), 4)[0].size == 0
